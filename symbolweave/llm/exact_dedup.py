@@ -69,7 +69,8 @@ def exact_duplicates(docs: DataFrame, max_bits: int = MAX_BITS) -> DataFrame:
         "doc_id", F.col("doc_id").alias("keep_id"), F.lit(1).cast("long").alias("group_size"), F.lit(True).alias("kept"), "text_sha256"
     )
     some = marked.where("maybe")
-    groups = some.groupBy("text_sha256").agg(F.max(F.struct("doc_id", "row")).alias("keep"), F.count(F.lit(1)).alias("group_size"))
+    # written, so that the join shuffles both sides and a hot group's rows can be split over tasks
+    groups = save(some.groupBy("text_sha256").agg(F.max(F.struct("doc_id", "row")).alias("keep"), F.count(F.lit(1)).alias("group_size")), "exact-groups")
     shared = some.join(groups, "text_sha256").select(
         "doc_id", F.col("keep.doc_id").alias("keep_id"), "group_size", (F.col("row") == F.col("keep.row")).alias("kept"), "text_sha256"
     )
