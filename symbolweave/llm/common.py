@@ -32,7 +32,7 @@ def shared_dir(spark: SparkSession) -> str:
 def save(df: DataFrame, tag: str) -> DataFrame:
     """Writes df to shared storage and returns the written table: cuts lineage and survives a lost executor."""
     path = f"{shared_dir(df.sparkSession)}/{tag}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    df.write.option("compression", "zstd").parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 

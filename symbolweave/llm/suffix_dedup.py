@@ -8,8 +8,9 @@ symbols to SHALLOW bytes, then a blind trie for each group that still ties. Equa
 are repeats; the earliest by (doc_id, row, offset) stays.
 
 Before bins meet, a block of documents folds anchors whose whole context (all bytes of the anchor's windows) is equal
-into their first, so a passage in a third of all documents sends one record a block. A gram with more than HOT
-records after that is resolved by its windows' 128-bit hashes, folded again by block: no bin outgrows a task.
+into their first, so a passage in a third of all documents sends one record a block; by a 64-bit fingerprint of the
+context, the same is done across blocks. Only grams that then still have different contexts are sorted. A gram with more
+than HOT contexts is resolved by its windows' 128-bit hashes, folded again by block: no bin outgrows a task.
 The text is written once, bucketed by block, and never shuffles.
 
 Edge cases: null and empty texts have no bytes; texts under LENGTH bytes keep everything; a null doc_id counts as the
@@ -108,7 +109,16 @@ def anchors(texts: list):
     return [doc, a - first, a - q0, a - q1, h[a], range_hash(prefix_hash(buf, _CONTROL), q0, q1 + LENGTH)]
 
 
-ANCHOR = "hash long, doc_id long, block long, row int, pos int, left int, right int, copies binary"
+#: spot holds pos, left and right of an anchor in one number.
+ANCHOR = "hash long, print long, doc_id long, block long, row int, spot long, copies binary"
+
+
+def _spot(pos, left, right):
+    return pos << 16 | left << 8 | right
+
+
+def _unspot(spot):
+    return spot >> 16, spot >> 8 & 255, spot & 255
 
 
 def _anchor_rows(block_bytes: int):
@@ -125,7 +135,8 @@ def _anchor_rows(block_bytes: int):
         more = np.diff(np.append(first, len(h)))
         packed = np.stack([row, pos, left, right], axis=1).astype("<i4")
         copies = [packed[i + 1 : i + m].tobytes() if m > 1 else None for i, m in zip(first.tolist(), more.tolist(), strict=True)]
-        cols = [h.view(np.int64)[first], doc[first], np.full(len(first), block), *(x[first].astype(np.int32) for x in (row, pos, left, right))]
+        spot = _spot(pos.astype(np.int64), left.astype(np.int64), right.astype(np.int64))
+        cols = [h.view(np.int64)[first], f.view(np.int64)[first], doc[first], np.full(len(first), block), row[first].astype(np.int32), spot[first]]
         out = pa.RecordBatch.from_arrays([*map(pa.array, cols), pa.array(copies, pa.binary())], [c.split()[0] for c in ANCHOR.split(", ")])
         for lo in range(0, out.num_rows, 65536):
             yield out.slice(lo, 65536)
@@ -166,14 +177,16 @@ def _records(text: pa.Table, found: pa.Table) -> pa.Table:
     texts = dict(zip(text.column("row").to_pylist(), text.column("text").to_pylist(), strict=True))
     block, rows, hot = text.column("block")[0].as_py(), [], []
     for r in found.to_pylist():
+        r["pos"], r["left"], r["right"] = p, left, right = _unspot(r["spot"])
         if r["copies"]:
-            for row, pos, left, right in np.frombuffer(r["copies"], "<i4").reshape(-1, 4).tolist():
-                rows.append((1, 0, 0, 0, block, row, pos, left, right, None))
-        if r["n"] > HOT:
+            for row, *at in np.frombuffer(r["copies"], "<i4").reshape(-1, 4).tolist():
+                rows.append((1, 0, 0, 0, block, row, *at, None))
+        if r["turn"] > 1:  # an earlier block has the same context
+            rows.append((1, 0, 0, 0, block, r["row"], p, left, right, None))
+        elif r["contexts"] > HOT:
             hot.append(r)
-        elif r["n"] > 1:
-            p = r["pos"]
-            rows.append((0, r["hash"], 0, r["doc_id"], block, r["row"], p, r["left"], r["right"], texts[r["row"]][p - r["left"] : p - r["right"] + LENGTH]))
+        elif r["contexts"] > 1:
+            rows.append((0, r["hash"], 0, r["doc_id"], block, r["row"], p, left, right, texts[r["row"]][p - left : p - right + LENGTH]))
     best, lost = {}, []
     for r in hot:
         context = texts[r["row"]][r["pos"] - r["left"] : r["pos"] - r["right"] + LENGTH]
@@ -387,7 +400,10 @@ def repeated_spans(docs: DataFrame, block_bytes: int = BLOCK_BYTES) -> DataFrame
     fed = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text"), F.lit("")).cast("binary").alias("text"))
     blocks = bucketed(fed.mapInArrow(_blocks(block_bytes), "block long, row int, doc_id long, text binary"), "block", "suffix")
     found = blocks.mapInArrow(_anchor_rows(block_bytes), ANCHOR)
-    found = found.withColumn("n", F.count(F.lit(1)).over(Window.partitionBy("hash"))).where("n > 1 OR copies IS NOT NULL")
+    same = Window.partitionBy("hash", "print", F.col("spot") % 65536).orderBy("doc_id", "block", "row", "spot")
+    found = found.withColumn("turn", F.row_number().over(same))
+    found = found.withColumn("contexts", F.sum((F.col("turn") == 1).cast("int")).over(Window.partitionBy("hash")))
+    found = found.where("turn > 1 OR contexts > 1 OR copies IS NOT NULL").drop("print")
     records = blocks.groupBy("block").cogroup(found.groupBy("block")).applyInArrow(_records, RECORD)
     records = save(records, "suffix-records")
     folded = records.where("kind = 1").select("block", "row", (F.col("pos") - F.col("left")).alias("start"), (F.col("pos") - F.col("right") + LENGTH).alias("stop"))

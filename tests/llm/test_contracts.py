@@ -127,7 +127,7 @@ def test_suffix_dedup_of_hot_grams(docs):
     texts = [(docs[d] or "").encode() for d in sorted(docs) if d < 60]
     doc, pos, left, right, h, _ = s.anchors(texts)
     rows = [
-        {"hash": int(x), "doc_id": int(d), "block": 0, "row": int(d), "pos": int(p), "left": int(a), "right": int(b), "copies": None, "n": s.HOT + 1}
+        {"hash": int(x), "doc_id": int(d), "block": 0, "row": int(d), "spot": s._spot(int(p), int(a), int(b)), "copies": None, "turn": 1, "contexts": s.HOT + 1}
         for d, p, a, b, x in zip(doc, pos, left, right, h.view(np.int64), strict=True)
     ]
     text = pa.table({"block": [0] * len(texts), "row": list(range(len(texts))), "doc_id": list(range(len(texts))), "text": texts})
