@@ -401,7 +401,7 @@ def repeated_spans(docs: DataFrame, block_bytes: int = BLOCK_BYTES) -> DataFrame
     blocks = bucketed(fed.mapInArrow(_blocks(block_bytes), "block long, row int, doc_id long, text binary"), "block", "suffix")
     found = blocks.mapInArrow(_anchor_rows(block_bytes), ANCHOR)
     same = Window.partitionBy("hash", "print", F.col("spot") % 65536).orderBy("doc_id", "block", "row", "spot")
-    found = found.withColumn("turn", F.row_number().over(same))
+    found = found.repartition("hash").withColumn("turn", F.row_number().over(same))
     found = found.withColumn("contexts", F.sum((F.col("turn") == 1).cast("int")).over(Window.partitionBy("hash")))
     found = found.where("turn > 1 OR contexts > 1 OR copies IS NOT NULL").drop("print")
     records = blocks.groupBy("block").cogroup(found.groupBy("block")).applyInArrow(_records, RECORD)
