@@ -2,10 +2,18 @@
 
 from __future__ import annotations
 
+from importlib import import_module
+
+TOPICS = ("flow",)
+
+
+def _all():
+    return {k: v for t in TOPICS for k, v in import_module(f"symbolweave.plans.{t}").QUERIES.items()}
+
 
 def queries():
-    return {}
+    return {name: call for name, (call, _) in _all().items()}
 
 
 def oracle_sql():
-    return {}
+    return {name: sql for name, (_, sql) in _all().items() if sql}
