@@ -1,9 +1,10 @@
 """LM scoring with a weighted backoff automaton.
 
 A bigram model with absolute discounting is counted on all training documents. Its automaton has a root state and a
-state for each word of at least STATE_MIN training occurrences; an arc (u, v) is kept for each bigram of at least
-ARC_MIN occurrences from such a state, with weight log10 p(v|u); a state's failure arc leads to the root with weight
-log10 of the mass that its arcs leave over, and the root has an arc for every word and one for unknown words. A text is
+state for each word that makes up STATE_SHARE of the training tokens; an arc (u, v) is kept for each bigram of at least
+ARC_MIN occurrences from such a state to a word of at least WORD_SHARE, with weight log10 p(v|u); a state's failure arc
+leads to the root with weight log10 of the mass that its arcs leave over, and the root has an arc for every word and one
+for unknown words. So the words grow with the corpus without limit, and bigrams with those that repeat. A text is
 traversed once from left to right: at each token the state takes its arc, or fails to the root and takes the root's.
 
 Documents are tokenised once, into blocks of about BLOCK_BYTES with a dictionary each, written bucketed by block.
@@ -20,15 +21,26 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from symbolweave.llm.common import BLOCK_BYTES, bucketed, chunks, held_out, mix64, partition_id, save, words
 
-HELD_OUT, STATE_MIN, ARC_MIN, ARC_DISCOUNT = 10, 8, 2, 0.75
+HELD_OUT, ARC_MIN, ARC_DISCOUNT = 10, 2, 0.75
+#: A word has a state from this share of the training tokens on, and arcs lead to words from that share on, though not below the counts.
+STATE_SHARE, STATE_MIN, WORD_SHARE, WORD_MIN = 3e-5, 8, 1e-5, 2
 END = 1  # the key of the end token
 
 
+def state_min(total: int) -> float:
+    return max(STATE_MIN, STATE_SHARE * total)
+
+
+def word_min(total: int) -> float:
+    return max(WORD_MIN, WORD_SHARE * total)
+
+
 def _blocks(block_bytes: int):
     """Documents as indexes into their block's dictionary, then the dictionary with its training counts."""
 
@@ -81,10 +93,12 @@ def _dictionary(batches):
                 yield pa.RecordBatch.from_arrays([pa.array(k), pa.array(np.full(len(k), row["block"])), pa.array(at), pa.array(c)], ["key", "block", "at", "n"])
 
 
-def _streams(docs: pa.Table):
-    """All documents' indexes in one array, and where each document's begin (with the end last)."""
+def _parts(block: pa.Table):
+    """Of a block's rows: its documents, their indexes in one array, where each document's begin (with the end last), and the dictionary's keys."""
+    is_doc = pc.is_null(block.column("counts"))
+    docs, dictionary = block.filter(is_doc), block.filter(pc.invert(is_doc))
     ids = [np.frombuffer(x, "<u4") for x in docs.column("ids").to_pylist()]
-    return np.concatenate(ids).astype(np.int64), np.cumsum([0, *map(len, ids)])
+    return docs, np.concatenate(ids).astype(np.int64), np.cumsum([0, *map(len, ids)]), np.frombuffer(dictionary.column("ids")[0].as_py(), "<i8")
 
 
 def _table(side: pa.Table, kind: int):
@@ -92,34 +106,39 @@ def _table(side: pa.Table, kind: int):
     return [np.array(side.column(c))[mask] for c in ("at", "a", "b")]
 
 
-def _word_arrays(side: pa.Table):
-    """Keys and counts of the block's dictionary, by index."""
-    at, key, c = _table(side, 0)
-    order = np.argsort(at)
-    return key[order], c[order]
+def _counts(side: pa.Table, n: int) -> np.ndarray:
+    """Training counts of the block's words, by index."""
+    at, _, c = _table(side, 0)
+    out = np.zeros(n, np.int64)
+    out[at] = c
+    return out
 
 
 def _pair_keys(keys: np.ndarray, u: np.ndarray, v: np.ndarray) -> np.ndarray:
     return mix64(keys[u].view(np.uint64) * np.uint64(0x9E3779B97F4A7C15) + keys[v].view(np.uint64)).view(np.int64)
 
 
-def _pairs(docs: pa.Table, side: pa.Table) -> pa.Table:
-    """The block's bigrams that start in a state: key, key of the first word, how often in training documents."""
+def _pairs(total: int):
+    """The block's bigrams that may become arcs: key, key of the first word, how often in training documents."""
     schema = pa.schema([("pair", pa.int64()), ("key", pa.int64()), ("block", pa.int64()), ("n", pa.int64())])
-    if not docs.num_rows:
-        return schema.empty_table()
-    stream, first = _streams(docs)
-    keys, count = _word_arrays(side)
-    train = np.repeat(~np.array(docs.column("held_out")), np.diff(first))
-    inner = np.ones(len(stream), bool)
-    inner[first[:-1]] = False  # the first token of a document has no predecessor
-    at = np.flatnonzero(inner)
-    at = at[(count[stream[at - 1]] >= STATE_MIN) & (count[stream[at]] >= ARC_MIN)]
-    code, where = np.unique(stream[at - 1] * len(keys) + stream[at], return_inverse=True)
-    n = np.bincount(where, weights=train[at], minlength=len(code)).astype(np.int64)
-    u, v = code // len(keys), code % len(keys)
-    block = np.full(len(code), docs.column("block")[0].as_py())
-    return pa.Table.from_arrays([pa.array(x) for x in (_pair_keys(keys, u, v), keys[u], block, n)], schema=schema)
+
+    def run(block: pa.Table, side: pa.Table) -> pa.Table:
+        if not block.num_rows:
+            return schema.empty_table()
+        docs, stream, first, keys = _parts(block)
+        count = _counts(side, len(keys))
+        train = np.repeat(~np.array(docs.column("held_out")), np.diff(first))
+        inner = np.ones(len(stream), bool)
+        inner[first[:-1]] = False  # the first token of a document has no predecessor
+        at = np.flatnonzero(inner)
+        at = at[(count[stream[at - 1]] >= state_min(total)) & (count[stream[at]] >= word_min(total))]
+        code, where = np.unique(stream[at - 1] * len(keys) + stream[at], return_inverse=True)
+        n = np.bincount(where, weights=train[at], minlength=len(code)).astype(np.int64)
+        u, v = code // len(keys), code % len(keys)
+        number = np.full(len(code), block.column("block")[0].as_py())
+        return pa.Table.from_arrays([pa.array(x) for x in (_pair_keys(keys, u, v), keys[u], number, n)], schema=schema)
+
+    return run
 
 
 def word_probability(c, total: int, types: int, discount: float):
@@ -152,13 +171,13 @@ def traverse(stream, first, keys, count, state_mass, arcs, arc_count, total, typ
 
 
 def _score(total: int, types: int, discount: float):
-    def run(docs: pa.Table, side: pa.Table) -> pa.Table:
+    def run(block: pa.Table, side: pa.Table) -> pa.Table:
         names = ["doc_id", "held_out", "n_tokens", "n_known", "base_score", "score"]
         schema = pa.schema(list(zip(names, [pa.int64(), pa.bool_(), pa.int64(), pa.int64(), pa.float64(), pa.float64()], strict=True)))
-        if not docs.num_rows:
+        if not block.num_rows:
             return schema.empty_table()
-        stream, first = _streams(docs)
-        keys, count = _word_arrays(side)
+        docs, stream, first, keys = _parts(block)
+        count = _counts(side, len(keys))
         mass = np.full(len(keys), np.nan)
         at, kept, arcs_of = _table(side, 2)
         mass[at] = (count[at] - kept + ARC_DISCOUNT * arcs_of) / count[at]
@@ -177,7 +196,6 @@ def lm_scores(docs: DataFrame, block_bytes: int = BLOCK_BYTES) -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score for each row of docs (doc_id, text)."""
     fed = docs.select(F.col("doc_id").cast("long").alias("doc_id"), held_out(F.col("doc_id"), HELD_OUT).alias("held_out"), F.coalesce(F.col("text"), F.lit("")).cast("binary").alias("text"))
     blocks = bucketed(fed.mapInArrow(_blocks(block_bytes), "block long, doc_id long, held_out boolean, ids binary, counts binary"), "block", "lm")
-    streams = blocks.where("counts IS NULL").select("block", "doc_id", "held_out", "ids")
     local = blocks.where("counts IS NOT NULL").select("block", "ids", "counts").mapInArrow(_dictionary, "key long, block long, at int, n long")
     by_key = Window.partitionBy("key")
     known = local.select("key", "block", "at", "n", F.sum("n").over(by_key).alias("c"), (F.min("block").over(by_key) == F.col("block")).alias("first"))
@@ -187,16 +205,16 @@ def lm_scores(docs: DataFrame, block_bytes: int = BLOCK_BYTES) -> DataFrame:
                        F.sum(once * (F.col("c") == 1).cast("int")).alias("n1"), F.sum(once * (F.col("c") == 2).cast("int")).alias("n2")).first()
     total, types = int(totals["total"] or 0), int(totals["types"] or 0)
     discount = totals["n1"] / (totals["n1"] + 2 * totals["n2"]) if totals["n1"] else 0.5
-    word_rows = known.select("block", F.lit(0).alias("kind"), "at", F.col("key").alias("a"), F.col("c").alias("b"))
-    pairs = streams.groupBy("block").cogroup(word_rows.groupBy("block")).applyInArrow(_pairs, "pair long, key long, block long, n long")
+    word_rows = known.select("block", F.lit(0).alias("kind"), "at", F.lit(0).cast("long").alias("a"), F.col("c").alias("b")).where("b > 0")
+    pairs = blocks.groupBy("block").cogroup(word_rows.groupBy("block")).applyInArrow(_pairs(total), "pair long, key long, block long, n long")
     by_pair = Window.partitionBy("pair")
     arcs = pairs.select("pair", "key", "block", F.sum("n").over(by_pair).alias("c"), (F.min("block").over(by_pair) == F.col("block")).alias("first"))
     arcs = save(arcs.where(F.col("c") >= ARC_MIN), "lm-arcs")
     states = arcs.where("first").groupBy("key").agg(F.sum("c").alias("kept"), F.count(F.lit(1)).alias("arcs"))
-    state_rows = known.where(F.col("c") >= STATE_MIN).join(states, "key").select("block", F.lit(2).alias("kind"), "at", F.col("kept").alias("a"), F.col("arcs").alias("b"))
+    state_rows = known.where(F.col("c") >= state_min(total)).join(states, "key").select("block", F.lit(2).alias("kind"), "at", F.col("kept").alias("a"), F.col("arcs").alias("b"))
     arc_rows = arcs.select("block", F.lit(1).alias("kind"), F.lit(0).alias("at"), F.col("pair").alias("a"), F.col("c").alias("b"))
     side = word_rows.unionByName(arc_rows).unionByName(state_rows)
-    scored = streams.groupBy("block").cogroup(side.groupBy("block")).applyInArrow(
+    scored = blocks.groupBy("block").cogroup(side.groupBy("block")).applyInArrow(
         _score(total, types, discount), "doc_id long, held_out boolean, n_tokens long, n_known long, base_score double, score double"
     )
     return scored.select("doc_id", "held_out", "n_tokens", "n_known", F.lit(total).cast("long").alias("train_tokens"), "base_score", "score")

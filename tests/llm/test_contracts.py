@@ -158,7 +158,7 @@ def tokens(text):
 
 
 def test_language_model(spark, sf_dir, docs):
-    from symbolweave.llm.language_model import ARC_DISCOUNT, ARC_MIN, STATE_MIN, word_probability
+    from symbolweave.llm.language_model import ARC_DISCOUNT, ARC_MIN, state_min, word_min, word_probability
 
     end = ("end",)
     streams = {d: [*tokens(t), end] for d, t in docs.items()}
@@ -167,7 +167,7 @@ def test_language_model(spark, sf_dir, docs):
     pairs = Counter(p for s in train for p in zip(s, s[1:], strict=False))
     n, v = sum(c.values()), len(c)
     n1, n2 = sum(x == 1 for x in c.values()), sum(x == 2 for x in c.values())
-    arcs = {p: x for p, x in pairs.items() if x >= ARC_MIN and c[p[0]] >= STATE_MIN}
+    arcs = {p: x for p, x in pairs.items() if x >= ARC_MIN and c[p[0]] >= state_min(n) and c[p[1]] >= word_min(n)}
     kept, types = Counter(), Counter()
     for (u, _), x in arcs.items():
         kept[u] += x
