@@ -25,11 +25,13 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from symbolweave.llm.common import BLOCK_BYTES, bucketed, chunks, held_out, mix64, partition_id, save, words
+from symbolweave.llm.common import bucketed, chunks, held_out, mix64, partition_id, save, words
 
 HELD_OUT, ARC_MIN, ARC_DISCOUNT = 10, 2, 0.75
 #: A word has a state from this share of the training tokens on, and arcs lead to words from that share on, though not below the counts.
 STATE_SHARE, STATE_MIN, WORD_SHARE, WORD_MIN = 3e-5, 8, 1e-5, 2
+#: Text bytes of a block: half of what other operators hold, as a block's tokens take several arrays of eight bytes each.
+BLOCK_BYTES = 8 << 20
 END = 1  # the key of the end token
 
 
@@ -98,7 +100,7 @@ def _parts(block: pa.Table):
     is_doc = pc.is_null(block.column("counts"))
     docs, dictionary = block.filter(is_doc), block.filter(pc.invert(is_doc))
     ids = [np.frombuffer(x, "<u4") for x in docs.column("ids").to_pylist()]
-    return docs, np.concatenate(ids).astype(np.int64), np.cumsum([0, *map(len, ids)]), np.frombuffer(dictionary.column("ids")[0].as_py(), "<i8")
+    return docs, np.concatenate(ids).astype(np.int32), np.cumsum([0, *map(len, ids)]), np.frombuffer(dictionary.column("ids")[0].as_py(), "<i8")
 
 
 def _table(side: pa.Table, kind: int):
@@ -132,7 +134,7 @@ def _pairs(total: int):
         inner[first[:-1]] = False  # the first token of a document has no predecessor
         at = np.flatnonzero(inner)
         at = at[(count[stream[at - 1]] >= state_min(total)) & (count[stream[at]] >= word_min(total))]
-        code, where = np.unique(stream[at - 1] * len(keys) + stream[at], return_inverse=True)
+        code, where = np.unique(stream[at - 1].astype(np.int64) * len(keys) + stream[at], return_inverse=True)
         n = np.bincount(where, weights=train[at], minlength=len(code)).astype(np.int64)
         u, v = code // len(keys), code % len(keys)
         number = np.full(len(code), block.column("block")[0].as_py())
@@ -155,7 +157,7 @@ def traverse(stream, first, keys, count, state_mass, arcs, arc_count, total, typ
     the kept bigrams. After a token the state is that of the token, or the root if it has none.
     """
     p = word_probability(count[stream], total, types, discount)
-    state = np.full(len(stream), -1)
+    state = np.full(len(stream), -1, np.int32)
     state[1:] = stream[:-1]
     state[first[:-1][first[:-1] < len(stream)]] = -1
     at = np.flatnonzero(state >= 0)
