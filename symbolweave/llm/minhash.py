@@ -8,7 +8,8 @@ probability 2 * (1 - 0.8^ROWS)^SIDE = 0.16 %, at 0.85 0.03 %.
 Rows of equal shingle sets form a class; only classes enter tables. In a table a class is first compared with the most
 central class of its bucket (the one whose buckets are fullest), which joins most buckets into one component in linear
 work. What a bucket then still holds of different components is compared across components, less the pairs whose sizes
-or distances from the bucket's centre (triangle inequality) rule out a link. Every link is confirmed on full sets.
+or distances from the bucket's centre (triangle inequality), or parity sketches (a lower bound of how many shingles they
+don't share) rule out a link. None of these loses a link. Every link is confirmed on full sets.
 
 Edge cases: null, empty and wordless texts have no shingles, link with nothing and are kept; with fewer words than a
 shingle the whole sequence is one; a null doc_id takes no part and is kept; rows that repeat a doc_id are one document
@@ -17,6 +18,9 @@ to the components, their shingles counted row by row. An empty table gives an em
 
 from __future__ import annotations
 
+from functools import reduce
+from operator import add
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -25,6 +29,8 @@ from pyspark.sql import functions as F
 from symbolweave.llm.common import chunks, mix64, save, words
 
 ROWS, SIDE = 2, 7
+#: Longs of a set's parity sketch: bit i says whether an odd number of its hashes fall on i. Two sets differ in at least as many elements as their sketches in bits.
+SKETCH = 16
 #: Ids up to this many (16 MB) are broadcast to fetch or drop documents; beyond, they are joined by shuffle.
 BROADCAST_IDS = 1_000_000
 _rng = np.random.default_rng(77)
@@ -73,6 +79,11 @@ def fingerprints(s: np.ndarray) -> tuple[int, int]:
     return int(np.int64(a)), int(np.int64(b))
 
 
+def parity_sketch(s: np.ndarray) -> list[int]:
+    odd = np.bincount((s >> np.uint64(20) & np.uint64(64 * SKETCH - 1)).astype(np.int64), minlength=64 * SKETCH) & 1
+    return np.packbits(odd.astype(np.uint8)).view("<i8").tolist()
+
+
 def _sign(k: int):
     def run(batches):
         for b in batches:
@@ -84,8 +95,9 @@ def _sign(k: int):
                 prints = [fingerprints(s) for s in sets]
                 yield pa.RecordBatch.from_arrays(
                     [pa.array(ids[lo : lo + len(texts)], pa.int64()), pa.array([len(s) for s in sets], pa.int64()), pa.array([p[0] for p in prints]),
-                     pa.array([p[1] for p in prints]), pa.array([next(keys) if len(s) else None for s in sets], pa.list_(pa.int64()))],
-                    ["doc_id", "n", "f1", "f2", "halves"],
+                     pa.array([p[1] for p in prints]), pa.array([next(keys) if len(s) else None for s in sets], pa.list_(pa.int64())),
+                     pa.array([parity_sketch(s) if len(s) else None for s in sets], pa.list_(pa.int64()))],
+                    ["doc_id", "n", "f1", "f2", "halves", "sketch"],
                 )
 
     return run
@@ -148,9 +160,9 @@ def components(links: DataFrame) -> DataFrame:
 def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
     """doc_id, n_shingles, component_id, kept: links are 100 * common shingles >= percent * shingles of either."""
     text = F.coalesce(F.col("text"), F.lit("")).cast("binary").alias("text")
-    signed = save(docs.select(F.col("doc_id").cast("long").alias("doc_id"), text).mapInArrow(_sign(k), "doc_id long, n long, f1 long, f2 long, halves array<long>"), "near-signatures")
+    signed = save(docs.select(F.col("doc_id").cast("long").alias("doc_id"), text).mapInArrow(_sign(k), "doc_id long, n long, f1 long, f2 long, halves array<long>, sketch array<long>"), "near-signatures")
     sets = signed.where("n > 0 AND doc_id IS NOT NULL")
-    classes = save(sets.groupBy("f1", "f2", "n").agg(F.min("doc_id").alias("class"), F.first("halves").alias("halves")), "near-classes")
+    classes = save(sets.groupBy("f1", "f2", "n").agg(F.min("doc_id").alias("class"), F.first("halves").alias("halves"), F.first("sketch").alias("sketch")), "near-classes")
     half = F.col("halves")
     keys = F.array(*[F.xxhash64(F.lit(i * SIDE + j), half[i], half[SIDE + j]) for i in range(SIDE) for j in range(SIDE)])
     rows = classes.select("class", "n", F.explode(keys).alias("key"))
@@ -176,12 +188,14 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame
     split = placed.groupBy("key").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo < hi").select("key")
     rest = placed.join(split, "key").join(centres.select("key", "centre"), "key").join(apart, ["centre", "class"], "left")
     rest = rest.withColumn("far", F.when(F.col("class") == F.col("centre"), F.lit(0.0)).otherwise(F.col("far")))
-    rest = save(rest.select("key", "class", "n", "component", "far", "centre"), "near-rest")
+    rest = save(rest.select("key", "class", "n", "component", "far", "centre").join(classes.select("class", "sketch"), "class"), "near-rest")
     x, y = rest.alias("x"), rest.alias("y")
     reach = F.lit(1 - percent / 100 + 1e-9)
     near = F.abs(F.col("x.far") - F.col("y.far")) <= reach
+    differ = reduce(add, [F.bit_count(F.col("x.sketch")[i].bitwiseXOR(F.col("y.sketch")[i])) for i in range(SKETCH)])
+    alike = differ * (100 + percent) <= (F.col("x.n") + F.col("y.n")) * (100 - percent)
     more = x.join(y, (F.col("x.key") == F.col("y.key")) & (F.col("x.class") < F.col("y.class")) & (F.col("x.component") != F.col("y.component"))
-                  & (F.col("x.class") != F.col("x.centre")) & (F.col("y.class") != F.col("y.centre")) & F.coalesce(near, F.lit(True)) & sizes(F.col("x.n"), F.col("y.n")))
+                  & (F.col("x.class") != F.col("x.centre")) & (F.col("y.class") != F.col("y.centre")) & F.coalesce(near, F.lit(True)) & sizes(F.col("x.n"), F.col("y.n")) & alike)
     more = more.select(F.col("x.class").alias("a"), F.col("y.class").alias("b"), F.col("x.n").alias("na"), F.col("y.n").alias("nb")).distinct()
     more = confirm(docs, more.join(tested, ["a", "b"], "left_anti"), k).where(linked(percent)).select("a", "b")
     if more.limit(1).count():
