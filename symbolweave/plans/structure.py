@@ -25,7 +25,7 @@ sm AS (SELECT id, 'god_type' AS smell, CAST(properties AS BIGINT) AS metric, CAS
  UNION ALL SELECT id, 'deep_nesting', CAST(depth AS BIGINT), 'warning' FROM mt WHERE depth > 5
  UNION ALL SELECT id, 'high_fan_out', n, 'warning' FROM fo WHERE id IN (SELECT id FROM nodes WHERE kind = 'function') UNION ALL SELECT id, 'high_fan_in', n, 'warning' FROM fi WHERE id IN (SELECT id FROM nodes WHERE kind = 'function'))"""
 TERMS_SQL = """WITH tk AS (SELECT doc_id, list_sort(list_distinct(list_filter(string_split(lower(trim(regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(concat_ws(' ', coalesce(source, ''), coalesce(text, '')),
- '([a-z])([A-Z])', '\\1 \\2', 'g'), '([a-z])([A-Z])', '\\1 \\2', 'g'), '([A-Za-z])([0-9])', '\\1 \\2', 'g'), '([A-Za-z])([0-9])', '\\1 \\2', 'g'), '([0-9])([A-Za-z])', '\\1 \\2', 'g'), '([0-9])([A-Za-z])', '\\1 \\2', 'g'), '[^A-Za-z0-9]+', ' ', 'g'))), ' '), x -> x <> ''))) AS terms FROM documents)"""
+ '([a-z])([A-Z])', '\\1 \\2', 'g'), '([a-z])([A-Z])', '\\1 \\2', 'g'), '([A-Za-z])([0-9])', '\\1 \\2', 'g'), '([A-Za-z])([0-9])', '\\1 \\2', 'g'), '([0-9])([A-Za-z])', '\\1 \\2', 'g'), '([0-9])([A-Za-z])', '\\1 \\2', 'g'), '[^A-Za-z0-9]+', ' ', 'g'))), ' '), lambda x: x <> ''))) AS terms FROM documents)"""
 BM25_SQL = TERMS_SQL + """, po AS (SELECT doc_id, unnest(terms) AS term, len(terms) AS len FROM tk), st AS (SELECT count(*) AS n, avg(len(terms)) AS al FROM tk),
 ht AS (SELECT * FROM po WHERE term IN ({terms})), df AS (SELECT term, count(*) AS df FROM ht GROUP BY term),
 bm AS (SELECT doc_id AS id, sum(ln(1 + (n - df + 0.5) / (df + 0.5)) * 2.2 / (1 + 1.2 * (0.25 + 0.75 * len / al))) AS score, count(*) AS matched FROM ht JOIN df USING (term), st GROUP BY doc_id)"""
@@ -113,7 +113,7 @@ QUERIES = {
     "invalidation_sources": (lambda s, d: structure.invalidation_sources(G(s, d), "o:3"), GRAPH_SQL + ", w(id) AS (SELECT 'o:3' UNION SELECT target FROM w JOIN edges ON source = id AND kind = 'reads') SELECT id, name FROM nodes WHERE invalidation AND id IN (FROM w)"),
     "symbol_usages": (lambda s, d: structure.usages(G(s, d), "p:2"), GRAPH_SQL + " SELECT e.target, e.source, n.name, n.file, e.kind, e.confidence, count(*) OVER () AS total FROM edges e JOIN nodes n ON n.id = e.source WHERE e.target = 'p:2' AND e.kind IN ('calls','reads','writes','type_ref','implements')"),
     "api_surface": (lambda s, d: structure.api_surface(G(s, d), "c:1"), GRAPH_SQL + " SELECT id, name, kind, visibility, 'members' AS section FROM nodes WHERE id IN (SELECT target FROM edges WHERE kind = 'contains' AND source = 'c:1') AND visibility <> 'private'"),
-    "module_for_file": (_files, "SELECT DISTINCT 'catalog/' || split_part(p_type, ' ', 1) || '/' || p_brand || '.rs' AS file, CASE WHEN starts_with(p_type, 'PROMO ') THEN 'promo' ELSE 'catalog' END AS module FROM part"),
+    "module_for_file": (_files, "SELECT DISTINCT 'catalog/' || split_part(p_type, ' ', 1) || '/' || p_brand || '.rs' AS file, CASE WHEN split_part(p_type, ' ', 1) = 'PROMO' THEN 'promo' ELSE 'catalog' END AS module FROM part"),
     "complexity_types": (lambda s, d: health.complexity(G(s, d)), GRAPH_SQL + SMELL_SQL + """, dq AS (SELECT im.id, count(DISTINCT e.target) AS dependencies FROM im JOIN edges e ON e.source = im.by AND e.kind IN ('reads','calls') GROUP BY im.id),
  pt AS (SELECT *, CASE WHEN properties > 15 THEN 3 WHEN properties > 8 THEN 2 WHEN properties > 5 THEN 1 ELSE 0 END + CASE WHEN invalidation > 5 THEN 3 WHEN invalidation > 3 THEN 2 WHEN invalidation > 1 THEN 1 ELSE 0 END + CASE WHEN depth > 5 THEN 2 WHEN depth > 3 THEN 1 ELSE 0 END AS points FROM mt)
  SELECT id, properties, methods, coalesce(dependencies, 0) AS dependencies, invalidation, 0 AS init_labels, 0 AS extensions, children, depth, points, CASE WHEN points <= 2 THEN 'low' WHEN points <= 5 THEN 'medium' WHEN points <= 8 THEN 'high' ELSE 'critical' END AS severity FROM pt LEFT JOIN dq USING (id)"""),
@@ -129,10 +129,10 @@ QUERIES = {
     "prune": (lambda s, d: G(s, d).prune().edges.groupBy("kind").agg(F.count("*").alias("n")), GRAPH_SQL + " SELECT kind, count(*) AS n FROM edges WHERE target IN (SELECT id FROM nodes) GROUP BY kind"),
     "select_nodes": (lambda s, d: G(s, d).select_nodes(kind="property", role="terminal", metadata_key="swiftui.invalidation_source").select("id", "name"), GRAPH_SQL + " SELECT id, name FROM nodes WHERE kind = 'property' AND invalidation"),
     "select_edges": (lambda s, d: G(s, d).select_edges(kind="uses", external_only=True).select("source", "target"), GRAPH_SQL + " SELECT source, target FROM edges WHERE kind = 'uses'"),
-    "normalize_edges": (lambda s, d: G(s, d).normalise().edges.select("source", "target", "kind", F.coalesce("direction", F.lit("")).alias("direction"), "confidence", F.size("provenance").alias("spots")), GRAPH_SQL + " SELECT source, target, kind, coalesce(direction, '') AS direction, max(confidence) AS confidence, count(DISTINCT at) AS spots FROM edges GROUP BY source, target, kind, coalesce(direction, ''), coalesce(condition, ''), coalesce(CAST(async_boundary AS VARCHAR), '')"),
+    "normalize_edges": (lambda s, d: G(s, d).normalise().edges.select("source", "target", "kind", F.coalesce("direction", F.lit("")).alias("direction"), "confidence", F.size("provenance").alias("spots")), GRAPH_SQL + " SELECT source, target, kind, coalesce(direction, '') AS direction, max(confidence) AS confidence, count(DISTINCT spot) AS spots FROM edges GROUP BY source, target, kind, coalesce(direction, ''), coalesce(condition, ''), coalesce(CAST(async_boundary AS VARCHAR), '')"),
     "normalize_nodes": (lambda s, d: (lambda g: type(g)(g.nodes.unionByName(g.nodes.where("kind = 'struct'").withColumns({"kind": F.lit("class"), "visibility": F.lit("crate"), "file": F.lit("zz.rs")})), g.edges).normalise().nodes.select("id", "kind", "file", "visibility"))(G(s, d)), GRAPH_SQL + " SELECT id, CASE kind WHEN 'struct' THEN 'class' ELSE kind END AS kind, file, CASE WHEN kind = 'struct' AND visibility = 'private' THEN 'crate' ELSE visibility END AS visibility FROM nodes"),
     "graph_delta": (_delta, GRAPH_SQL + " SELECT 'node' AS item, id AS key, CASE kind WHEN 'struct' THEN 'deleted' ELSE 'updated' END AS change_type FROM nodes WHERE kind = 'struct' AND start_line % 70 = 0 OR kind = 'property' AND start_line % 130 = 0"),
-    "compact_group": (lambda s, d: G(s, d).compact().select("id", "relation", F.array_join("names", ",").alias("names")), GRAPH_SQL + " SELECT source AS id, CASE kind WHEN 'contains' THEN 'members' ELSE kind END AS relation, string_agg(n.name, ',' ORDER BY n.name) AS names FROM edges e JOIN nodes n ON n.id = e.target WHERE e.kind <> 'uses' GROUP BY source, e.kind"),
+    "compact_group": (lambda s, d: G(s, d).compact().select("id", "relation", F.array_join("names", ",").alias("names")), GRAPH_SQL + " SELECT source AS id, CASE e.kind WHEN 'contains' THEN 'members' ELSE e.kind END AS relation, string_agg(n.name, ',' ORDER BY n.name) AS names FROM edges e JOIN nodes n ON n.id = e.target WHERE e.kind <> 'uses' GROUP BY source, e.kind"),
     "changed_symbols": (lambda s, d: records.changed_symbols(G(s, d), _hunks(s, d)), GRAPH_SQL + ", h AS (SELECT 'catalog/' || p_type || '.rs' AS file, p_partkey * 10 + 5 AS a, p_partkey * 10 + 12 AS b FROM part WHERE p_partkey % 97 = 0) SELECT DISTINCT id FROM nodes n JOIN h ON n.file = h.file AND n.start_line <= b AND a <= n.start_line + 9"),
     "tokenize_terms": (lambda s, d: s.read.parquet(f"{d}/documents.parquet").select("doc_id", F.array_join(search_terms(F.coalesce("source", F.lit("")), F.coalesce("text", F.lit(""))), " ").alias("terms")), TERMS_SQL + " SELECT doc_id, array_to_string(terms, ' ') AS terms FROM tk"),
     "search_bm25": (lambda s, d: bm25(corpus(s, d).bm25(QUERY)), BM25_SQL.format(terms=IN) + " SELECT id, round(score, 6) AS score, matched FROM bm"),

@@ -98,7 +98,7 @@ nodes AS MATERIALIZED (
   CASE split_part(p_type, ' ', 1) WHEN 'PROMO' THEN 'network' WHEN 'ECONOMY' THEN 'persistence' WHEN 'MEDIUM' THEN 'cache' WHEN 'SMALL' THEN 'event' WHEN 'LARGE' THEN 'keychain' WHEN 'STANDARD' THEN 'search' END, p_size > 40 FROM part
  UNION ALL SELECT 'o:' || o_orderkey, 'function', 'order_' || o_orderkey, 'orders/y' || year(o_orderdate) || '.rs', CAST(o_orderkey * 10 AS INTEGER), CASE o_orderstatus WHEN 'O' THEN 'public' WHEN 'P' THEN 'crate' ELSE 'private' END, r_name, CASE WHEN o_orderpriority = '1-URGENT' THEN 'entry_point' END, NULL, false FROM ord),
 edges AS MATERIALIZED (
- SELECT 'r:' || n_regionkey AS source, 'n:' || nk AS target, 'contains' AS kind, CAST(1.0 AS DOUBLE) AS confidence, CAST(NULL AS VARCHAR) AS direction, CAST(NULL AS VARCHAR) AS condition, CAST(NULL AS BOOLEAN) AS async_boundary, CAST(NULL AS INTEGER) AS at FROM place
+ SELECT 'r:' || n_regionkey AS source, 'n:' || nk AS target, 'contains' AS kind, CAST(1.0 AS DOUBLE) AS confidence, CAST(NULL AS VARCHAR) AS direction, CAST(NULL AS VARCHAR) AS condition, CAST(NULL AS BOOLEAN) AS async_boundary, CAST(NULL AS INTEGER) AS spot FROM place
  UNION ALL SELECT 'n:' || s_nationkey, 's:' || s_suppkey, 'contains', 1.0, NULL, NULL, NULL, NULL FROM supplier
  UNION ALL SELECT 'n:' || c_nationkey, 'c:' || c_custkey, 'contains', 1.0, NULL, NULL, NULL, NULL FROM customer
  UNION ALL SELECT 'c:' || o_custkey, 'o:' || o_orderkey, 'contains', 1.0, NULL, NULL, NULL, NULL FROM ord
