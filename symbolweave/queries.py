@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from importlib import import_module
 
-TOPICS = ("flow", "structure")
+TOPICS = ("flow", "structure", "upkeep")
 
 
 def _all():
