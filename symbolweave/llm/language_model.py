@@ -1,11 +1,11 @@
 """LM scoring with a weighted backoff automaton.
 
 A bigram model with absolute discounting is counted on all training documents. Its automaton has a root state and a
-state for each word that makes up STATE_SHARE of the training tokens; an arc (u, v) is kept for each bigram of at least
-ARC_MIN occurrences from such a state to a word of at least WORD_SHARE, with weight log10 p(v|u); a state's failure arc
-leads to the root with weight log10 of the mass that its arcs leave over, and the root has an arc for every word and one
-for unknown words. So the words grow with the corpus without limit, and bigrams with those that repeat. A text is
-traversed once from left to right: at each token the state takes its arc, or fails to the root and takes the root's.
+state for each word of at least STATE_MIN training occurrences; an arc (u, v) is kept for each bigram of at least
+ARC_MIN occurrences from such a state, with weight log10 p(v|u); a state's failure arc leads to the root with weight
+log10 of the mass that its arcs leave over, and the root has an arc for every word and one for unknown words. Both
+bounds are counts, the same at every size, so words, states and arcs grow with the corpus. A text is traversed once
+from left to right: at each token the state takes its arc, or fails to the root and takes the root's.
 
 Documents are tokenised once, into blocks of about BLOCK_BYTES with a dictionary each, written bucketed by block.
 Word and bigram counts are summed by shuffles of (key, block, count); each block gets back the part of the automaton
@@ -27,22 +27,12 @@ from pyspark.sql import functions as F
 
 from symbolweave.llm.common import bucketed, chunks, held_out, mix64, partition_id, save, words
 
-HELD_OUT, ARC_MIN, ARC_DISCOUNT = 10, 2, 0.75
-#: A word has a state from this share of the training tokens on, and arcs lead to words from that share on, though not below the counts.
-STATE_SHARE, STATE_MIN, WORD_SHARE, WORD_MIN = 3e-5, 8, 1e-5, 2
+HELD_OUT, STATE_MIN, ARC_MIN, ARC_DISCOUNT = 10, 8, 2, 0.75
 #: Text bytes of a block: half of what other operators hold, as a block's tokens take several arrays of eight bytes each.
 BLOCK_BYTES = 8 << 20
 END = 1  # the key of the end token
 
 
-def state_min(total: int) -> float:
-    return max(STATE_MIN, STATE_SHARE * total)
-
-
-def word_min(total: int) -> float:
-    return max(WORD_MIN, WORD_SHARE * total)
-
-
 def _blocks(block_bytes: int):
     """Documents as indexes into their block's dictionary, then the dictionary with its training counts."""
 
@@ -120,27 +110,23 @@ def _pair_keys(keys: np.ndarray, u: np.ndarray, v: np.ndarray) -> np.ndarray:
     return mix64(keys[u].view(np.uint64) * np.uint64(0x9E3779B97F4A7C15) + keys[v].view(np.uint64)).view(np.int64)
 
 
-def _pairs(total: int):
+def _pairs(block: pa.Table, side: pa.Table) -> pa.Table:
     """The block's bigrams that may become arcs: key, key of the first word, how often in training documents."""
     schema = pa.schema([("pair", pa.int64()), ("key", pa.int64()), ("block", pa.int64()), ("n", pa.int64())])
-
-    def run(block: pa.Table, side: pa.Table) -> pa.Table:
-        if not block.num_rows:
-            return schema.empty_table()
-        docs, stream, first, keys = _parts(block)
-        count = _counts(side, len(keys))
-        train = np.repeat(~np.array(docs.column("held_out")), np.diff(first))
-        inner = np.ones(len(stream), bool)
-        inner[first[:-1]] = False  # the first token of a document has no predecessor
-        at = np.flatnonzero(inner)
-        at = at[(count[stream[at - 1]] >= state_min(total)) & (count[stream[at]] >= word_min(total))]
-        code, where = np.unique(stream[at - 1].astype(np.int64) * len(keys) + stream[at], return_inverse=True)
-        n = np.bincount(where, weights=train[at], minlength=len(code)).astype(np.int64)
-        u, v = code // len(keys), code % len(keys)
-        number = np.full(len(code), block.column("block")[0].as_py())
-        return pa.Table.from_arrays([pa.array(x) for x in (_pair_keys(keys, u, v), keys[u], number, n)], schema=schema)
-
-    return run
+    if not block.num_rows:
+        return schema.empty_table()
+    docs, stream, first, keys = _parts(block)
+    count = _counts(side, len(keys))
+    train = np.repeat(~np.array(docs.column("held_out")), np.diff(first))
+    inner = np.ones(len(stream), bool)
+    inner[first[:-1]] = False  # the first token of a document has no predecessor
+    at = np.flatnonzero(inner)
+    at = at[(count[stream[at - 1]] >= STATE_MIN) & (count[stream[at]] >= ARC_MIN)]
+    code, where = np.unique(stream[at - 1].astype(np.int64) * len(keys) + stream[at], return_inverse=True)
+    n = np.bincount(where, weights=train[at], minlength=len(code)).astype(np.int64)
+    u, v = code // len(keys), code % len(keys)
+    number = np.full(len(code), block.column("block")[0].as_py())
+    return pa.Table.from_arrays([pa.array(x) for x in (_pair_keys(keys, u, v), keys[u], number, n)], schema=schema)
 
 
 def word_probability(c, total: int, types: int, discount: float):
@@ -208,12 +194,12 @@ def lm_scores(docs: DataFrame, block_bytes: int = BLOCK_BYTES) -> DataFrame:
     total, types = int(totals["total"] or 0), int(totals["types"] or 0)
     discount = totals["n1"] / (totals["n1"] + 2 * totals["n2"]) if totals["n1"] else 0.5
     word_rows = known.select("block", F.lit(0).alias("kind"), "at", F.lit(0).cast("long").alias("a"), F.col("c").alias("b")).where("b > 0")
-    pairs = blocks.groupBy("block").cogroup(word_rows.groupBy("block")).applyInArrow(_pairs(total), "pair long, key long, block long, n long")
+    pairs = blocks.groupBy("block").cogroup(word_rows.groupBy("block")).applyInArrow(_pairs, "pair long, key long, block long, n long")
     by_pair = Window.partitionBy("pair")
     arcs = pairs.select("pair", "key", "block", F.sum("n").over(by_pair).alias("c"), (F.min("block").over(by_pair) == F.col("block")).alias("first"))
     arcs = save(arcs.where(F.col("c") >= ARC_MIN), "lm-arcs")
     states = arcs.where("first").groupBy("key").agg(F.sum("c").alias("kept"), F.count(F.lit(1)).alias("arcs"))
-    state_rows = known.where(F.col("c") >= state_min(total)).join(states, "key").select("block", F.lit(2).alias("kind"), "at", F.col("kept").alias("a"), F.col("arcs").alias("b"))
+    state_rows = known.where(F.col("c") >= STATE_MIN).join(states, "key").select("block", F.lit(2).alias("kind"), "at", F.col("kept").alias("a"), F.col("arcs").alias("b"))
     arc_rows = arcs.select("block", F.lit(1).alias("kind"), F.lit(0).alias("at"), F.col("pair").alias("a"), F.col("c").alias("b"))
     side = word_rows.unionByName(arc_rows).unionByName(state_rows)
     scored = blocks.groupBy("block").cogroup(side.groupBy("block")).applyInArrow(
