@@ -8,9 +8,11 @@ bounds are counts, the same at every size, so words, states and arcs grow with t
 from left to right: at each token the state takes its arc, or fails to the root and takes the root's.
 
 Documents are tokenised once, into blocks of about BLOCK_BYTES with a dictionary each, written bucketed by block.
-Word and bigram counts are summed by shuffles of (key, block, count); each block gets back the part of the automaton
-that its own words need, so no model is ever held whole, whatever the vocabulary. A word's group in a shuffle has at
-most one row a block. Word and bigram keys are 64-bit hashes.
+Word counts are summed by a shuffle of (key, block, count). A block's distinct bigrams are sorted by key and sent as
+packed cells, one for each of the key ranges of about RANGE_PAIRS bigrams that the corpus needs; a range sums them
+and answers each cell with its arcs. The first block that has an arc counts it for its state. So each block gets back
+the part of the automaton that its own words need, and no model is ever held whole, whatever the vocabulary; a key has
+at most one entry a block in its group. Word and bigram keys are 64-bit hashes.
 
 Edge cases: null and empty texts are the end token alone; repeated rows are scored one by one and counted one by one;
 a null doc_id counts as the empty text for the split; without training documents every token is unknown
@@ -30,6 +32,9 @@ from symbolweave.llm.common import bucketed, chunks, held_out, mix64, partition_
 HELD_OUT, STATE_MIN, ARC_MIN, ARC_DISCOUNT = 10, 8, 2, 0.75
 #: Text bytes of a block: half of what other operators hold, as a block's tokens take several arrays of eight bytes each.
 BLOCK_BYTES = 8 << 20
+#: Training bigrams that a key range holds, about; the number of ranges grows with the corpus.
+RANGE_PAIRS = 1 << 20
+SIDE = "block long, kind int, at int, a long, b long, x binary, y binary"
 END = 1  # the key of the end token
 
 
@@ -93,40 +98,132 @@ def _parts(block: pa.Table):
     return docs, np.concatenate(ids).astype(np.int32), np.cumsum([0, *map(len, ids)]), np.frombuffer(dictionary.column("ids")[0].as_py(), "<i8")
 
 
-def _table(side: pa.Table, kind: int):
-    mask = np.array(side.column("kind")) == kind
-    return [np.array(side.column(c))[mask] for c in ("at", "a", "b")]
+def _pack(values: np.ndarray) -> bytes:
+    """64-bit values by byte planes: all lowest bytes first. The planes of zeros vanish when a shuffle compresses them."""
+    return values.astype("<i8", copy=False).view(np.uint8).reshape(-1, 8).T.tobytes()
 
 
-def _counts(side: pa.Table, n: int) -> np.ndarray:
-    """Training counts of the block's words, by index."""
-    at, _, c = _table(side, 0)
-    out = np.zeros(n, np.int64)
+def _unpack(packed: bytes) -> np.ndarray:
+    return np.ascontiguousarray(np.frombuffer(packed, np.uint8).reshape(8, -1).T).view("<i8").ravel()
+
+
+def _gaps(values: np.ndarray) -> np.ndarray:
+    return np.diff(values, prepend=values.dtype.type(0)).view(np.int64)
+
+
+def _kind(side: pa.Table, kind: int) -> pa.Table:
+    return side.filter(pc.equal(side.column("kind"), kind))
+
+
+def _pack_counts(part: pa.Table) -> pa.Table:
+    """The training counts of a block's words, by index, as one row."""
+    at, c = np.array(part.column("at")), np.array(part.column("c"))
+    out = np.zeros(len(at), np.int64)
     out[at] = c
-    return out
+    return _side_rows(part.column("block")[0].as_py(), 0, [0], [_pack(out)], [None])
+
+
+def _side_rows(block, kind: int, at: list, x: list, y: list) -> pa.Table:
+    n = len(at)
+    none = pa.nulls(n, pa.int64())
+    block = pa.array([block] * n if np.isscalar(block) else block, pa.int64())
+    cols = [block, pa.array([kind] * n, pa.int32()), pa.array(at, pa.int32()), none, none, pa.array(x, pa.binary()), pa.array(y, pa.binary())]
+    return pa.Table.from_arrays(cols, ["block", "kind", "at", "a", "b", "x", "y"])
+
+
+def _counts(side: pa.Table) -> np.ndarray:
+    """Training counts of the block's words, by index."""
+    return _unpack(_kind(side, 0).column("x")[0].as_py())
 
 
 def _pair_keys(keys: np.ndarray, u: np.ndarray, v: np.ndarray) -> np.ndarray:
-    return mix64(keys[u].view(np.uint64) * np.uint64(0x9E3779B97F4A7C15) + keys[v].view(np.uint64)).view(np.int64)
+    return mix64(keys[u].view(np.uint64) * np.uint64(0x9E3779B97F4A7C15) + keys[v].view(np.uint64))
 
 
-def _pairs(block: pa.Table, side: pa.Table) -> pa.Table:
-    """The block's bigrams that may become arcs: key, key of the first word, how often in training documents."""
-    schema = pa.schema([("pair", pa.int64()), ("key", pa.int64()), ("block", pa.int64()), ("n", pa.int64())])
-    if not block.num_rows:
-        return schema.empty_table()
-    docs, stream, first, keys = _parts(block)
-    count = _counts(side, len(keys))
-    train = np.repeat(~np.array(docs.column("held_out")), np.diff(first))
+def _bigrams(stream, first, keys, count):
+    """Of a block's bigrams that may become arcs: where their second words are, and the keys there."""
     inner = np.ones(len(stream), bool)
     inner[first[:-1]] = False  # the first token of a document has no predecessor
     at = np.flatnonzero(inner)
     at = at[(count[stream[at - 1]] >= STATE_MIN) & (count[stream[at]] >= ARC_MIN)]
-    code, where = np.unique(stream[at - 1].astype(np.int64) * len(keys) + stream[at], return_inverse=True)
-    n = np.bincount(where, weights=train[at], minlength=len(code)).astype(np.int64)
-    u, v = code // len(keys), code % len(keys)
-    number = np.full(len(code), block.column("block")[0].as_py())
-    return pa.Table.from_arrays([pa.array(x) for x in (_pair_keys(keys, u, v), keys[u], number, n)], schema=schema)
+    return at, _pair_keys(keys, stream[at - 1], stream[at])
+
+
+def _cells(pairs: np.ndarray, ranges: int):
+    """Of sorted keys: the ranges that they fall into, and where each range's begin (with the end last)."""
+    number = (pairs >> np.uint64(32)) * np.uint64(ranges) >> np.uint64(32)
+    found, starts = np.unique(number, return_index=True)
+    return found.astype(np.int64), np.append(starts, len(pairs))
+
+
+def _pairs(ranges: int):
+    """The block's distinct bigrams, packed by key range, and how often each is in training documents."""
+    schema = pa.schema([("range", pa.int64()), ("block", pa.int64()), ("pairs", pa.binary()), ("n", pa.binary())])
+
+    def run(block: pa.Table, side: pa.Table) -> pa.Table:
+        if not block.num_rows:
+            return schema.empty_table()
+        docs, stream, first, keys = _parts(block)
+        train = np.repeat(~np.array(docs.column("held_out")), np.diff(first))
+        at, pairs = _bigrams(stream, first, keys, _counts(side))
+        pairs, where = np.unique(pairs, return_inverse=True)
+        n = np.bincount(where, weights=train[at], minlength=len(pairs)).astype(np.int64)
+        found, starts = _cells(pairs, ranges)
+        cells = [slice(lo, hi) for lo, hi in zip(starts[:-1], starts[1:], strict=True)]
+        number = np.full(len(found), block.column("block")[0].as_py())
+        packed = [pa.array([_pack(f(x[c])) for c in cells], pa.binary()) for x, f in ((pairs, _gaps), (n, np.asarray))]
+        return pa.Table.from_arrays([pa.array(found), pa.array(number), *packed], schema=schema)
+
+    return run
+
+
+def _answer(part: pa.Table) -> pa.Table:
+    """For each cell of a key range its arcs: where they are in the cell, and twice the count, plus one for the first block that has the arc."""
+    part = part.sort_by("block")
+    cells = [_unpack(x).cumsum().view(np.uint64) for x in part.column("pairs").to_pylist()]
+    n = np.concatenate([_unpack(x) for x in part.column("n").to_pylist()])
+    pairs, first, where = np.unique(np.concatenate(cells), return_index=True, return_inverse=True)
+    total = np.zeros(len(pairs), np.int64)
+    np.add.at(total, where, n)
+    told = 2 * total[where]
+    told[first] += 1
+    stops = np.cumsum([0, *map(len, cells)])
+    x, y = [], []
+    for lo, hi in zip(stops[:-1], stops[1:], strict=True):
+        arcs = np.flatnonzero(told[lo:hi] >= 2 * ARC_MIN)
+        x.append(_pack(_gaps(arcs)))
+        y.append(_pack(told[lo:hi][arcs]))
+    return _side_rows(part.column("block").to_pylist(), 1, part.column("range").to_pylist(), x, y)
+
+
+def _arcs(side: pa.Table, pairs: np.ndarray, ranges: int):
+    """Of the block's sorted distinct bigrams those that are arcs: their indexes, counts, and whether this block is the first that has them."""
+    answers = _kind(side, 1).sort_by("at")
+    found, starts = _cells(pairs, ranges)
+    begin = starts[:-1][np.searchsorted(found, np.array(answers.column("at"), np.int64))]
+    told = [(lo + _unpack(x).cumsum(), _unpack(y)) for lo, x, y in zip(begin, answers.column("x").to_pylist(), answers.column("y").to_pylist(), strict=True)]
+    index, value = (np.concatenate([t[i] for t in told]) if told else np.zeros(0, np.int64) for i in (0, 1))
+    return index, value >> 1, (value & 1).astype(bool)
+
+
+def _states(ranges: int):
+    """The states of arcs that this block is the first to have: key of the word, sum of those arcs' counts, their number."""
+    schema = pa.schema([("key", pa.int64()), ("kept", pa.int64()), ("arcs", pa.int64())])
+
+    def run(block: pa.Table, side: pa.Table) -> pa.Table:
+        if not block.num_rows:
+            return schema.empty_table()
+        _, stream, first, keys = _parts(block)
+        at, pairs = _bigrams(stream, first, keys, _counts(side))
+        pairs, some = np.unique(pairs, return_index=True)
+        index, c, mine = _arcs(side, pairs, ranges)
+        u = stream[at[some[index[mine]]] - 1]
+        kept = np.bincount(u, weights=c[mine], minlength=len(keys)).astype(np.int64)
+        arcs = np.bincount(u, minlength=len(keys))
+        has = np.flatnonzero(arcs)
+        return pa.Table.from_arrays([pa.array(x) for x in (keys[has], kept[has], arcs[has])], schema=schema)
+
+    return run
 
 
 def word_probability(c, total: int, types: int, discount: float):
@@ -158,20 +255,20 @@ def traverse(stream, first, keys, count, state_mass, arcs, arc_count, total, typ
     return np.log10(p)
 
 
-def _score(total: int, types: int, discount: float):
+def _score(ranges: int, total: int, types: int, discount: float):
     def run(block: pa.Table, side: pa.Table) -> pa.Table:
         names = ["doc_id", "held_out", "n_tokens", "n_known", "base_score", "score"]
         schema = pa.schema(list(zip(names, [pa.int64(), pa.bool_(), pa.int64(), pa.int64(), pa.float64(), pa.float64()], strict=True)))
         if not block.num_rows:
             return schema.empty_table()
         docs, stream, first, keys = _parts(block)
-        count = _counts(side, len(keys))
+        count = _counts(side)
         mass = np.full(len(keys), np.nan)
-        at, kept, arcs_of = _table(side, 2)
+        at, kept, arcs_of = (np.array(_kind(side, 2).column(c)) for c in ("at", "a", "b"))
         mass[at] = (count[at] - kept + ARC_DISCOUNT * arcs_of) / count[at]
-        _, arc, arc_count = _table(side, 1)
-        order = np.argsort(arc)
-        logs = traverse(stream, first, keys, count, mass, arc[order], arc_count[order], total, types, discount)
+        pairs = np.unique(_bigrams(stream, first, keys, count)[1])
+        arc, arc_count, _ = _arcs(side, pairs, ranges)
+        logs = traverse(stream, first, keys, count, mass, pairs[arc], arc_count, total, types, discount)
         base = np.log10((count[stream] + 0.1) / (total + 0.1 * (types + 1)))
         sums = [np.add.reduceat(x, first[:-1]) for x in ((count[stream] > 0).astype(np.int64), base, logs)]
         cols = [docs.column("doc_id"), docs.column("held_out"), pa.array(np.diff(first)), *map(pa.array, sums)]
@@ -193,16 +290,19 @@ def lm_scores(docs: DataFrame, block_bytes: int = BLOCK_BYTES) -> DataFrame:
                        F.sum(once * (F.col("c") == 1).cast("int")).alias("n1"), F.sum(once * (F.col("c") == 2).cast("int")).alias("n2")).first()
     total, types = int(totals["total"] or 0), int(totals["types"] or 0)
     discount = totals["n1"] / (totals["n1"] + 2 * totals["n2"]) if totals["n1"] else 0.5
-    word_rows = known.select("block", F.lit(0).alias("kind"), "at", F.lit(0).cast("long").alias("a"), F.col("c").alias("b")).where("b > 0")
-    pairs = blocks.groupBy("block").cogroup(word_rows.groupBy("block")).applyInArrow(_pairs, "pair long, key long, block long, n long")
-    by_pair = Window.partitionBy("pair")
-    arcs = pairs.select("pair", "key", "block", F.sum("n").over(by_pair).alias("c"), (F.min("block").over(by_pair) == F.col("block")).alias("first"))
-    arcs = save(arcs.where(F.col("c") >= ARC_MIN), "lm-arcs")
-    states = arcs.where("first").groupBy("key").agg(F.sum("c").alias("kept"), F.count(F.lit(1)).alias("arcs"))
-    state_rows = known.where(F.col("c") >= STATE_MIN).join(states, "key").select("block", F.lit(2).alias("kind"), "at", F.col("kept").alias("a"), F.col("arcs").alias("b"))
-    arc_rows = arcs.select("block", F.lit(1).alias("kind"), F.lit(0).alias("at"), F.col("pair").alias("a"), F.col("c").alias("b"))
-    side = word_rows.unionByName(arc_rows).unionByName(state_rows)
-    scored = blocks.groupBy("block").cogroup(side.groupBy("block")).applyInArrow(
-        _score(total, types, discount), "doc_id long, held_out boolean, n_tokens long, n_known long, base_score double, score double"
+    ranges = max(1, -(-total // RANGE_PAIRS))
+    counts = known.select("block", "at", "c").groupBy("block").applyInArrow(_pack_counts, SIDE)
+    counts = save(counts, "lm-counts")
+    by_block = blocks.groupBy("block")
+    cells = by_block.cogroup(counts.groupBy("block")).applyInArrow(_pairs(ranges), "range long, block long, pairs binary, n binary")
+    told = counts.unionByName(save(cells.groupBy("range").applyInArrow(_answer, SIDE), "lm-arcs"))
+    states = by_block.cogroup(told.groupBy("block")).applyInArrow(_states(ranges), "key long, kept long, arcs long")
+    states = save(states.groupBy("key").agg(F.sum("kept").alias("kept"), F.sum("arcs").alias("arcs")), "lm-states")
+    none = F.lit(None).cast("binary")
+    state_rows = known.where(F.col("c") >= STATE_MIN).join(states, "key").select(
+        "block", F.lit(2).alias("kind"), "at", F.col("kept").alias("a"), F.col("arcs").alias("b"), none.alias("x"), none.alias("y")
+    )
+    scored = by_block.cogroup(told.unionByName(state_rows).groupBy("block")).applyInArrow(
+        _score(ranges, total, types, discount), "doc_id long, held_out boolean, n_tokens long, n_known long, base_score double, score double"
     )
     return scored.select("doc_id", "held_out", "n_tokens", "n_known", F.lit(total).cast("long").alias("train_tokens"), "base_score", "score")

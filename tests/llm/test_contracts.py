@@ -191,6 +191,18 @@ def test_language_model(spark, sf_dir, docs):
     assert better > 0.9 * len(docs)
 
 
+def test_language_model_is_one_over_blocks_and_ranges(spark, sf_dir, monkeypatch):
+    from symbolweave.llm import language_model
+
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    whole = {r["doc_id"]: r.asDict() for r in language_model.lm_scores(docs).collect()}
+    monkeypatch.setattr(language_model, "RANGE_PAIRS", 3000)
+    cut = {r["doc_id"]: r.asDict() for r in language_model.lm_scores(docs, block_bytes=50_000).collect()}
+    assert cut.keys() == whole.keys()
+    for d, r in cut.items():
+        assert r == pytest.approx(whole[d])
+
+
 def test_shards(spark, sf_dir, docs):
     got = rows(spark, sf_dir, "op8_byte_balanced_shards")
     assert sorted(r["doc_id"] for r in got) == sorted(docs)
