@@ -1,11 +1,11 @@
 """LM scoring with a weighted backoff automaton.
 
 A bigram model with absolute discounting is counted on all training documents. Its automaton has a root state and a
-state for each word of at least STATE_MIN training occurrences; an arc (u, v) is kept for each bigram of at least
-ARC_MIN occurrences from such a state, with weight log10 p(v|u); a state's failure arc leads to the root with weight
-log10 of the mass that its arcs leave over, and the root has an arc for every word and one for unknown words. Both
-bounds are counts, the same at every size, so words, states and arcs grow with the corpus. A text is traversed once
-from left to right: at each token the state takes its arc, or fails to the root and takes the root's.
+state for each word that a training bigram begins with, and an arc (u, v) for each training bigram, with weight
+log10 p(v|u); a state's failure arc leads to the root with weight log10 of the mass that its arcs leave over, and the
+root has an arc for every word and one for unknown words. STATE_MIN and ARC_MIN are 1: nothing counted is left out, so
+words, states and arcs grow with the corpus. A text is traversed once from left to right: at each token the state takes
+its arc, or fails to the root and takes the root's.
 
 Documents are tokenised once, into blocks of about BLOCK_BYTES with a dictionary each, written bucketed by block.
 Word counts are summed by a shuffle of (key, block, count). A block's distinct bigrams are sorted by key and sent as
@@ -29,7 +29,7 @@ from pyspark.sql import functions as F
 
 from symbolweave.llm.common import bucketed, chunks, held_out, mix64, partition_id, save, words
 
-HELD_OUT, STATE_MIN, ARC_MIN, ARC_DISCOUNT = 10, 8, 2, 0.75
+HELD_OUT, STATE_MIN, ARC_MIN, ARC_DISCOUNT = 10, 1, 1, 0.75
 #: Text bytes of a block: half of what other operators hold, as a block's tokens take several arrays of eight bytes each.
 BLOCK_BYTES = 8 << 20
 #: Training bigrams that a key range holds, about; the number of ranges grows with the corpus.

@@ -203,6 +203,27 @@ def test_language_model_is_one_over_blocks_and_ranges(spark, sf_dir, monkeypatch
         assert r == pytest.approx(whole[d])
 
 
+def test_language_model_counts_rare_bigrams(spark):
+    from symbolweave.llm import language_model
+
+    train = [i for i in range(1, 40) if crc(i) % 10][:3]
+    texts = dict(zip(train, ["rare pair", "rare pair", "once only"], strict=True))
+    got = {r["doc_id"]: r["score"] for r in language_model.lm_scores(spark.createDataFrame(list(texts.items()), "doc_id long, text string")).collect()}
+    streams = {i: [*t.split(), "</s>"] for i, t in texts.items()}
+    c = Counter(w for s in streams.values() for w in s)
+    pairs = Counter(p for s in streams.values() for p in zip(s, s[1:], strict=False))
+    n, v = sum(c.values()), len(c)
+    discount = 2 / (2 + 2 * 2)  # two words seen once, two seen twice
+    for i, s in streams.items():
+        score = 0.0
+        for u, w in zip([None, *s], s, strict=False):
+            p = max(c[w] - discount, 0) / n + discount * v / n / (v + 1)
+            if u is not None:
+                p = 0.75 * sum(x == u for x, _ in pairs) / c[u] * p + (pairs[u, w] - 0.75) / c[u]
+            score += np.log10(p)
+        assert got[i] == pytest.approx(score)
+
+
 def test_shards(spark, sf_dir, docs):
     got = rows(spark, sf_dir, "op8_byte_balanced_shards")
     assert sorted(r["doc_id"] for r in got) == sorted(docs)
