@@ -6,12 +6,14 @@ Pass two cuts the written ids at fixed windows of seq_len tokens: a document tha
 a boundary record, for each. Nothing shuffles; all sequences but the last are full.
 
 Edge cases: a null or empty text is its end token alone; repeated rows are packed once each; very long documents span
-many sequences; an empty table gives an empty result. Strings of special tokens in a text are ordinary text.
+many sequences; an empty table gives an empty result. A literal of an added token in a text (<|endoftext|>) becomes
+that token's id, as byte_bpe_50k.json has it.
 """
 
 from __future__ import annotations
 
 import base64
+import json
 import os
 import re
 import zlib
@@ -37,8 +39,16 @@ def vocabulary_path() -> str:
     return public_tokenizers.path("byte_bpe_50k.tiktoken")
 
 
+def added_tokens() -> dict[str, int]:
+    """The added tokens of byte_bpe_50k.json; none has a condition on what stands beside it."""
+    import public_tokenizers
+
+    with open(public_tokenizers.path("byte_bpe_50k.json"), encoding="utf-8") as f:
+        return {t["content"]: t["id"] for t in json.load(f)["added_tokens"]}
+
+
 class WordEncoder(dict):
-    """Ids of a text as little-endian uint16 or uint32 bytes, from a cache keyed by the piece between two spaces.
+    """Ids of a text without added tokens, as little-endian uint16 or uint32 bytes, from a cache keyed by the piece between two spaces.
 
     The pattern of the vocabulary always starts a piece at a space that stands before a visible character, so such a
     text is the concatenation of its space-led pieces. Any other text is encoded whole.
@@ -81,9 +91,29 @@ class WordEncoder(dict):
         return self.whole(first) + b"".join(map(self.__getitem__, rest))
 
 
-def _tokenise(path: str, end_id: int):
+class TextEncoder:
+    """Ids of a text as the tokenizer of byte_bpe_50k.json gives them: added tokens are cut out before the rest is encoded."""
+
+    def __init__(self, path: str, added: dict[str, int]):
+        self.words = WordEncoder(path)
+        self.wide = self.words.wide or max(added.values(), default=0) > 0xFFFF
+        self.dtype = np.dtype("<u4" if self.wide else "<u2")
+        self.added = {t: np.array([i], self.dtype).tobytes() for t, i in added.items()}
+        self.cut = re.compile("(" + "|".join(map(re.escape, sorted(added, key=len, reverse=True))) + ")") if added else None
+
+    def _ordinary(self, text: str) -> bytes:
+        ids = self.words.encode(text)
+        return ids if self.words.dtype == self.dtype else np.frombuffer(ids, self.words.dtype).astype(self.dtype).tobytes()
+
+    def encode(self, text: str) -> bytes:
+        if not any(t in text for t in self.added):
+            return self._ordinary(text)
+        return b"".join(self.added.get(x) or self._ordinary(x) for x in self.cut.split(text) if x)
+
+
+def _tokenise(path: str, added: dict[str, int], end_id: int):
     def run(batches):
-        encoder, at = WordEncoder(path), 0
+        encoder, at = TextEncoder(path, added), 0
         end = np.array([end_id], encoder.dtype).tobytes()
         width = encoder.dtype.itemsize
         for b in batches:
@@ -104,7 +134,7 @@ def _tokenise(path: str, end_id: int):
 def token_table(docs: DataFrame, path: str | None = None, end_id: int = END_ID) -> DataFrame:
     """doc_id, part, tokens_before (in the partition), doc_tokens, ids (uint16 if the vocabulary allows): written once."""
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.spark_partition_id().alias("part"), "text")
-    return save(rows.mapInArrow(_tokenise(path or vocabulary_path(), end_id), "doc_id long, part int, tokens_before long, doc_tokens long, ids binary"), "pack-tokens")
+    return save(rows.mapInArrow(_tokenise(path or vocabulary_path(), added_tokens() if path is None else {}, end_id), "doc_id long, part int, tokens_before long, doc_tokens long, ids binary"), "pack-tokens")
 
 
 def _cut(seq_len: int, dtype: str, with_ids: bool):

@@ -81,6 +81,17 @@ def test_word_encoder_equals_the_tokenizer(text):
     assert np.frombuffer(encoder.encode(text), encoder.dtype).tolist() == tokenizer.encode(text, add_special_tokens=False).ids
 
 
+@pytest.mark.parametrize("text", ["a <|endoftext|> b", "<|endoftext|>", "<|endoftext|><|endoftext|>x", "a  <|endoftext|>  b ", "<|endoftext| > <|endoftext", "plain text  here"])
+def test_added_tokens_keep_their_ids(spark, text):
+    import numpy as np
+    import public_tokenizers
+    from tokenizers import Tokenizer
+
+    want = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json")).encode(text, add_special_tokens=False).ids
+    (row,) = packing.pack(spark.createDataFrame([(1, text)], "doc_id long, text string"), with_ids=True).collect()
+    assert np.frombuffer(row["ids"], "<u4").tolist() == [*want, packing.END_ID]
+
+
 def test_bloom_passes_unique_rows_and_never_loses_a_repeat(spark):
     rows = spark.range(4000).select(F.xxhash64((F.col("id") / 2).cast("long") * (F.col("id") < 400).cast("long") + F.col("id") * (F.col("id") >= 400).cast("long")).alias("h"))
     for bits in (1 << 20, 1 << 15):
