@@ -8,7 +8,7 @@ import time
 ROOT = os.path.dirname(os.path.abspath(__file__))
 sys.path.insert(0, ROOT)
 os.environ["PYTHONPATH"] = ROOT + os.pathsep + os.environ.get("PYTHONPATH", "")
-NAMES = ["impact_supplier_d3", "trace_paths_d4", "reverse_entries", "module_summary", "smells_all", "search_bm25", "graph_delta"]
+NAMES = ["impact_supplier_d3", "trace_paths_d4", "reverse_entries", "module_summary", "smells_all", "search_bm25", "graph_delta_whole"]
 
 
 def main() -> None:

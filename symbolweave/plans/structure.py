@@ -76,6 +76,11 @@ def _delta(s, d):
     return g.delta(_next(g)).where("item = 'node'")
 
 
+def _delta_whole(s, d):
+    g = G(s, d)
+    return g.normalise().delta(_next(g).normalise())
+
+
 def _link(s, d):
     g = G(s, d)
     raw = g.edges.where("kind IN ('reads', 'implements')").withColumn("target", F.when(F.col("kind") == "reads", F.concat(F.lit("Catalog::"), F.col("target"))).otherwise(F.lit("Nobody")))
@@ -96,6 +101,14 @@ def bands(s, d):
     return records.banded(bm25(corpus(s, d).bm25(QUERY)), normalise=True)
 
 
+#: The keys of S.edge_id, where operation and repo are null; of edges with one key, the largest confidence.
+DELTA_SQL = GRAPH_SQL + """, ky AS (SELECT *, sha256(concat(source, chr(31), target, chr(31), kind, chr(31), coalesce(direction, ''), chr(31), chr(31), coalesce(condition, ''), chr(31), coalesce(CAST(async_boundary AS VARCHAR), ''), chr(31))) AS key FROM edges),
+ was AS (SELECT key, max(confidence) AS c, list_sort(list(DISTINCT spot)) AS at FROM ky GROUP BY key),
+ now AS (SELECT key, max(CASE WHEN kind = 'implements' AND source LIKE '%3' THEN 0.5 ELSE confidence END) AS c, list_sort(list(DISTINCT spot)) AS at FROM ky WHERE NOT (kind = 'type_ref' AND target LIKE '%7') GROUP BY key)
+ SELECT 'node' AS item, id AS key, CASE kind WHEN 'struct' THEN 'deleted' ELSE 'updated' END AS change_type FROM nodes WHERE kind = 'struct' AND start_line % 70 = 0 OR kind = 'property' AND start_line % 130 = 0
+ UNION ALL SELECT 'edge', key, CASE WHEN now.c IS NULL THEN 'deleted' WHEN was.c IS NULL THEN 'added' ELSE 'updated' END FROM was FULL JOIN now USING (key) WHERE was.c IS NULL OR now.c IS NULL OR was.c <> now.c OR was.at IS DISTINCT FROM now.at"""
+
+
 QUERIES = {
     "module_summary": (lambda s, d: health.module_summary(G(s, d)), GRAPH_SQL + """, m AS (SELECT id, coalesce(module, '(unknown)') AS m, file, role_type FROM nodes), ow AS (SELECT m, count(*) AS symbol_count, count(DISTINCT file) AS file_count, count(*) FILTER (role_type = 'entry_point') AS entry_points, count(*) FILTER (role_type = 'terminal') AS terminals FROM m GROUP BY m),
  ed AS (SELECT a.m, count(*) AS edge_count, count(*) FILTER (b.m IS NOT NULL AND b.m <> a.m) AS cross_module_edges FROM edges e JOIN m a ON a.id = e.source LEFT JOIN m b ON b.id = e.target GROUP BY a.m)
@@ -132,6 +145,7 @@ QUERIES = {
     "normalize_edges": (lambda s, d: G(s, d).normalise().edges.select("source", "target", "kind", F.coalesce("direction", F.lit("")).alias("direction"), "confidence", F.size("provenance").alias("spots")), GRAPH_SQL + " SELECT source, target, kind, coalesce(direction, '') AS direction, max(confidence) AS confidence, count(DISTINCT spot) AS spots FROM edges GROUP BY source, target, kind, coalesce(direction, ''), coalesce(condition, ''), coalesce(CAST(async_boundary AS VARCHAR), '')"),
     "normalize_nodes": (lambda s, d: (lambda g: type(g)(g.nodes.unionByName(g.nodes.where("kind = 'struct'").withColumns({"kind": F.lit("class"), "visibility": F.lit("crate"), "file": F.lit("zz.rs")})), g.edges).normalise().nodes.select("id", "kind", "file", "visibility"))(G(s, d)), GRAPH_SQL + " SELECT id, CASE kind WHEN 'struct' THEN 'class' ELSE kind END AS kind, file, CASE WHEN kind = 'struct' AND visibility = 'private' THEN 'crate' ELSE visibility END AS visibility FROM nodes"),
     "graph_delta": (_delta, GRAPH_SQL + " SELECT 'node' AS item, id AS key, CASE kind WHEN 'struct' THEN 'deleted' ELSE 'updated' END AS change_type FROM nodes WHERE kind = 'struct' AND start_line % 70 = 0 OR kind = 'property' AND start_line % 130 = 0"),
+    "graph_delta_whole": (_delta_whole, DELTA_SQL),
     "compact_group": (lambda s, d: G(s, d).compact().select("id", "relation", F.array_join("names", ",").alias("names")), GRAPH_SQL + " SELECT source AS id, CASE e.kind WHEN 'contains' THEN 'members' ELSE e.kind END AS relation, string_agg(n.name, ',' ORDER BY n.name) AS names FROM edges e JOIN nodes n ON n.id = e.target WHERE e.kind <> 'uses' GROUP BY source, e.kind"),
     "changed_symbols": (lambda s, d: records.changed_symbols(G(s, d), _hunks(s, d)), GRAPH_SQL + ", h AS (SELECT 'catalog/' || p_type || '.rs' AS file, p_partkey * 10 + 5 AS a, p_partkey * 10 + 12 AS b FROM part WHERE p_partkey % 97 = 0) SELECT DISTINCT id FROM nodes n JOIN h ON n.file = h.file AND n.start_line <= b AND a <= n.start_line + 9"),
     "tokenize_terms": (lambda s, d: s.read.parquet(f"{d}/documents.parquet").select("doc_id", F.array_join(search_terms(F.coalesce("source", F.lit("")), F.coalesce("text", F.lit(""))), " ").alias("terms")), TERMS_SQL + " SELECT doc_id, array_to_string(terms, ' ') AS terms FROM tk"),

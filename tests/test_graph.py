@@ -99,3 +99,24 @@ def test_annotations(spark):
     assert got(records.latest(r), "symbol_key", "text") == [("a", "new"), ("b", "legacy")]
     g = graph(spark, [("a", "function"), ("b", "function")], [])
     assert got(records.annotation_for(g.nodes, r, "p"), "id", "text", "rule") == [("a", "old", 1), ("b", "legacy", 3)]
+
+
+def same_as_sql(spark, sf_dir, name):
+    """The query's rows, once they are those of its SQL."""
+    import duckdb
+
+    from symbolweave.queries import oracle_sql, queries
+
+    db = duckdb.connect()
+    for t in ("region", "nation", "customer", "supplier", "part", "orders", "lineitem"):
+        db.execute(f"CREATE VIEW {t} AS SELECT * FROM '{sf_dir}/{t}.parquet'")
+    df = queries()[name](spark, sf_dir)
+    want = sorted(map(repr, db.execute(f"SELECT {', '.join(df.columns)} FROM ({oracle_sql()[name]})").fetchall()))
+    rows = [tuple(r) for r in df.collect()]
+    assert sorted(map(repr, rows)) == want
+    return rows
+
+
+def test_delta_of_nodes_and_edges(spark, sf_dir):
+    rows = same_as_sql(spark, sf_dir, "graph_delta_whole")
+    assert {(r[0], r[2]) for r in rows} == {("node", "deleted"), ("node", "updated"), ("edge", "deleted"), ("edge", "updated")}
