@@ -58,5 +58,10 @@ QUERIES = {
     "dataflow_edges": (lambda s, d: flow.dataflow(commerce_graph(s, d), "o:10", 4), GRAPH_SQL + FLOW + " SELECT * FROM df"),
     "dataflow_summary": (lambda s, d: flow.dataflow_summary(flow.dataflow(commerce_graph(s, d), "o:10", 4)), GRAPH_SQL + FLOW + """, both_ends AS (SELECT source AS id FROM df UNION SELECT target FROM df)
  SELECT (SELECT count(*) FROM both_ends WHERE NOT starts_with(id, 'effect::')) AS symbols, (SELECT count(*) FROM both_ends WHERE starts_with(id, 'effect::')) AS effects, count(*) AS edges,
+ count(*) FILTER (kind = 'call') AS calls, count(*) FILTER (kind = 'read') AS reads, count(*) FILTER (kind = 'write') AS writes, CAST(0 AS BIGINT) AS publishes, CAST(0 AS BIGINT) AS subscribes FROM df"""),
+    "reverse_entries_unlimited": (lambda s, d: flow.reverse_entries(commerce_graph(s, d), "p:1").drop("path"), GRAPH_SQL + REVERSE.replace(" WHERE depth < 5", "") + " SELECT * FROM rev"),
+    "dataflow_edges_d10": (lambda s, d: flow.dataflow(commerce_graph(s, d), "o:10"), GRAPH_SQL + FLOW.replace("depth < 4", "depth < 10").replace("min(depth) < 4", "min(depth) < 10") + " SELECT * FROM df"),
+    "dataflow_summary_d10": (lambda s, d: flow.dataflow_summary(flow.dataflow(commerce_graph(s, d), "o:10")), GRAPH_SQL + FLOW.replace("depth < 4", "depth < 10").replace("min(depth) < 4", "min(depth) < 10") + """, both_ends AS (SELECT source AS id FROM df UNION SELECT target FROM df)
+ SELECT (SELECT count(*) FROM both_ends WHERE NOT starts_with(id, 'effect::')) AS symbols, (SELECT count(*) FROM both_ends WHERE starts_with(id, 'effect::')) AS effects, count(*) AS edges,
  count(*) FILTER (kind = 'call') AS calls, count(*) FILTER (kind = 'read') AS reads, count(*) FILTER (kind = 'write') AS writes, CAST(0 AS BIGINT) AS publishes, CAST(0 AS BIGINT) AS subscribes FROM df"""),
 }

@@ -120,3 +120,10 @@ def same_as_sql(spark, sf_dir, name):
 def test_delta_of_nodes_and_edges(spark, sf_dir):
     rows = same_as_sql(spark, sf_dir, "graph_delta_whole")
     assert {(r[0], r[2]) for r in rows} == {("node", "deleted"), ("node", "updated"), ("edge", "deleted"), ("edge", "updated")}
+
+
+def test_reverse_and_dataflow_to_the_end(spark, sf_dir):
+    far = max(r[4] for r in same_as_sql(spark, sf_dir, "reverse_entries_unlimited"))
+    assert far > 5
+    same_as_sql(spark, sf_dir, "dataflow_edges_d10")
+    same_as_sql(spark, sf_dir, "dataflow_summary_d10")
