@@ -42,6 +42,13 @@ def _hunks(s, d):
     return s.read.parquet(f"{d}/part.parquet").where("p_partkey % 97 = 0").selectExpr("concat('catalog/', p_type, '.rs') AS file", "CAST(p_partkey * 10 + 5 AS INT) AS start_line", "CAST(p_partkey * 10 + 12 AS INT) AS end_line")
 
 
+def _all_hunks(s, d):
+    """A hunk of each part row, and one of the two lines after each line item's spot."""
+    parts = s.read.parquet(f"{d}/part.parquet").selectExpr("concat('catalog/', p_type, '.rs') AS file", "CAST(p_partkey * 10 + 5 AS INT) AS start_line", "CAST(p_partkey * 10 + 12 AS INT) AS end_line")
+    at = "l_orderkey * 10 + l_linenumber"
+    return parts.unionByName(s.read.parquet(f"{d}/lineitem.parquet").selectExpr("'orders/lines.rs' AS file", f"CAST({at} + 1 AS INT) AS start_line", f"CAST({at} + 2 AS INT) AS end_line"))
+
+
 def _next(g):
     """A later version: some names changed, some nodes gone, some confidences changed, some edges gone."""
     from symbolweave.graph import CodeGraph
@@ -148,6 +155,10 @@ QUERIES = {
     "graph_delta_whole": (_delta_whole, DELTA_SQL),
     "compact_group": (lambda s, d: G(s, d).compact().select("id", "relation", F.array_join("names", ",").alias("names")), GRAPH_SQL + " SELECT source AS id, CASE e.kind WHEN 'contains' THEN 'members' ELSE e.kind END AS relation, string_agg(n.name, ',' ORDER BY n.name) AS names FROM edges e JOIN nodes n ON n.id = e.target WHERE e.kind <> 'uses' GROUP BY source, e.kind"),
     "changed_symbols": (lambda s, d: records.changed_symbols(G(s, d), _hunks(s, d)), GRAPH_SQL + ", h AS (SELECT 'catalog/' || p_type || '.rs' AS file, p_partkey * 10 + 5 AS a, p_partkey * 10 + 12 AS b FROM part WHERE p_partkey % 97 = 0) SELECT DISTINCT id FROM nodes n JOIN h ON n.file = h.file AND n.start_line <= b AND a <= n.start_line + 9"),
+    "changed_symbols_all": (lambda s, d: records.changed_symbols(G(s, d), _all_hunks(s, d)), GRAPH_SQL + """, h AS (SELECT DISTINCT 'catalog/' || p_type || '.rs' AS file, unnest(range(p_partkey * 10 + 5, p_partkey * 10 + 13)) AS line FROM part
+ UNION SELECT 'orders/lines.rs', unnest(range(l_orderkey * 10 + l_linenumber + 1, l_orderkey * 10 + l_linenumber + 3)) FROM lineitem),
+ li AS (SELECT id, file, unnest(range(start_line, start_line + 10)) AS line FROM nodes UNION ALL SELECT source, 'orders/lines.rs', spot FROM edges WHERE spot IS NOT NULL AND source IN (SELECT id FROM nodes))
+ SELECT DISTINCT id FROM li JOIN h USING (file, line)"""),
     "tokenize_terms": (lambda s, d: s.read.parquet(f"{d}/documents.parquet").select("doc_id", F.array_join(search_terms(F.coalesce("source", F.lit("")), F.coalesce("text", F.lit(""))), " ").alias("terms")), TERMS_SQL + " SELECT doc_id, array_to_string(terms, ' ') AS terms FROM tk"),
     "search_bm25": (lambda s, d: bm25(corpus(s, d).bm25(QUERY)), BM25_SQL.format(terms=IN) + " SELECT id, round(score, 6) AS score, matched FROM bm"),
     "search_all_terms": (lambda s, d: bm25(corpus(s, d).all_terms(QUERY)), BM25_SQL.format(terms=IN) + " SELECT id, round(score, 6) AS score, matched FROM bm WHERE matched >= 5"),

@@ -127,3 +127,12 @@ def test_reverse_and_dataflow_to_the_end(spark, sf_dir):
     assert far > 5
     same_as_sql(spark, sf_dir, "dataflow_edges_d10")
     same_as_sql(spark, sf_dir, "dataflow_summary_d10")
+
+
+def test_changed_symbols_by_lines_and_provenance(spark, sf_dir):
+    assert {r[0][0] for r in same_as_sql(spark, sf_dir, "changed_symbols_all")} == {"p", "o"}
+    spot = lambda a, b: {"provenance": [{"file": "x.rs", "start_line": a, "start_col": 0, "end_line": b, "end_col": 0, "symbol_id": "s"}]}
+    g = graph(spark, [("long", "function", {"start_line": 0, "end_line": 500}), ("far", "function", {"start_line": 600, "end_line": 601}), ("s", "function", {"file": "b.rs"}), ("t", "function", {"file": "b.rs"})],
+              [("s", "calls", "t", spot(100, 200)), ("t", "calls", "s", spot(201, 300)), ("gone", "calls", "s", spot(100, 200))])
+    hunks = spark.createDataFrame([("a.rs", 300, 299), ("a.rs", 400, 599), ("x.rs", 200, 200), ("b.rs", 2, 9)], "file string, start_line int, end_line int")
+    assert got(records.changed_symbols(g, hunks), "id") == [("long",), ("s",)]
