@@ -88,10 +88,17 @@ def _delta_whole(s, d):
     return g.normalise().delta(_next(g).normalise())
 
 
+def _raw(g):
+    """All edges as an extractor would leave them: reads by a path, calls among orders by bare names, supertypes unknown."""
+    kind, target = F.col("kind"), F.col("target")
+    named = F.when(kind == "reads", F.concat(F.lit("Catalog::"), target)).when(kind == "implements", F.lit("Nobody"))
+    named = named.when((kind == "calls") & F.col("direction").isNull(), F.regexp_replace(target, "^o:", "order_")).otherwise(target)
+    return g.edges.withColumn("target", named).dropDuplicates(["source", "target", "kind", "direction", "condition"])
+
+
 def _link(s, d):
     g = G(s, d)
-    raw = g.edges.where("kind IN ('reads', 'implements')").withColumn("target", F.when(F.col("kind") == "reads", F.concat(F.lit("Catalog::"), F.col("target"))).otherwise(F.lit("Nobody")))
-    return records.link_stats(records.link(g.nodes, raw.dropDuplicates(["source", "target", "kind", "direction", "condition"])))
+    return records.link_stats(records.link(g.nodes, _raw(g)))
 
 
 def _files(s, d):

@@ -136,3 +136,16 @@ def test_changed_symbols_by_lines_and_provenance(spark, sf_dir):
               [("s", "calls", "t", spot(100, 200)), ("t", "calls", "s", spot(201, 300)), ("gone", "calls", "s", spot(100, 200))])
     hunks = spark.createDataFrame([("a.rs", 300, 299), ("a.rs", 400, 599), ("x.rs", 200, 200), ("b.rs", 2, 9)], "file string, start_line int, end_line int")
     assert got(records.changed_symbols(g, hunks), "id") == [("long",), ("s",)]
+
+
+def test_linker_query_feeds_all_edges(spark, sf_dir):
+    from symbolweave.plans import structure as plans
+    from symbolweave.projection import commerce_graph
+    from symbolweave.queries import queries
+
+    g = commerce_graph(spark, sf_dir)
+    rules = {(r["kind"], r["rule"]): r["n"] for r in records.link(g.nodes, plans._raw(g)).groupBy("kind", "rule").agg(F.count("*").alias("n")).collect()}
+    assert {k for k, _ in rules} == {"contains", "calls", "reads", "writes", "implements", "type_ref", "uses"}
+    assert rules["calls", "beside"] == g.edges.where("kind = 'calls' AND direction IS NULL").count()
+    out = {r["reason"]: r["n"] for r in queries()["link_drop_reasons"](spark, sf_dir).collect()}
+    assert out == {"no_candidate": rules["reads", "no_candidate"], "kept": sum(rules.values()) - rules["reads", "no_candidate"]}
