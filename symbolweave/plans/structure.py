@@ -101,6 +101,11 @@ def _link(s, d):
     return records.link_stats(records.link(g.nodes, _raw(g)))
 
 
+def _linked(s, d):
+    g = G(s, d)
+    return records.link(g.nodes, _raw(g)).select("source", "target", "kind", "confidence", "rule", "reason")
+
+
 def _files(s, d):
     files = s.read.parquet(f"{d}/part.parquet").selectExpr("concat('catalog/', split(p_type, ' ')[0], '/', p_brand, '.rs') AS file").distinct()
     modules = s.createDataFrame([("promo", "catalog/PROMO"), ("catalog", "catalog/")], "module string, dir string")
@@ -160,6 +165,7 @@ QUERIES = {
     "normalize_nodes": (lambda s, d: (lambda g: type(g)(g.nodes.unionByName(g.nodes.where("kind = 'struct'").withColumns({"kind": F.lit("class"), "visibility": F.lit("crate"), "file": F.lit("zz.rs")})), g.edges).normalise().nodes.select("id", "kind", "file", "visibility"))(G(s, d)), GRAPH_SQL + " SELECT id, CASE kind WHEN 'struct' THEN 'class' ELSE kind END AS kind, file, CASE WHEN kind = 'struct' AND visibility = 'private' THEN 'crate' ELSE visibility END AS visibility FROM nodes"),
     "graph_delta": (_delta, GRAPH_SQL + " SELECT 'node' AS item, id AS key, CASE kind WHEN 'struct' THEN 'deleted' ELSE 'updated' END AS change_type FROM nodes WHERE kind = 'struct' AND start_line % 70 = 0 OR kind = 'property' AND start_line % 130 = 0"),
     "graph_delta_whole": (_delta_whole, DELTA_SQL),
+    "delta_stats": (lambda s, d: _delta_whole(s, d).groupBy("item", "change_type").agg(F.count("*").alias("n")), f"SELECT item, change_type, count(*) AS n FROM ({DELTA_SQL}) GROUP BY ALL"),
     "compact_group": (lambda s, d: G(s, d).compact().select("id", "relation", F.array_join("names", ",").alias("names")), GRAPH_SQL + " SELECT source AS id, CASE e.kind WHEN 'contains' THEN 'members' ELSE e.kind END AS relation, string_agg(n.name, ',' ORDER BY n.name) AS names FROM edges e JOIN nodes n ON n.id = e.target WHERE e.kind <> 'uses' GROUP BY source, e.kind"),
     "changed_symbols": (lambda s, d: records.changed_symbols(G(s, d), _hunks(s, d)), GRAPH_SQL + ", h AS (SELECT 'catalog/' || p_type || '.rs' AS file, p_partkey * 10 + 5 AS a, p_partkey * 10 + 12 AS b FROM part WHERE p_partkey % 97 = 0) SELECT DISTINCT id FROM nodes n JOIN h ON n.file = h.file AND n.start_line <= b AND a <= n.start_line + 9"),
     "changed_symbols_all": (lambda s, d: records.changed_symbols(G(s, d), _all_hunks(s, d)), GRAPH_SQL + """, h AS (SELECT DISTINCT 'catalog/' || p_type || '.rs' AS file, unnest(range(p_partkey * 10 + 5, p_partkey * 10 + 13)) AS line FROM part
@@ -177,5 +183,6 @@ QUERIES = {
     "history_list": (_history, "SELECT CAST(event_id AS VARCHAR) AS id, event_type AS kind, strftime(ts, '%Y-%m-%d %H:%M:%S') AS timestamp, 'u' || user_id AS modules FROM events WHERE event_type = 'error'"),
     "annotations_latest": (_annotations, "SELECT CAST(user_id AS VARCHAR) AS symbol_key, arg_max(event_type, event_id) AS text, CAST(max(event_id) AS VARCHAR) AS updated_at FROM events GROUP BY user_id"),
     "link_drop_reasons": (_link, None),
+    "link_edges": (_linked, None),
     "watch_sessions": (_bursts, "WITH g AS (SELECT user_id, ts, CASE WHEN ts - lag(ts) OVER w < INTERVAL 6 HOUR THEN 0 ELSE 1 END AS new FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts)), b AS (SELECT user_id, sum(new) OVER (PARTITION BY user_id ORDER BY ts) AS b FROM g), c AS (SELECT user_id, b, count(*) AS n FROM b GROUP BY ALL) SELECT user_id AS key, count(*) AS bursts, max(n) AS largest FROM c GROUP BY user_id"),
 }

@@ -149,3 +149,11 @@ def test_linker_query_feeds_all_edges(spark, sf_dir):
     assert rules["calls", "beside"] == g.edges.where("kind = 'calls' AND direction IS NULL").count()
     out = {r["reason"]: r["n"] for r in queries()["link_drop_reasons"](spark, sf_dir).collect()}
     assert out == {"no_candidate": rules["reads", "no_candidate"], "kept": sum(rules.values()) - rules["reads", "no_candidate"]}
+
+
+def test_more_registered_queries(spark, sf_dir):
+    from symbolweave.queries import queries
+
+    assert len(same_as_sql(spark, sf_dir, "delta_stats")) == 4
+    assert {r["kind"] for r in queries()["link_edges"](spark, sf_dir).select("kind").distinct().collect()} >= {"contains", "calls", "reads", "implements"}
+    same_as_sql(spark, sf_dir, "changed_symbols")
