@@ -2,26 +2,31 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
-_OWN: dict[str, str] = {}
+_OPEN: set[str] = set()
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """spark.checkpoint.dir; a folder of our own only where that is unset, as in tests."""
+    """This application's folder in spark.checkpoint.dir, or in the warehouse where that is unset; it goes when the driver ends."""
     found = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
-    if found:
-        return found.rstrip("/")
-    return _OWN.setdefault(spark.sparkContext.applicationId, tempfile.mkdtemp(prefix="symbolweave-graph-"))
+    root = (found or spark.conf.get("spark.sql.warehouse.dir") + "/_work").rstrip("/")
+    path = f"{root}/symbolweave-{spark.sparkContext.applicationId}"
+    if path not in _OPEN:
+        place = spark._jvm.org.apache.hadoop.fs.Path(path)
+        files = place.getFileSystem(spark._jsc.hadoopConfiguration())
+        files.mkdirs(place)
+        files.deleteOnExit(place)
+        _OPEN.add(path)
+    return path
 
 
 def cut(df: DataFrame, tag: str) -> DataFrame:
     """df written and read again: later plans start from the written table, whatever executors are lost."""
     path = f"{shared_dir(df.sparkSession)}/{tag}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    df.write.option("compression", "zstd").parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
