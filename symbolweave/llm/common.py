@@ -2,47 +2,37 @@
 
 from __future__ import annotations
 
-import tempfile
+import hashlib
 import uuid
 
 import numpy as np
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from symbolweave.runtime import cut as save
+from symbolweave.runtime import shared_dir
+
 #: Text bytes that one numpy pass works on; bounds a Python worker's memory whatever the Arrow batch holds.
 CHUNK_BYTES = 2 << 20
-_OWN: dict[str, str] = {}
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder named in spark.checkpoint.dir; one of our own only where that is unset (tests, local mode)."""
-    found = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
-    if found:
-        return found.rstrip("/")
-    app = spark.sparkContext.applicationId
-    if app not in _OWN:
-        _OWN[app] = tempfile.mkdtemp(prefix="symbolweave-")
-    return _OWN[app]
-
-
-def save(df: DataFrame, tag: str) -> DataFrame:
-    """Writes df to shared storage and returns the written table: cuts lineage and survives a lost executor."""
-    path = f"{shared_dir(df.sparkSession)}/{tag}-{uuid.uuid4().hex}"
-    df.write.option("compression", "zstd").parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
-
-
 def fresh(df: DataFrame, name: str) -> str:
-    """A column name that df does not have."""
-    while name in df.columns:
+    """A column name that df does not have, whatever the case of letters, as Spark takes names."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
         name += "_"
     return name
 
 
+def quoted(columns: list[str]) -> list[Column]:
+    """The columns of these names, taken literally: dots and backticks are part of a name."""
+    return [F.col("`" + c.replace("`", "``") + "`") for c in columns]
+
+
 def held_out(id_col, mod: int):
     """crc32 of the id as text, modulo mod, is 0; a null id counts as the empty text."""
     return F.crc32(F.coalesce(id_col.cast("string"), F.lit("")).cast("binary")) % mod == 0
@@ -120,6 +110,10 @@ def chunks(texts: list, limit: int = CHUNK_BYTES):
         yield first, run
 
 
+#: Words of more bytes are hashed one by one: over 2^64, a polynomial gives certain strings of 1024 bytes and more (Thue-Morse) one hash.
+LONG_WORD = 256
+
+
 def words(texts: list) -> tuple[np.ndarray, np.ndarray]:
     """Words ([^ \\t-\\r]+, A-Z folded) of all texts: their 64-bit hashes in order, and each text's number of words."""
     buf = np.frombuffer(b" ".join(texts) + b" ", np.uint8)
@@ -127,6 +121,8 @@ def words(texts: list) -> tuple[np.ndarray, np.ndarray]:
     edge = np.flatnonzero(np.diff(np.concatenate(([False], inside))))
     start, end = edge[::2], edge[1::2]
     hashes = range_hash(prefix_hash(buf, FOLDED), start, end)
+    for i in np.flatnonzero(end - start > LONG_WORD):
+        hashes[i] = int.from_bytes(hashlib.blake2b(buf[start[i] : end[i]].tobytes().lower(), digest_size=8).digest(), "little")
     bounds = np.cumsum([len(t) + 1 for t in texts])
     return hashes, np.diff(np.searchsorted(start, bounds), prepend=0)
 
@@ -135,14 +131,24 @@ def words(texts: list) -> tuple[np.ndarray, np.ndarray]:
 BLOCK_BYTES = 16 << 20
 
 
-def bucketed(df: DataFrame, key: str, tag: str) -> DataFrame:
-    """Writes df to shared storage bucketed by key, so that later joins and cogroups by key don't shuffle it."""
+def bucket_count(df: DataFrame) -> int:
+    """Buckets for what is made of df: one for each partition of its scan (some 128 MB each), at least as many as shuffles have."""
+    return min(max(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), df.rdd.getNumPartitions(), 1), 100_000)
+
+
+def bucketed(df: DataFrame, key: str, tag: str, buckets: int, deal: bool = False) -> DataFrame:
+    """Writes df to shared storage bucketed by key, so that later joins and cogroups by key don't shuffle it.
+
+    deal: rows of a key come from many tasks; they are shuffled first, so that each bucket is one file. The catalog
+    holds the table only until its plan is made.
+    """
     spark = df.sparkSession
     name = f"symbolweave_{tag}_{uuid.uuid4().hex}"
-    n = max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
-    writer = df.write.bucketBy(n, key).option("compression", "zstd").option("path", f"{shared_dir(spark)}/{name}")
-    writer.saveAsTable(name)
-    return spark.table(name)
+    dealt = df.repartition(buckets, key) if deal else df
+    dealt.write.bucketBy(buckets, key).option("compression", "zstd").option("path", f"{shared_dir(spark)}/{name}").saveAsTable(name)
+    out = spark.table(name)
+    spark.sql(f"DROP TABLE {name}")
+    return out
 
 
 def partition_id() -> int:

@@ -6,7 +6,11 @@ exploded and dealt over all partitions by a hash of (seed, doc_id, copy), then o
 A rate over CHUNK_RATE is drawn as a sum of independent variates of equal smaller rates, which is exact and keeps
 exp(-rate) from underflowing.
 
-Edge cases: a null source is a source of its own; a null or empty text weighs one byte, as each text weighs its UTF-8
+Up to BROADCAST_SOURCES sources, their rates are broadcast; beyond, documents are salted before the join, so that a
+source with a third of all rows is split.
+
+Edge cases: columns named like those added stay as they are, whatever the case of their letters, and the added ones
+take underscores; a null source is a source of its own; a null or empty text weighs one byte, as each text weighs its UTF-8
 bytes plus one; rows that repeat a doc_id get equal counts; sources without a weight, or of weight 0, get no copies.
 """
 
@@ -15,12 +19,12 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from symbolweave.llm.common import fresh, save
+from symbolweave.llm.common import fresh, quoted, save
 
 #: The largest rate inverted at once, and the terms of its distribution: P(X >= 120) at rate 16 is below 2^-53.
 CHUNK_RATE, TERMS = 16, 120
 #: Up to so many sources, their rates (a distribution of TERMS doubles each, 1 KB) are broadcast; beyond, they are joined by shuffle.
-BROADCAST_SOURCES = 10_000
+BROADCAST_SOURCES, SALTS = 10_000, 16
 NULL_SOURCE = "\u0000null"
 
 
@@ -62,18 +66,23 @@ def mix_sources(docs: DataFrame, weights: dict[str, float] | None = None, epochs
     epochs: bytes of the result over bytes of docs. copy counts from 1 to copies.
     """
     columns = docs.columns
-    src, rate, draws, cdf, copies, copy, key = (fresh(docs, x) for x in ("mix_source", "rate", "mix_draws", "mix_cdf", "copies", "copy", "mix_key"))
+    src, rate, draws, cdf, salt, copies, copy, key = (fresh(docs, x) for x in ("mix_source", "rate", "mix_draws", "mix_cdf", "mix_salt", "copies", "copy", "mix_key"))
     rates = save(source_rates(docs, weights, epochs), "mix-rates")
     few = rates.count() <= BROADCAST_SOURCES
     rates = rates.select(F.col("mix_source").alias(src), F.col("rate").alias(rate), F.col("draws").alias(draws), F.col("cdf").alias(cdf))
     sourced = docs.withColumn(src, F.coalesce(F.col("source").cast("string"), F.lit(NULL_SOURCE)))
-    rated = sourced.join(F.broadcast(rates) if few else rates, src)
-    draw = lambda i: F.size(F.filter(F.col(cdf), lambda c: c <= uniform(F.lit(seed), F.col("doc_id"), i)))
-    count = F.aggregate(F.sequence(F.lit(1), F.col(draws)), F.lit(0), lambda n, i: n + draw(i))
+    if few:
+        rated = sourced.join(F.broadcast(rates), src)
+    else:
+        dealt = sourced.withColumn(salt, F.pmod(F.xxhash64("doc_id", "text"), F.lit(SALTS)).cast("int"))
+        rated = dealt.join(rates.withColumn(salt, F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1)))), [src, salt])
+    # each variate is made once, then compared with the whole distribution
+    variates = F.transform(F.sequence(F.lit(1), F.col(draws)), lambda i: uniform(F.lit(seed), F.col("doc_id"), i))
+    count = F.aggregate(variates, F.lit(0), lambda n, u: n + F.size(F.filter(F.col(cdf), lambda c: c <= u)))
     counted = rated.withColumn(copies, count).where(F.col(copies) > 0)
     out = counted.withColumn(copy, F.explode(F.sequence(F.lit(1), F.col(copies))))
     out = out.withColumn(key, F.md5(F.concat_ws("|", F.lit(seed), F.coalesce(F.col("doc_id").cast("string"), F.lit("")), F.col(copy).cast("string"), F.lit("order")).cast("binary")))
-    out = out.select(*columns, F.col(copy), F.col(copies), F.col(rate), F.col(key))
+    out = out.select(*quoted(columns), F.col(copy), F.col(copies), F.col(rate), F.col(key))
     return out.repartition(F.col(key)).sortWithinPartitions(key)
 
 

@@ -1,7 +1,7 @@
 """Quality classifier: naive Bayes support vectors.
 
-Features are indicators of hashed byte n-grams of the whole text, and of n-grams of the stream "this word repeats the
-one before". Each is scaled by the log ratio of its smoothed class counts, and a linear hinge-loss model is fitted on
+Features are indicators of hashed byte n-grams of the whole text, and one of a word that comes at least four times in a
+row (REPEAT_GRAM repeats; a rule made by hand, for stuttering text). Each is scaled by the log ratio of its smoothed class counts, and a linear hinge-loss model is fitted on
 the scaled indicators by dual coordinate descent, interpolated with the mean weight, and mapped to 0..1 by a logistic
 fit on its training margins.
 
@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from symbolweave.llm.common import EXACT, chunks, fresh, held_out, mix64, words
+from symbolweave.llm.common import EXACT, chunks, fresh, held_out, mix64, quoted, words
 
 BITS, GRAM, REPEAT_GRAM = 18, 3, 3
 #: The bound of the labelled sample that the model is fitted on.
@@ -144,8 +144,8 @@ def _score(columns: list[str], weight: np.ndarray, a: float, b: float):
 def score(docs: DataFrame, model: tuple[np.ndarray, float, float], name: str = "score") -> DataFrame:
     """docs with the column name: how likely label 1 is, from its text alone."""
     weight, a, b = model
-    used = fresh(docs, "quality_text")
-    fed = docs.select(F.coalesce(F.col("text"), F.lit("")).cast("binary").alias(used), *docs.columns)
+    # by place: a Python stage can't look up names with a dot
+    fed = docs.select(F.coalesce(F.col("text"), F.lit("")).cast("binary"), *quoted(docs.columns)).toDF(*[f"c{i}" for i in range(len(docs.columns) + 1)])
     schema = T.StructType([*docs.schema.fields, T.StructField(name, T.DoubleType())])
     return fed.mapInArrow(_score([*docs.columns, name], weight.astype(np.float64), a, b), schema)
 

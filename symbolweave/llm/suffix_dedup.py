@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from symbolweave.llm.common import BLOCK_BYTES, EXACT, bucketed, chunks, mix64, partition_id, prefix_hash, range_hash, save
+from symbolweave.llm.common import BLOCK_BYTES, EXACT, bucket_count, bucketed, chunks, mix64, partition_id, prefix_hash, range_hash, save
 
 LENGTH, GRAM, SHALLOW, HOT = 100, 32, 32, 4096
 REACH = LENGTH - GRAM  # the largest offset of an anchor in its window
@@ -398,7 +398,7 @@ def _cut(text: pa.Table, spans: pa.Table) -> pa.Table:
 def repeated_spans(docs: DataFrame, block_bytes: int = BLOCK_BYTES) -> DataFrame:
     """doc_id, n_bytes, n_removed, n_spans, kept_sha256, spans (start and stop of each maximal removed run) for each row of docs."""
     fed = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text"), F.lit("")).cast("binary").alias("text"))
-    blocks = bucketed(fed.mapInArrow(_blocks(block_bytes), "block long, row int, doc_id long, text binary"), "block", "suffix")
+    blocks = bucketed(fed.mapInArrow(_blocks(block_bytes), "block long, row int, doc_id long, text binary"), "block", "suffix", bucket_count(fed))
     found = blocks.mapInArrow(_anchor_rows(block_bytes), ANCHOR)
     same = Window.partitionBy("hash", "print", F.col("spot") % 65536).orderBy("doc_id", "block", "row", "spot")
     found = found.repartition("hash").withColumn("turn", F.row_number().over(same))

@@ -9,8 +9,10 @@ row meets its captures. Up to BROADCAST_HOSTS history rows of at most BROADCAST_
 broadcast; beyond that, captures are salted so that a host with a third of all rows is split.
 
 Edge cases: null or unparsable URLs have no host and are never blocked, nor are captures with a null fetch time;
-hosts are compared in lower case without a trailing dot; of two entries of a domain at one time, removal comes last;
-entries with a null domain or date count for nothing; other columns stay as they are.
+hosts and listed domains are compared in lower case without trailing dots; of two entries of a domain at one time,
+removal comes last; entries with a null or empty domain or a null date count for nothing, and so do those whose action
+is null or neither add nor remove; other columns stay as they are, and added ones take underscores where a column has
+their name in any case.
 """
 
 from __future__ import annotations
@@ -18,7 +20,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from symbolweave.llm.common import fresh, save, table
+from symbolweave.llm.common import fresh, quoted, save, table
 
 BROADCAST_HOSTS, BROADCAST_ENTRIES, SALTS = 100_000, 200_000, 16
 HOST = r"^[A-Za-z][A-Za-z0-9+.-]*://(?:[^/?#@]*@)?(\[[^\]]*\]|[^/?#:@]+)"
@@ -31,8 +33,8 @@ def url_host(url: Column) -> Column:
 
 def intervals(entries: DataFrame) -> DataFrame:
     """(domain, valid_from, valid_to): valid_to is null while the entry still holds."""
-    dated = entries.where("domain IS NOT NULL AND listed_at IS NOT NULL").withColumn("removes", (F.col("action") != "add").cast("int"))
-    dated = dated.dropDuplicates(["domain", "listed_at", "removes"]).withColumn("domain", F.lower("domain"))
+    known = entries.where("listed_at IS NOT NULL AND action IN ('add', 'remove')")
+    dated = known.select(F.rtrim(F.lower("domain"), F.lit(".")).alias("domain"), "listed_at", (F.col("action") != "add").cast("int").alias("removes")).where("domain <> ''").distinct()
     w = Window.partitionBy("domain").orderBy("listed_at", "removes")
     spans = dated.select("domain", "removes", F.col("listed_at").alias("valid_from"), F.lead("listed_at").over(w).alias("valid_to"))
     return spans.where("removes = 0 AND (valid_to IS NULL OR valid_from < valid_to)").drop("removes")
@@ -59,7 +61,7 @@ def filter_urls(captures: DataFrame, entries: DataFrame, url: str = "url", fetch
     covers = lambda x: (x["valid_from"] <= F.col(fetched)) & (x["valid_to"].isNull() | (F.col(fetched) < x["valid_to"]))
     found = joined.withColumn(hit, F.try_element_at(F.filter(F.col(history), covers), F.lit(1)))
     return found.select(
-        *columns, F.col(host), F.col(hit).isNotNull().alias(fresh(captures, "blocked")),
+        *quoted(columns), F.col(host), F.col(hit).isNotNull().alias(fresh(captures, "blocked")),
         F.col(hit)["domain"].alias(fresh(captures, "blocked_by")), F.col(hit)["valid_from"].alias(fresh(captures, "blocked_since")),
     )
 
