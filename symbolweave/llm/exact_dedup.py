@@ -1,53 +1,87 @@
 """Exact dedup by two-pass Bloom filtering, in DataFrame functions only.
 
-Pass one marks the slots of a fixed-size Bloom bitmap that two or more rows hit; pass two probes every row
-against it. A row with an unmarked slot has no equal anywhere and passes straight through; only the others shuffle.
-The bitmap has at most max_bits bits (128 MB by default), whatever the input, so its broadcast is bounded; a fuller
-bitmap lets more rows through to the shuffle and never changes the result.
+Pass one marks the slots of a blocked Bloom bitmap (a hash picks one block of BLOCK bits and two bits in it) that two or
+more rows hit; pass two probes every row against it. A row with an unmarked slot has no equal anywhere and passes
+straight through; only the others shuffle.
+
+A bitmap has at most max_bits bits (32 MB), which its broadcast is bounded by. Where the rows need more, their hashes
+are first dealt by prefix into parts, written, and each part gets a filter of its own, one after another, so no filter
+ever fills up. Whole documents are then probed against a bitmap of the possibly repeated hashes alone; only where those
+are too many for max_bits does a fuller bitmap let more rows through to the shuffle. The result is the same always.
 
 Edge cases: a null text counts as empty; texts are compared as they are. Of equal texts the row with the largest
-doc_id stays (a null doc_id is smallest); of rows that repeat both, exactly one. An empty table gives an empty result.
+doc_id stays (a null doc_id is smallest); of rows that repeat both, exactly one. Columns of any name stay as they are.
+An empty table gives an empty result.
 """
 
 from __future__ import annotations
 
+import uuid
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from symbolweave.llm.common import fresh, save
+from symbolweave.llm.common import fresh, quoted, save, shared_dir
 
-BITS_PER_ROW, MIN_BITS, MAX_BITS = 16, 1 << 20, 1 << 30
+BITS_PER_ROW, MAX_BITS = 16, 1 << 28
+#: Bits of a block: those of a row of Spark's bitmap functions.
+BLOCK = 32768
 
 
-def bloom_bits(rows: int, max_bits: int = MAX_BITS) -> int:
-    return min(max(1 << (BITS_PER_ROW * max(rows, 1) - 1).bit_length(), MIN_BITS), max_bits)
+def _blocks(rows: int) -> int:
+    """Blocks that so many rows need."""
+    return max(1, -(-BITS_PER_ROW * rows // BLOCK))
 
 
-def _slots(h: Column, bits: int) -> list[Column]:
-    return [F.pmod(F.xxhash64(h, F.lit(i)), F.lit(bits)) for i in (1, 2)]
+def _slots(h: Column, blocks: int) -> list[Column]:
+    """Two slots of a hash, in one block."""
+    first = F.pmod(F.xxhash64(h, F.lit(1)), F.lit(blocks)) * BLOCK
+    return [first + F.pmod(F.xxhash64(h, F.lit(i)), F.lit(BLOCK)) for i in (2, 3)]
 
 
-def repeated_slots(hashes: DataFrame, bits: int) -> DataFrame:
-    """(bucket, bitmap) of the slots hit at least twice. hashes: one column h, a row for each document."""
-    hit = hashes.select(F.explode(F.array(*_slots(F.col("h"), bits))).alias("slot"))
-    twice = hit.groupBy("slot").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
-    return twice.groupBy(F.bitmap_bucket_number("slot").alias("bucket")).agg(
+def marked_slots(hashes: DataFrame, blocks: int, hits: int = 2) -> DataFrame:
+    """(bucket, bitmap) of the slots hit at least so many times. hashes: a column h, a row for each document."""
+    hit = hashes.select(F.explode(F.array(*_slots(F.col("h"), blocks))).alias("slot"))
+    enough = hit.groupBy("slot").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= hits)
+    return enough.groupBy(F.bitmap_bucket_number("slot").alias("bucket")).agg(
         F.bitmap_construct_agg(F.bitmap_bit_position("slot")).alias("bitmap")
     )
 
 
-def with_flag(df: DataFrame, h: str, bitmaps: DataFrame, bits: int, flag: str) -> DataFrame:
+def with_flag(df: DataFrame, h: str, bitmaps: DataFrame, blocks: int, flag: str) -> DataFrame:
     """df with the column flag: True where both slots of column h are marked."""
-    out, columns, found = df, df.columns, []
-    for i, slot in enumerate(_slots(F.col(h), bits)):
-        bucket, bitmap, at = (fresh(df, f"{x}_{i}") for x in ("bloom_bucket", "bloom_bitmap", "bloom_slot"))
-        side = bitmaps.select(F.col("bucket").alias(bucket), F.col("bitmap").alias(bitmap))
-        out = out.withColumn(at, slot)
-        out = out.join(F.broadcast(side), F.bitmap_bucket_number(at) == F.col(bucket), "left")
-        place = F.bitmap_bit_position(at)
+    bucket, bitmap = fresh(df, "bloom_bucket"), fresh(df, "bloom_bitmap")
+    slots = _slots(F.col(h), blocks)
+    side = bitmaps.select(F.col("bucket").alias(bucket), F.col("bitmap").alias(bitmap))
+    # at most MAX_BITS / BLOCK rows of 4 KB
+    joined = df.join(F.broadcast(side), F.bitmap_bucket_number(slots[0]) == F.col(bucket), "left")
+
+    def marked(slot):
+        place = F.bitmap_bit_position(slot)
         byte = F.conv(F.hex(F.substring(F.col(bitmap), (F.floor(place / 8) + 1).cast("int"), F.lit(1))), 16, 10).cast("int")
-        found.append(F.coalesce((byte / F.pow(F.lit(2), place % 8)).cast("int") % 2 == 1, F.lit(False)))
-    return out.select(*columns, (found[0] & found[1]).alias(flag))
+        return F.coalesce((byte / F.pow(F.lit(2), place % 8)).cast("int") % 2 == 1, F.lit(False))
+
+    return joined.select(*quoted(df.columns), (marked(slots[0]) & marked(slots[1])).alias(flag))
+
+
+def flagged(rows: DataFrame, max_bits: int = MAX_BITS) -> DataFrame:
+    """rows (h and others, written) with maybe: False only where no other row has the same h."""
+    n = rows.count()
+    parts = max(1, -(-_blocks(n) * BLOCK // max(max_bits, BLOCK)))
+    if parts == 1:
+        bitmaps = save(marked_slots(rows, _blocks(n)), "exact-bloom")
+        return with_flag(rows, "h", bitmaps, _blocks(n), "maybe")
+    dealt = rows.withColumn("bloom_part", F.pmod(F.xxhash64("h", F.lit(0)), F.lit(parts)))
+    path = f"{shared_dir(rows.sparkSession)}/exact-parts-{uuid.uuid4().hex}"
+    dealt.repartition("bloom_part", F.pmod("row", F.lit(64))).write.partitionBy("bloom_part").parquet(path)
+    dealt = rows.sparkSession.read.schema(dealt.schema).parquet(path)
+    blocks, out = _blocks(-(-n // parts)), []
+    for p in range(parts):
+        part = dealt.where(F.col("bloom_part") == p).drop("bloom_part")
+        bitmaps = save(marked_slots(part, blocks), "exact-bloom")
+        out.append(save(with_flag(part, "h", bitmaps, blocks, "maybe"), "exact-flagged"))
+    return reduce(DataFrame.unionByName, out)
 
 
 def exact_duplicates(docs: DataFrame, max_bits: int = MAX_BITS) -> DataFrame:
@@ -62,9 +96,7 @@ def exact_duplicates(docs: DataFrame, max_bits: int = MAX_BITS) -> DataFrame:
         ),
         "exact-digests",
     )
-    bits = bloom_bits(digests.count(), max_bits)
-    bitmaps = save(repeated_slots(digests.select("h"), bits), "exact-bloom")
-    marked = with_flag(digests, "h", bitmaps, bits, "maybe")
+    marked = flagged(digests, max_bits)
     alone = marked.where(~F.col("maybe")).select(
         "doc_id", F.col("doc_id").alias("keep_id"), F.lit(1).cast("long").alias("group_size"), F.lit(True).alias("kept"), "text_sha256"
     )
@@ -79,15 +111,15 @@ def exact_duplicates(docs: DataFrame, max_bits: int = MAX_BITS) -> DataFrame:
 
 def drop_exact_duplicates(docs: DataFrame, max_bits: int = MAX_BITS) -> DataFrame:
     """docs with one row for each distinct text and its columns as they are."""
-    columns = docs.columns
     h, sha, flag = (fresh(docs, x) for x in ("exact_h", "exact_sha", "exact_maybe"))
     text = F.coalesce(F.col("text"), F.lit(""))
-    hashes = save(docs.select(F.xxhash64(text).alias("h")), "exact-hashes")
-    bits = bloom_bits(hashes.count(), max_bits)
-    bitmaps = save(repeated_slots(hashes, bits), "exact-bloom")
-    marked = with_flag(docs.withColumn(h, F.xxhash64(text)), h, bitmaps, bits, flag)
-    alone = marked.where(~F.col(flag)).select(*columns)
-    plain = [c for c, kind in docs.dtypes if "map<" not in kind and kind != "variant"]
-    best = F.max_by(F.struct(*[F.col(c) for c in columns]), F.struct("doc_id", F.xxhash64(*plain)))
+    hashes = save(docs.select(F.xxhash64(text).alias("h"), F.monotonically_increasing_id().alias("row")), "exact-hashes")
+    again = save(flagged(hashes, max_bits).where("maybe").select("h").distinct(), "exact-again")
+    blocks = min(_blocks(again.count()), max(1, max_bits // BLOCK))
+    bitmaps = save(marked_slots(again, blocks, hits=1), "exact-bloom")
+    marked = with_flag(docs.withColumn(h, F.xxhash64(text)), h, bitmaps, blocks, flag)
+    alone = marked.where(~F.col(flag)).select(*quoted(docs.columns))
+    plain = [c for c, (_, kind) in zip(quoted(docs.columns), docs.dtypes, strict=True) if "map<" not in kind and kind != "variant"]
+    best = F.max_by(F.struct(*quoted(docs.columns)), F.struct("doc_id", F.xxhash64(*plain)))
     kept = marked.where(F.col(flag)).withColumn(sha, F.sha2(text.cast("binary"), 256)).groupBy(sha).agg(best.alias("kept_row"))
-    return alone.unionByName(kept.select("kept_row.*"))
+    return alone.union(kept.select("kept_row.*"))
