@@ -5,7 +5,7 @@ one from either collection, is the key of one of SIDE*SIDE tables. So 2*SIDE*ROW
 SIDE*SIDE*2*ROWS that independent tables would need, about the square root. At similarity 0.8 a pair misses every table with
 probability 2 * (1 - 0.8^ROWS)^SIDE = 0.16 %, at 0.85 0.03 %.
 
-Rows of equal shingle sets form a class; only classes enter tables. In a table a class is first compared with the most
+Rows of equal shingle sets form a class with an id of its own; only classes enter tables. In a table a class is first compared with the most
 central class of its bucket (the one whose buckets are fullest), which joins most buckets into one component in linear
 work. What a bucket then still holds of different components is compared across components, less the pairs whose sizes
 or distances from the bucket's centre (triangle inequality), or parity sketches (a lower bound of how many shingles they
@@ -13,7 +13,7 @@ don't share) rule out a link. None of these loses a link. Every link is confirme
 
 Edge cases: null, empty and wordless texts have no shingles, link with nothing and are kept; with fewer words than a
 shingle the whole sequence is one; a null doc_id takes no part and is kept; rows that repeat a doc_id are one document
-to the components, their shingles counted row by row. An empty table gives an empty result.
+to the components (whatever one of its texts links with, all of it does), their shingles counted row by row. An empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -106,10 +106,11 @@ def _sign(k: int):
 def _fetch(k: int):
     def run(batches):
         for b in batches:
-            ids = b.column("doc_id").to_pylist()
-            for lo, texts in chunks(b.column("text").to_pylist(), 1 << 20):
-                sets = [s.tobytes() for s in shingle_sets(texts, k)]
-                yield pa.RecordBatch.from_arrays([pa.array(ids[lo : lo + len(texts)], pa.int64()), pa.array(sets, pa.binary())], ["id", "set"])
+            for _, texts in chunks(b.column("text").to_pylist(), 1 << 20):
+                sets = [s for s in shingle_sets(texts, k) if len(s)]
+                prints = [fingerprints(s) for s in sets]
+                cols = [pa.array([p[0] for p in prints], pa.int64()), pa.array([p[1] for p in prints], pa.int64()), pa.array([len(s) for s in sets], pa.int64()), pa.array([s.tobytes() for s in sets], pa.binary())]
+                yield pa.RecordBatch.from_arrays(cols, ["f1", "f2", "n", "set"])
 
     return run
 
@@ -127,14 +128,17 @@ def _only(docs: DataFrame, ids: DataFrame, how: str) -> DataFrame:
     return docs.join(F.broadcast(ids) if few else ids, docs["doc_id"] == ids["id"], how)
 
 
-def confirm(docs: DataFrame, pairs: DataFrame, k: int) -> DataFrame:
-    """pairs (a, b, na, nb) with common: how many shingles both documents have."""
+def confirm(docs: DataFrame, classes: DataFrame, pairs: DataFrame, k: int) -> DataFrame:
+    """pairs of classes (a, b, na, nb) with common: how many shingles both have."""
     pairs = save(pairs, "near-pairs")
-    ids = save(pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct(), "near-ids")
-    texts = _only(docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text"), F.lit("")).cast("binary").alias("text")), ids, "left_semi")
-    sets = save(texts.mapInArrow(_fetch(k), "id long, set binary").dropDuplicates(["id"]), "near-sets")
-    both = pairs.join(sets.select(F.col("id").alias("b"), F.col("set").alias("set_b")), "b")
-    both = both.join(sets.select(F.col("id").alias("a"), F.col("set").alias("set_a")), "a").select("a", "b", "na", "nb", "set_a", "set_b")
+    ids = pairs.select(F.explode(F.array("a", "b")).alias("class")).distinct()
+    wanted = save(classes.join(ids, "class", "left_semi").select("class", "f1", "f2", "n", F.col("doc_id").alias("id")), "near-ids")
+    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text"), F.lit("")).cast("binary").alias("text"))
+    # a doc_id may have other texts too: the set itself says whose class it is
+    found = _only(texts, wanted.select("id").distinct(), "left_semi").mapInArrow(_fetch(k), "f1 long, f2 long, n long, set binary")
+    sets = save(found.join(wanted.select("class", "f1", "f2", "n"), ["f1", "f2", "n"]).select("class", "set").dropDuplicates(["class"]), "near-sets")
+    both = pairs.join(sets.select(F.col("class").alias("b"), F.col("set").alias("set_b")), "b")
+    both = both.join(sets.select(F.col("class").alias("a"), F.col("set").alias("set_a")), "a").select("a", "b", "na", "nb", "set_a", "set_b")
     return save(both.mapInArrow(_common, "a long, b long, na long, nb long, common long"), "near-confirmed")
 
 
@@ -157,12 +161,22 @@ def components(links: DataFrame) -> DataFrame:
         label = step.select("id", "component")
 
 
+def _same_document(sets: DataFrame, classes: DataFrame) -> DataFrame:
+    """(a, b): classes that hold rows of one doc_id."""
+    again = save(sets.groupBy("doc_id").agg(F.count(F.lit(1)).alias("rows")).where("rows > 1").select("doc_id"), "near-again")
+    rows = sets.select("doc_id", "f1", "f2", "n").join(again, "doc_id", "left_semi").distinct()
+    held = rows.join(classes.select("class", "f1", "f2", "n"), ["f1", "f2", "n"]).select("doc_id", "class")
+    least = held.groupBy("doc_id").agg(F.min("class").alias("a"))
+    return held.join(least, "doc_id").where("a < class").select("a", F.col("class").alias("b")).distinct()
+
+
 def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
     """doc_id, n_shingles, component_id, kept: links are 100 * common shingles >= percent * shingles of either."""
     text = F.coalesce(F.col("text"), F.lit("")).cast("binary").alias("text")
     signed = save(docs.select(F.col("doc_id").cast("long").alias("doc_id"), text).mapInArrow(_sign(k), "doc_id long, n long, f1 long, f2 long, halves array<long>, sketch array<long>"), "near-signatures")
     sets = signed.where("n > 0 AND doc_id IS NOT NULL")
-    classes = save(sets.groupBy("f1", "f2", "n").agg(F.min("doc_id").alias("class"), F.first("halves").alias("halves"), F.first("sketch").alias("sketch")), "near-classes")
+    kinds = sets.groupBy("f1", "f2", "n").agg(F.min("doc_id").alias("doc_id"), F.first("halves").alias("halves"), F.first("sketch").alias("sketch"))
+    classes = save(kinds.withColumn("class", F.monotonically_increasing_id()), "near-classes")
     half = F.col("halves")
     keys = F.array(*[F.xxhash64(F.lit(i * SIDE + j), half[i], half[SIDE + j]) for i in range(SIDE) for j in range(SIDE)])
     rows = classes.select("class", "n", F.explode(keys).alias("key"))
@@ -177,8 +191,8 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame
     pairs = star.select(F.least("class", "centre").alias("a"), F.greatest("class", "centre").alias("b"),
                         F.when(F.col("class") < F.col("centre"), F.col("n")).otherwise(F.col("centre_n")).alias("na"),
                         F.when(F.col("class") < F.col("centre"), F.col("centre_n")).otherwise(F.col("n")).alias("nb")).distinct()
-    tested = confirm(docs, pairs.where(sizes(F.col("na"), F.col("nb"))), k)
-    links = tested.where(linked(percent)).select("a", "b")
+    tested = confirm(docs, classes, pairs.where(sizes(F.col("na"), F.col("nb"))), k)
+    links = tested.where(linked(percent)).select("a", "b").unionByName(_same_document(sets, classes))
     found = components(links)
     # second round: members of one bucket in different components
     far = F.lit(1.0) - F.col("common") / (F.col("na") + F.col("nb") - F.col("common"))
@@ -197,11 +211,12 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame
     more = x.join(y, (F.col("x.key") == F.col("y.key")) & (F.col("x.class") < F.col("y.class")) & (F.col("x.component") != F.col("y.component"))
                   & (F.col("x.class") != F.col("x.centre")) & (F.col("y.class") != F.col("y.centre")) & F.coalesce(near, F.lit(True)) & sizes(F.col("x.n"), F.col("y.n")) & alike)
     more = more.select(F.col("x.class").alias("a"), F.col("y.class").alias("b"), F.col("x.n").alias("na"), F.col("y.n").alias("nb")).distinct()
-    more = confirm(docs, more.join(tested, ["a", "b"], "left_anti"), k).where(linked(percent)).select("a", "b")
+    more = confirm(docs, classes, more.join(tested, ["a", "b"], "left_anti"), k).where(linked(percent)).select("a", "b")
     if more.limit(1).count():
         found = components(links.unionByName(more))
-    named = classes.select("f1", "f2", F.col("n"), "class").join(found.withColumnRenamed("id", "class"), "class", "left")
-    named = named.select("f1", "f2", "n", F.coalesce("component", "class").alias("component"))
+    labelled = classes.select("f1", "f2", "n", "class", "doc_id").join(found.withColumnRenamed("id", "class"), "class", "left").withColumn("component", F.coalesce("component", "class"))
+    first = labelled.groupBy("component").agg(F.min("doc_id").alias("name"))
+    named = save(labelled.join(first, "component").select("f1", "f2", "n", F.col("name").alias("component")), "near-named")
     out = signed.select("doc_id", "n", "f1", "f2").join(named, ["f1", "f2", "n"], "left")
     own = F.when((F.col("n") > 0) & F.col("doc_id").isNotNull(), F.col("component")).otherwise(F.col("doc_id"))
     return out.select("doc_id", F.col("n").alias("n_shingles"), own.alias("component_id"), F.coalesce(F.col("doc_id") == own, F.lit(True)).alias("kept"))
