@@ -1,18 +1,23 @@
 """LM scoring with a weighted backoff automaton.
 
-A bigram model with absolute discounting is counted on all training documents. Its automaton has a root state and a
-state for each word that a training bigram begins with, and an arc (u, v) for each training bigram, with weight
-log10 p(v|u); a state's failure arc leads to the root with weight log10 of the mass that its arcs leave over, and the
-root has an arc for every word and one for unknown words. STATE_MIN and ARC_MIN are 1: nothing counted is left out, so
-words, states and arcs grow with the corpus. A text is traversed once from left to right: at each token the state takes
-its arc, or fails to the root and takes the root's.
-
-Documents are tokenised once, into blocks of about BLOCK_BYTES with a dictionary each, written bucketed by block.
-Word counts are summed by a shuffle of (key, block, count). A block's distinct bigrams are sorted by key and sent as
-packed cells, one for each of the key ranges of about RANGE_PAIRS bigrams that the corpus needs; a range sums them
-and answers each cell with its arcs. The first block that has an arc counts it for its state. So each block gets back
-the part of the automaton that its own words need, and no model is ever held whole, whatever the vocabulary; a key has
-at most one entry a block in its group. Word and bigram keys are 64-bit hashes.
+An interpolated model of order ORDER is counted on all training documents. Its automaton has a root and a state for each
+training n-gram of up to ORDER - 1 words that another token follows. A state has an arc for each token that follows it
+in training, and a failure arc to the state without its first word, down to the root, which has an arc for every word
+and one for unknown words. With c the training counts and a the weight of a state h (below), an arc weighs
+log10(a(h) c(hw) / c(h) + (1 - a(h)) p(w | shorter h)) and a failure arc log10(1 - a(h)). Nothing counted is left out: there
+are no cut-offs. The weight of states is fitted by leaving one out: for each order and each power of two of c(h), 1 - a
+is the share of training events after such states that no other event repeats (c(hw) = 1), smoothed by one event of
+either kind; a is at least MIN_WEIGHT, so that every arc has its say.
+
+A text is traversed once from left to right, with the state carried from token to token: at each token the automaton
+follows failure arcs until a state has the token's arc, and takes it. Every part of a training n-gram is one too, so the
+state after a token is the longest end of the one before and the token that is a state: one word longer at most.
+
+Documents are tokenised once, into blocks of about BLOCK_BYTES with a dictionary each, written bucketed by block. A
+block's distinct n-grams of all orders are sorted by key and sent as packed cells, one for each order and key range that
+has any (a range holds about RANGE_KEYS of them, so their number grows with the corpus); a range sums the counts and
+answers each cell. So each block gets back the part of the automaton that its own words need, and no model is ever held
+whole, whatever the vocabulary. A hot word is one entry a block. Keys are 64-bit hashes.
 
 Edge cases: null and empty texts are the end token alone; repeated rows are scored one by one and counted one by one;
 a null doc_id counts as the empty text for the split; without training documents every token is unknown
@@ -24,41 +29,46 @@ from __future__ import annotations
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from symbolweave.llm.common import bucketed, chunks, held_out, mix64, partition_id, save, words
+from symbolweave.llm.common import bucket_count, bucketed, chunks, held_out, mix64, partition_id, words
 
-HELD_OUT, STATE_MIN, ARC_MIN, ARC_DISCOUNT = 10, 1, 1, 0.75
+HELD_OUT, ORDER, MIN_WEIGHT = 10, 3, 0.05
 #: Text bytes of a block: half of what other operators hold, as a block's tokens take several arrays of eight bytes each.
 BLOCK_BYTES = 8 << 20
-#: Training bigrams that a key range holds, about; the number of ranges grows with the corpus.
-RANGE_PAIRS = 1 << 20
-SIDE = "block long, kind int, at int, a long, b long, x binary, y binary"
+#: Entries (an n-gram of a block) that a key range holds, about; the number of ranges grows with the corpus.
+RANGE_KEYS = 1 << 20
 END = 1  # the key of the end token
+BLOCK = "block long, doc_id long, held_out boolean, tokens int, ids binary, counts binary"
+CELL = "range long, block long, order int, keys binary, n binary"
+ANSWER = "block long, order int, range long, n binary, total long, types long, once long, twice long"
+
+
+def _schema(text: str) -> pa.Schema:
+    kinds = {"long": pa.int64(), "int": pa.int32(), "binary": pa.binary(), "boolean": pa.bool_(), "double": pa.float64()}
+    return pa.schema([(n, kinds[k]) for n, k in (c.split() for c in text.split(", "))])
 
 
 def _blocks(block_bytes: int):
     """Documents as indexes into their block's dictionary, then the dictionary with its training counts."""
+    schema = _schema(BLOCK)
 
     def flush(number, docs, hashes, sizes):
-        all_ = np.concatenate(hashes) if hashes else np.zeros(0, np.uint64)
-        keys, index = np.unique(all_, return_inverse=True)
+        keys, index = np.unique(np.concatenate(hashes), return_inverse=True)
         index = index.astype("<u4")
         held = np.array([d[1] for d in docs])
-        train = np.repeat(~held, sizes)
-        counts = np.bincount(index[train], minlength=len(keys)).astype("<u4")
+        counts = np.bincount(index[np.repeat(~held, sizes)], minlength=len(keys)).astype("<u4")
         stops = np.cumsum(sizes)
         block = (partition_id() << 24) + number
         for lo in range(0, len(docs), 2048):
             hi = min(lo + 2048, len(docs))
             ids = [index[stops[i] - sizes[i] : stops[i]].tobytes() for i in range(lo, hi)]
-            yield batch([block] * (hi - lo), [d[0] for d in docs[lo:hi]], held[lo:hi].tolist(), ids, [None] * (hi - lo))
-        yield batch([block], [None], [None], [keys.view(np.int64).astype("<i8").tobytes()], [counts.tobytes()])
+            yield batch([block] * (hi - lo), [d[0] for d in docs[lo:hi]], held[lo:hi].tolist(), sizes[lo:hi], ids, [None] * (hi - lo))
+        yield batch([block], [None], [None], [0], [keys.astype("<u8").tobytes()], [counts.tobytes()])
 
-    def batch(block, doc, held, ids, counts):
-        cols = [pa.array(block, pa.int64()), pa.array(doc, pa.int64()), pa.array(held, pa.bool_()), pa.array(ids, pa.binary()), pa.array(counts, pa.binary())]
-        return pa.RecordBatch.from_arrays(cols, ["block", "doc_id", "held_out", "ids", "counts"])
+    def batch(*columns):
+        return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(columns, schema, strict=True)], schema=schema)
 
     def run(batches):
         number, docs, hashes, sizes, size = 0, [], [], [], 0
@@ -80,150 +90,145 @@ def _blocks(block_bytes: int):
     return run
 
 
-def _dictionary(batches):
-    for b in batches:
-        for row in b.to_pylist():
-            keys, counts = np.frombuffer(row["ids"], "<i8"), np.frombuffer(row["counts"], "<u4").astype(np.int64)
-            for lo in range(0, len(keys), 65536):
-                k, c = keys[lo : lo + 65536], counts[lo : lo + 65536]
-                at = np.arange(lo, lo + len(k), dtype=np.int32)
-                yield pa.RecordBatch.from_arrays([pa.array(k), pa.array(np.full(len(k), row["block"])), pa.array(at), pa.array(c)], ["key", "block", "at", "n"])
-
-
-def _parts(block: pa.Table):
-    """Of a block's rows: its documents, their indexes in one array, where each document's begin (with the end last), and the dictionary's keys."""
-    is_doc = pc.is_null(block.column("counts"))
-    docs, dictionary = block.filter(is_doc), block.filter(pc.invert(is_doc))
-    ids = [np.frombuffer(x, "<u4") for x in docs.column("ids").to_pylist()]
-    return docs, np.concatenate(ids).astype(np.int32), np.cumsum([0, *map(len, ids)]), np.frombuffer(dictionary.column("ids")[0].as_py(), "<i8")
-
-
 def _pack(values: np.ndarray) -> bytes:
     """64-bit values by byte planes: all lowest bytes first. The planes of zeros vanish when a shuffle compresses them."""
-    return values.astype("<i8", copy=False).view(np.uint8).reshape(-1, 8).T.tobytes()
+    return values.astype("<u8", copy=False).view(np.uint8).reshape(-1, 8).T.tobytes()
 
 
 def _unpack(packed: bytes) -> np.ndarray:
-    return np.ascontiguousarray(np.frombuffer(packed, np.uint8).reshape(8, -1).T).view("<i8").ravel()
-
-
-def _gaps(values: np.ndarray) -> np.ndarray:
-    return np.diff(values, prepend=values.dtype.type(0)).view(np.int64)
-
-
-def _kind(side: pa.Table, kind: int) -> pa.Table:
-    return side.filter(pc.equal(side.column("kind"), kind))
-
-
-def _pack_counts(part: pa.Table) -> pa.Table:
-    """The training counts of a block's words, by index, as one row."""
-    at, c = np.array(part.column("at")), np.array(part.column("c"))
-    out = np.zeros(len(at), np.int64)
-    out[at] = c
-    return _side_rows(part.column("block")[0].as_py(), 0, [0], [_pack(out)], [None])
+    return np.ascontiguousarray(np.frombuffer(packed, np.uint8).reshape(8, -1).T).view("<u8").ravel()
 
 
-def _side_rows(block, kind: int, at: list, x: list, y: list) -> pa.Table:
-    n = len(at)
-    none = pa.nulls(n, pa.int64())
-    block = pa.array([block] * n if np.isscalar(block) else block, pa.int64())
-    cols = [block, pa.array([kind] * n, pa.int32()), pa.array(at, pa.int32()), none, none, pa.array(x, pa.binary()), pa.array(y, pa.binary())]
-    return pa.Table.from_arrays(cols, ["block", "kind", "at", "a", "b", "x", "y"])
-
-
-def _counts(side: pa.Table) -> np.ndarray:
-    """Training counts of the block's words, by index."""
-    return _unpack(_kind(side, 0).column("x")[0].as_py())
-
-
-def _pair_keys(keys: np.ndarray, u: np.ndarray, v: np.ndarray) -> np.ndarray:
-    return mix64(keys[u].view(np.uint64) * np.uint64(0x9E3779B97F4A7C15) + keys[v].view(np.uint64))
-
-
-def _bigrams(stream, first, keys, count):
-    """Of a block's bigrams that may become arcs: where their second words are, and the keys there."""
-    inner = np.ones(len(stream), bool)
-    inner[first[:-1]] = False  # the first token of a document has no predecessor
-    at = np.flatnonzero(inner)
-    at = at[(count[stream[at - 1]] >= STATE_MIN) & (count[stream[at]] >= ARC_MIN)]
-    return at, _pair_keys(keys, stream[at - 1], stream[at])
+class Block:
+    """A block's documents as one stream of tokens, and its n-grams by order.
 
+    first: where documents begin in the stream, with the end last. keys[k], at[k], where[k] for order k + 1: the sorted
+    distinct keys, the positions in the stream that an n-gram ends at, and the index into keys of each.
+    """
 
-def _cells(pairs: np.ndarray, ranges: int):
+    def __init__(self, block: pa.Table):
+        is_doc = pc.is_null(block.column("counts"))
+        self.docs, dictionary = block.filter(is_doc), block.filter(pc.invert(is_doc))
+        ids = [np.frombuffer(x, "<u4") for x in self.docs.column("ids").to_pylist()]
+        self.number = block.column("block")[0].as_py()
+        self.first = np.cumsum([0, *map(len, ids)])
+        self.stream = np.concatenate(ids).astype(np.int64)
+        self.train = np.repeat(~np.array(self.docs.column("held_out")), np.diff(self.first))
+        words_ = np.frombuffer(dictionary.column("ids")[0].as_py(), "<u8")
+        self.words = np.frombuffer(dictionary.column("counts")[0].as_py(), "<u4")
+        self.keys, self.at, self.where = [words_], [np.arange(len(self.stream))], [self.stream]
+        past = np.arange(len(self.stream)) - np.repeat(self.first[:-1], np.diff(self.first))
+        last = words_[self.stream]
+        gram = last
+        for order in range(2, ORDER + 1):
+            # the n-gram ending here: the one a word shorter that ends a token earlier, and this token
+            grown = np.zeros(len(gram), np.uint64)
+            grown[1:] = mix64(gram[:-1] * np.uint64(0x9E3779B97F4A7C15) + last[1:])
+            gram = grown
+            at = np.flatnonzero(past >= order - 1)
+            keys, where = np.unique(gram[at], return_inverse=True)
+            self.keys.append(keys)
+            self.at.append(at)
+            self.where.append(where)
+
+    def training_counts(self, order: int) -> np.ndarray:
+        """How often each n-gram is in the block's training documents."""
+        k = order - 1
+        return self.words if not k else np.bincount(self.where[k][self.train[self.at[k]]], minlength=len(self.keys[k]))
+
+    def spread(self, counts: list[np.ndarray]) -> list[np.ndarray]:
+        """By order, for each token the corpus count of the n-gram that ends there; 0 where the document has none."""
+        out = []
+        for at, where, c in zip(self.at, self.where, counts, strict=True):
+            full = np.zeros(len(self.stream), np.int64)
+            full[at] = c[where]
+            out.append(full)
+        return out
+
+
+def _cells(keys: np.ndarray, ranges: int):
     """Of sorted keys: the ranges that they fall into, and where each range's begin (with the end last)."""
-    number = (pairs >> np.uint64(32)) * np.uint64(ranges) >> np.uint64(32)
+    number = (keys >> np.uint64(32)) * np.uint64(ranges) >> np.uint64(32)
     found, starts = np.unique(number, return_index=True)
-    return found.astype(np.int64), np.append(starts, len(pairs))
+    return found.astype(np.int64), np.append(starts, len(keys))
 
 
-def _pairs(ranges: int):
-    """The block's distinct bigrams, packed by key range, and how often each is in training documents."""
-    schema = pa.schema([("range", pa.int64()), ("block", pa.int64()), ("pairs", pa.binary()), ("n", pa.binary())])
+def _send(ranges: int):
+    """A block's distinct n-grams by order and key range, with how often each is in its training documents."""
+    schema = _schema(CELL)
 
-    def run(block: pa.Table, side: pa.Table) -> pa.Table:
-        if not block.num_rows:
-            return schema.empty_table()
-        docs, stream, first, keys = _parts(block)
-        train = np.repeat(~np.array(docs.column("held_out")), np.diff(first))
-        at, pairs = _bigrams(stream, first, keys, _counts(side))
-        pairs, where = np.unique(pairs, return_inverse=True)
-        n = np.bincount(where, weights=train[at], minlength=len(pairs)).astype(np.int64)
-        found, starts = _cells(pairs, ranges)
-        cells = [slice(lo, hi) for lo, hi in zip(starts[:-1], starts[1:], strict=True)]
-        number = np.full(len(found), block.column("block")[0].as_py())
-        packed = [pa.array([_pack(f(x[c])) for c in cells], pa.binary()) for x, f in ((pairs, _gaps), (n, np.asarray))]
-        return pa.Table.from_arrays([pa.array(found), pa.array(number), *packed], schema=schema)
+    def run(table: pa.Table) -> pa.Table:
+        b, rows = Block(table), []
+        for order in range(1, ORDER + 1):
+            keys, n = b.keys[order - 1], b.training_counts(order)
+            found, starts = _cells(keys, ranges)
+            for r, lo, hi in zip(found.tolist(), starts[:-1], starts[1:], strict=True):
+                gaps = np.diff(keys[lo:hi], prepend=np.uint64(0))
+                rows.append((r, b.number, order, _pack(gaps), _pack(n[lo:hi])))
+        return pa.Table.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows, strict=True), schema, strict=True)], schema=schema)
 
     return run
 
 
 def _answer(part: pa.Table) -> pa.Table:
-    """For each cell of a key range its arcs: where they are in the cell, and twice the count, plus one for the first block that has the arc."""
-    part = part.sort_by("block")
-    cells = [_unpack(x).cumsum().view(np.uint64) for x in part.column("pairs").to_pylist()]
-    n = np.concatenate([_unpack(x) for x in part.column("n").to_pylist()])
-    pairs, first, where = np.unique(np.concatenate(cells), return_index=True, return_inverse=True)
-    total = np.zeros(len(pairs), np.int64)
-    np.add.at(total, where, n)
-    told = 2 * total[where]
-    told[first] += 1
-    stops = np.cumsum([0, *map(len, cells)])
-    x, y = [], []
-    for lo, hi in zip(stops[:-1], stops[1:], strict=True):
-        arcs = np.flatnonzero(told[lo:hi] >= 2 * ARC_MIN)
-        x.append(_pack(_gaps(arcs)))
-        y.append(_pack(told[lo:hi][arcs]))
-    return _side_rows(part.column("block").to_pylist(), 1, part.column("range").to_pylist(), x, y)
-
-
-def _arcs(side: pa.Table, pairs: np.ndarray, ranges: int):
-    """Of the block's sorted distinct bigrams those that are arcs: their indexes, counts, and whether this block is the first that has them."""
-    answers = _kind(side, 1).sort_by("at")
-    found, starts = _cells(pairs, ranges)
-    begin = starts[:-1][np.searchsorted(found, np.array(answers.column("at"), np.int64))]
-    told = [(lo + _unpack(x).cumsum(), _unpack(y)) for lo, x, y in zip(begin, answers.column("x").to_pylist(), answers.column("y").to_pylist(), strict=True)]
-    index, value = (np.concatenate([t[i] for t in told]) if told else np.zeros(0, np.int64) for i in (0, 1))
-    return index, value >> 1, (value & 1).astype(bool)
-
-
-def _states(ranges: int):
-    """The states of arcs that this block is the first to have: key of the word, sum of those arcs' counts, their number."""
-    schema = pa.schema([("key", pa.int64()), ("kept", pa.int64()), ("arcs", pa.int64())])
-
-    def run(block: pa.Table, side: pa.Table) -> pa.Table:
-        if not block.num_rows:
-            return schema.empty_table()
-        _, stream, first, keys = _parts(block)
-        at, pairs = _bigrams(stream, first, keys, _counts(side))
-        pairs, some = np.unique(pairs, return_index=True)
-        index, c, mine = _arcs(side, pairs, ranges)
-        u = stream[at[some[index[mine]]] - 1]
-        kept = np.bincount(u, weights=c[mine], minlength=len(keys)).astype(np.int64)
-        arcs = np.bincount(u, minlength=len(keys))
-        has = np.flatnonzero(arcs)
-        return pa.Table.from_arrays([pa.array(x) for x in (keys[has], kept[has], arcs[has])], schema=schema)
-
-    return run
+    """For each cell of a key range the corpus counts of its n-grams; the range's first cell also tells the sums of its words."""
+    schema, out = _schema(ANSWER), []
+    for order in range(1, ORDER + 1):
+        cells = part.filter(pc.equal(part.column("order"), order))
+        if not cells.num_rows:
+            continue
+        keys = [_unpack(x).cumsum(dtype=np.uint64) for x in cells.column("keys").to_pylist()]
+        n = np.concatenate([_unpack(x) for x in cells.column("n").to_pylist()]).astype(np.int64)
+        distinct, where = np.unique(np.concatenate(keys), return_inverse=True)
+        total = np.zeros(len(distinct), np.int64)
+        np.add.at(total, where, n)
+        told = [int(x.sum()) for x in (total, total > 0, total == 1, total == 2)] if order == 1 else [None] * 4
+        stops = np.cumsum([0, *map(len, keys)])
+        number = cells.column("range")[0].as_py()
+        for block, lo, hi in zip(cells.column("block").to_pylist(), stops[:-1], stops[1:], strict=True):
+            out.append((block, order, number, _pack(total[where[lo:hi]]), *told))
+            told = [None] * 4
+    return pa.Table.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*out, strict=True), schema, strict=True)], schema=schema)
+
+
+def _counts(answers: pa.Table) -> list[np.ndarray]:
+    """By order, the corpus counts of a block's n-grams in the order of their keys: ranges ascend as keys do."""
+    answers = answers.sort_by([("order", "ascending"), ("range", "ascending")])
+    by_order = [[] for _ in range(ORDER)]
+    for order, n in zip(answers.column("order").to_pylist(), answers.column("n").to_pylist(), strict=True):
+        by_order[order - 1].append(_unpack(n).astype(np.int64))
+    return [np.concatenate(x) if x else np.zeros(0, np.int64) for x in by_order]
+
+
+def bucket(count: np.ndarray) -> np.ndarray:
+    """The power of two that a positive count reaches."""
+    return np.frexp(count.astype(float))[1] - 1
+
+
+def _novelty(table: pa.Table, answers: pa.Table) -> pa.Table:
+    """By order and bucket of the state's count: the block's training events after such states, and those that occur once in the corpus."""
+    schema = _schema("order int, bucket int, events long, single long")
+    if not table.num_rows:
+        return schema.empty_table()
+    b, rows = Block(table), []
+    c = b.spread(_counts(answers))
+    for order in range(2, ORDER + 1):
+        at = b.at[order - 1][b.train[b.at[order - 1]]]
+        kind = bucket(c[order - 2][at - 1])
+        events = np.bincount(kind)
+        single = np.bincount(kind, weights=c[order - 1][at] == 1, minlength=len(events)).astype(np.int64)
+        rows += [(order, i, int(e), int(s)) for i, (e, s) in enumerate(zip(events, single, strict=True)) if e]
+    if not rows:
+        return schema.empty_table()
+    return pa.Table.from_arrays([pa.array(x, f.type) for x, f in zip(zip(*rows, strict=True), schema, strict=True)], schema=schema)
+
+
+def state_weights(rows) -> np.ndarray:
+    """[order - 2, bucket]: what a state's own arcs weigh against the shorter state's. rows: (order, bucket, events, single)."""
+    out = np.full((ORDER - 1, 64), MIN_WEIGHT)
+    for order, kind, events, single in rows:
+        out[order - 2, kind] = max(1 - (single + 1) / (events + 2), MIN_WEIGHT)
+    return out
 
 
 def word_probability(c, total: int, types: int, discount: float):
@@ -233,45 +238,39 @@ def word_probability(c, total: int, types: int, discount: float):
     return np.maximum(np.asarray(c, float) - discount, 0) / total + discount * types / total / (types + 1)
 
 
-def traverse(stream, first, keys, count, state_mass, arcs, arc_count, total, types, discount) -> np.ndarray:
+def traverse(c: list[np.ndarray], past: np.ndarray, root: np.ndarray, weight: np.ndarray) -> np.ndarray:
     """log10 of each token's probability, in one pass over all documents of a block.
 
-    state_mass: failure weight (a probability) of each word's state, nan where the word has none. arcs: sorted keys of
-    the kept bigrams. After a token the state is that of the token, or the root if it has none.
+    c: by order, the corpus count of the n-gram that ends at each token. past: tokens of the document before each. root:
+    the root's arcs. The carried state is one word longer than before where that is a state, else as long as the
+    longest end that is one.
     """
-    p = word_probability(count[stream], total, types, discount)
-    state = np.full(len(stream), -1, np.int32)
-    state[1:] = stream[:-1]
-    state[first[:-1][first[:-1] < len(stream)]] = -1
-    at = np.flatnonzero(state >= 0)
-    at = at[~np.isnan(state_mass[state[at]])]
-    u, v = state[at], stream[at]
-    key = _pair_keys(keys, u, v)
-    place = np.minimum(np.searchsorted(arcs, key), max(len(arcs) - 1, 0))
-    taken = arcs[place] == key if len(arcs) else np.zeros(len(at), bool)
-    failed = state_mass[u] * p[at]
-    arc = np.where(taken, (arc_count[place] if len(arcs) else 0.0) - ARC_DISCOUNT, 0.0) / np.maximum(count[u], 1)
-    p[at] = failed + arc
+    state = np.zeros(len(past), np.int64)  # words of the state that each token is read in
+    for k in range(1, ORDER):
+        longer = np.zeros(len(past), bool)
+        longer[1:] = (past[1:] >= k) & (c[k - 1][:-1] > 0)
+        state[longer & (state == k - 1)] = k
+    p = root.copy()  # up the failure arcs: from the root's arc to that of the state carried
+    for k in range(1, ORDER):
+        at = np.flatnonzero(state >= k)
+        held = c[k - 1][at - 1]
+        a = weight[k - 1, bucket(held)]
+        p[at] = a * c[k][at] / held + (1 - a) * p[at]
     return np.log10(p)
 
 
-def _score(ranges: int, total: int, types: int, discount: float):
-    def run(block: pa.Table, side: pa.Table) -> pa.Table:
-        names = ["doc_id", "held_out", "n_tokens", "n_known", "base_score", "score"]
-        schema = pa.schema(list(zip(names, [pa.int64(), pa.bool_(), pa.int64(), pa.int64(), pa.float64(), pa.float64()], strict=True)))
-        if not block.num_rows:
+def _score(total: int, types: int, discount: float, weight: np.ndarray):
+    def run(table: pa.Table, answers: pa.Table) -> pa.Table:
+        schema = _schema("doc_id long, held_out boolean, n_tokens long, n_known long, base_score double, score double")
+        if not table.num_rows:
             return schema.empty_table()
-        docs, stream, first, keys = _parts(block)
-        count = _counts(side)
-        mass = np.full(len(keys), np.nan)
-        at, kept, arcs_of = (np.array(_kind(side, 2).column(c)) for c in ("at", "a", "b"))
-        mass[at] = (count[at] - kept + ARC_DISCOUNT * arcs_of) / count[at]
-        pairs = np.unique(_bigrams(stream, first, keys, count)[1])
-        arc, arc_count, _ = _arcs(side, pairs, ranges)
-        logs = traverse(stream, first, keys, count, mass, pairs[arc], arc_count, total, types, discount)
-        base = np.log10((count[stream] + 0.1) / (total + 0.1 * (types + 1)))
-        sums = [np.add.reduceat(x, first[:-1]) for x in ((count[stream] > 0).astype(np.int64), base, logs)]
-        cols = [docs.column("doc_id"), docs.column("held_out"), pa.array(np.diff(first)), *map(pa.array, sums)]
+        b = Block(table)
+        c = b.spread(_counts(answers))
+        past = np.arange(len(b.stream)) - np.repeat(b.first[:-1], np.diff(b.first))
+        logs = traverse(c, past, word_probability(c[0], total, types, discount), weight)
+        base = np.log10((c[0] + 0.1) / (total + 0.1 * (types + 1)))
+        sums = [np.add.reduceat(x, b.first[:-1]) for x in ((c[0] > 0).astype(np.int64), base, logs)]
+        cols = [b.docs.column("doc_id"), b.docs.column("held_out"), pa.array(np.diff(b.first)), *map(pa.array, sums)]
         return pa.Table.from_arrays(cols, schema=schema)
 
     return run
@@ -280,29 +279,21 @@ def _score(ranges: int, total: int, types: int, discount: float):
 def lm_scores(docs: DataFrame, block_bytes: int = BLOCK_BYTES) -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score for each row of docs (doc_id, text)."""
     fed = docs.select(F.col("doc_id").cast("long").alias("doc_id"), held_out(F.col("doc_id"), HELD_OUT).alias("held_out"), F.coalesce(F.col("text"), F.lit("")).cast("binary").alias("text"))
-    blocks = bucketed(fed.mapInArrow(_blocks(block_bytes), "block long, doc_id long, held_out boolean, ids binary, counts binary"), "block", "lm")
-    local = blocks.where("counts IS NOT NULL").select("block", "ids", "counts").mapInArrow(_dictionary, "key long, block long, at int, n long")
-    by_key = Window.partitionBy("key")
-    known = local.select("key", "block", "at", "n", F.sum("n").over(by_key).alias("c"), (F.min("block").over(by_key) == F.col("block")).alias("first"))
-    known = save(known, "lm-words")
-    once = F.col("first").cast("int")
-    totals = known.agg(F.sum("n").alias("total"), F.sum(once * (F.col("c") > 0).cast("int")).alias("types"),
-                       F.sum(once * (F.col("c") == 1).cast("int")).alias("n1"), F.sum(once * (F.col("c") == 2).cast("int")).alias("n2")).first()
-    total, types = int(totals["total"] or 0), int(totals["types"] or 0)
-    discount = totals["n1"] / (totals["n1"] + 2 * totals["n2"]) if totals["n1"] else 0.5
-    ranges = max(1, -(-total // RANGE_PAIRS))
-    counts = known.select("block", "at", "c").groupBy("block").applyInArrow(_pack_counts, SIDE)
-    counts = save(counts, "lm-counts")
+    buckets = bucket_count(fed)
+    blocks = bucketed(fed.mapInArrow(_blocks(block_bytes), BLOCK), "block", "lm", buckets)
     by_block = blocks.groupBy("block")
-    cells = by_block.cogroup(counts.groupBy("block")).applyInArrow(_pairs(ranges), "range long, block long, pairs binary, n binary")
-    told = counts.unionByName(save(cells.groupBy("range").applyInArrow(_answer, SIDE), "lm-arcs"))
-    states = by_block.cogroup(told.groupBy("block")).applyInArrow(_states(ranges), "key long, kept long, arcs long")
-    states = save(states.groupBy("key").agg(F.sum("kept").alias("kept"), F.sum("arcs").alias("arcs")), "lm-states")
-    none = F.lit(None).cast("binary")
-    state_rows = known.where(F.col("c") >= STATE_MIN).join(states, "key").select(
-        "block", F.lit(2).alias("kind"), "at", F.col("kept").alias("a"), F.col("arcs").alias("b"), none.alias("x"), none.alias("y")
-    )
-    scored = by_block.cogroup(told.unionByName(state_rows).groupBy("block")).applyInArrow(
-        _score(ranges, total, types, discount), "doc_id long, held_out boolean, n_tokens long, n_known long, base_score double, score double"
+    tokens = blocks.agg(F.sum("tokens").alias("n")).first()["n"] or 0
+    ranges = max(1, -(-ORDER * tokens // RANGE_KEYS))
+    cells = by_block.applyInArrow(_send(ranges), CELL)
+    answers = bucketed(cells.groupBy("range").applyInArrow(_answer, ANSWER), "block", "lm_counts", buckets, deal=True)
+    sums = answers.agg(*[F.coalesce(F.sum(x), F.lit(0)).alias(x) for x in ("total", "types", "once", "twice")]).first()
+    total, types = sums["total"], sums["types"]
+    discount = sums["once"] / (sums["once"] + 2 * sums["twice"]) if sums["once"] else 0.5
+    of_block = answers.select("block", "order", "range", "n").groupBy("block")
+    events = by_block.cogroup(of_block).applyInArrow(_novelty, "order int, bucket int, events long, single long")
+    # at most 64 rows an order
+    weight = state_weights(events.groupBy("order", "bucket").agg(F.sum("events"), F.sum("single")).collect())
+    scored = by_block.cogroup(of_block).applyInArrow(
+        _score(total, types, discount, weight), "doc_id long, held_out boolean, n_tokens long, n_known long, base_score double, score double"
     )
     return scored.select("doc_id", "held_out", "n_tokens", "n_known", F.lit(total).cast("long").alias("train_tokens"), "base_score", "score")
