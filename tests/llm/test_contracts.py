@@ -157,38 +157,85 @@ def tokens(text):
     return TOKEN.findall(bytes(b + 32 if 65 <= b <= 90 else b for b in (text or "").encode()))
 
 
-def test_language_model(spark, sf_dir, docs):
-    from symbolweave.llm.language_model import ARC_DISCOUNT, ARC_MIN, STATE_MIN, word_probability
+class Automaton:
+    """The automaton by dictionaries: states with arcs and failure arcs, traversed token by token."""
+
+    def __init__(self, train):
+        from symbolweave.llm.language_model import MIN_WEIGHT
+
+        self.c = [Counter(tuple(s[i : i + k]) for s in train for i in range(len(s) - k + 1)) for k in (1, 2, 3)]
+        self.n, self.v = sum(self.c[0].values()), len(self.c[0])
+        n1, n2 = (sum(x == k for x in self.c[0].values()) for k in (1, 2))
+        self.d = n1 / (n1 + 2 * n2) if n1 else 0.5
+        events, single = Counter(), Counter()
+        for k in (1, 2):
+            for g, x in self.c[k].items():
+                kind = k, self.c[k - 1][g[:-1]].bit_length() - 1
+                events[kind] += x
+                single[kind] += x == 1
+        self.weight = {kind: max(1 - (single[kind] + 1) / (e + 2), MIN_WEIGHT) for kind, e in events.items()}
+        self.arcs, self.failure = defaultdict(dict), {}
+        for k in (1, 2):
+            for g, x in self.c[k].items():
+                self.arcs[g[:-1]][g[-1]] = x
+        for h in self.arcs:
+            self.failure[h] = 1 - self.a(h)
+
+    def a(self, h):
+        return self.weight[len(h), self.c[len(h) - 1][h].bit_length() - 1]
+
+    def arc(self, h, w):
+        if not h:
+            c = self.c[0][(w,)]
+            return max(c - self.d, 0) / self.n + self.d * self.v / self.n / (self.v + 1)
+        below = h[1:]
+        lower = self.arc(below, w) if not below or w in self.arcs[below] else self.failure[below] * self.arc((), w)
+        return self.a(h) * self.arcs[h][w] / self.c[len(h) - 1][h] + (1 - self.a(h)) * lower
+
+    def score(self, stream):
+        state, out = (), 0.0
+        for w in stream:
+            at = state
+            while at and w not in self.arcs[at]:
+                out += np.log10(self.failure[at])
+                at = at[1:]
+            out += np.log10(self.arc(at, w))
+            state = (*state, w)
+            while state and (len(state) > 2 or state not in self.failure):
+                state = state[1:]
+        return out
+
 
+def test_language_model(spark, sf_dir, docs):
     end = ("end",)
     streams = {d: [*tokens(t), end] for d, t in docs.items()}
-    train = [s for d, s in streams.items() if crc(d) % 10]
-    c = Counter(w for s in train for w in s)
-    pairs = Counter(p for s in train for p in zip(s, s[1:], strict=False))
-    n, v = sum(c.values()), len(c)
-    n1, n2 = sum(x == 1 for x in c.values()), sum(x == 2 for x in c.values())
-    arcs = {p: x for p, x in pairs.items() if x >= ARC_MIN and c[p[0]] >= STATE_MIN}
-    kept, types = Counter(), Counter()
-    for (u, _), x in arcs.items():
-        kept[u] += x
-        types[u] += 1
+    model = Automaton([s for d, s in streams.items() if crc(d) % 10])
+    c, n, v = model.c[0], model.n, model.v
     got = {r["doc_id"]: r for r in rows(spark, sf_dir, "op7_backoff_lm")}
     assert set(got) == set(docs)
-    better = 0
     for d, s in streams.items():
         r = got[d]
-        base = sum(np.log10((c[w] + 0.1) / (n + 0.1 * (v + 1))) for w in s)
-        score, state = 0.0, None
-        for w in s:
-            p = float(word_probability(c[w], n, v, n1 / (n1 + 2 * n2)))
-            if types[state]:
-                mass = (c[state] - kept[state] + ARC_DISCOUNT * types[state]) / c[state]
-                p = mass * p + ((arcs[state, w] - ARC_DISCOUNT) / c[state] if (state, w) in arcs else 0)
-            score, state = score + np.log10(p), w
-        assert (r["n_tokens"], r["n_known"], r["train_tokens"], r["held_out"]) == (len(s), sum(c[w] > 0 for w in s), n, crc(d) % 10 == 0)
-        assert r["base_score"] == pytest.approx(base) and r["score"] == pytest.approx(score)
-        better += r["score"] > r["base_score"]
-    assert better > 0.9 * len(docs)
+        base = sum(np.log10((c[(w,)] + 0.1) / (n + 0.1 * (v + 1))) for w in s)
+        assert (r["n_tokens"], r["n_known"], r["train_tokens"], r["held_out"]) == (len(s), sum(c[(w,)] > 0 for w in s), n, crc(d) % 10 == 0)
+        assert r["base_score"] == pytest.approx(base) and r["score"] == pytest.approx(model.score(s))
+    held = [r for r in got.values() if r["held_out"]]
+    assert sum(r["score"] for r in held) > sum(r["base_score"] for r in held)
+    assert sum(r["score"] > r["base_score"] for r in got.values()) > 0.9 * len(docs)
+
+
+def test_language_model_is_a_distribution(docs):
+    """After any state, the probabilities of all words, the end and the unknown word sum to 1."""
+    model = Automaton([[*tokens(t), ("end",)] for d, t in docs.items() if d < 40])
+    states = [(), *list(model.failure)[:: max(1, len(model.failure) // 8)]]
+    for h in states:
+        total = 0.0
+        for w in [g[0] for g in model.c[0]] + ["never seen"]:
+            at, p = h, 1.0
+            while at and w not in model.arcs[at]:
+                p *= model.failure[at]
+                at = at[1:]
+            total += p * model.arc(at, w)
+        assert total == pytest.approx(1)
 
 
 def test_language_model_is_one_over_blocks_and_ranges(spark, sf_dir, monkeypatch):
@@ -196,32 +243,34 @@ def test_language_model_is_one_over_blocks_and_ranges(spark, sf_dir, monkeypatch
 
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     whole = {r["doc_id"]: r.asDict() for r in language_model.lm_scores(docs).collect()}
-    monkeypatch.setattr(language_model, "RANGE_PAIRS", 3000)
+    monkeypatch.setattr(language_model, "RANGE_KEYS", 3000)
     cut = {r["doc_id"]: r.asDict() for r in language_model.lm_scores(docs, block_bytes=50_000).collect()}
     assert cut.keys() == whole.keys()
     for d, r in cut.items():
         assert r == pytest.approx(whole[d])
 
 
-def test_language_model_counts_rare_bigrams(spark):
+def test_language_model_of_rare_ngrams(spark):
+    """Words, pairs and triples seen once or twice count, and a text that occurs twice is likelier than one that occurs once."""
     from symbolweave.llm import language_model
 
-    train = [i for i in range(1, 40) if crc(i) % 10][:3]
-    texts = dict(zip(train, ["rare pair", "rare pair", "once only"], strict=True))
+    ids = [i for i in range(1, 200) if crc(i) % 10]
+    texts = {ids[0]: "rare pair here", ids[1]: "rare pair here", ids[2]: "once only there", ids[3]: None}
+    texts |= {i: " ".join(f"w{(i * j) % 7}" for j in range(1, 9)) for i in ids[4:40]}
     got = {r["doc_id"]: r["score"] for r in language_model.lm_scores(spark.createDataFrame(list(texts.items()), "doc_id long, text string")).collect()}
-    streams = {i: [*t.split(), "</s>"] for i, t in texts.items()}
-    c = Counter(w for s in streams.values() for w in s)
-    pairs = Counter(p for s in streams.values() for p in zip(s, s[1:], strict=False))
-    n, v = sum(c.values()), len(c)
-    discount = 2 / (2 + 2 * 2)  # two words seen once, two seen twice
+    streams = {i: [*tokens(t), ("end",)] for i, t in texts.items()}
+    model = Automaton(list(streams.values()))
     for i, s in streams.items():
-        score = 0.0
-        for u, w in zip([None, *s], s, strict=False):
-            p = max(c[w] - discount, 0) / n + discount * v / n / (v + 1)
-            if u is not None:
-                p = 0.75 * sum(x == u for x, _ in pairs) / c[u] * p + (pairs[u, w] - 0.75) / c[u]
-            score += np.log10(p)
-        assert got[i] == pytest.approx(score)
+        assert got[i] == pytest.approx(model.score(s))
+    assert got[ids[0]] > got[ids[2]]
+
+
+def test_language_model_without_training_documents(spark):
+    from symbolweave.llm import language_model
+
+    held = [i for i in range(100) if crc(i) % 10 == 0][:3]
+    got = language_model.lm_scores(spark.createDataFrame([(i, "some words") for i in held], "doc_id long, text string")).collect()
+    assert [(r["n_tokens"], r["n_known"], r["train_tokens"], r["base_score"], r["score"]) for r in got] == [(3, 0, 0, 0.0, 0.0)] * 3
 
 
 def test_shards(spark, sf_dir, docs):

@@ -76,8 +76,7 @@ def test_word_encoder_equals_the_tokenizer(text):
     from tokenizers import Tokenizer
 
     tokenizer = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
-    tokenizer.encode_special_tokens = True
-    encoder = packing.WordEncoder(packing.vocabulary_path())
+    encoder = packing.TextEncoder(packing.vocabulary_path(), packing.added_tokens())
     assert np.frombuffer(encoder.encode(text), encoder.dtype).tolist() == tokenizer.encode(text, add_special_tokens=False).ids
 
 
@@ -94,11 +93,64 @@ def test_added_tokens_keep_their_ids(spark, text):
 
 def test_bloom_passes_unique_rows_and_never_loses_a_repeat(spark):
     rows = spark.range(4000).select(F.xxhash64((F.col("id") / 2).cast("long") * (F.col("id") < 400).cast("long") + F.col("id") * (F.col("id") >= 400).cast("long")).alias("h"))
-    for bits in (1 << 20, 1 << 15):
-        marked = exact_dedup.with_flag(rows, "h", exact_dedup.repeated_slots(rows, bits), bits, "maybe")
-        flags = marked.groupBy("h").agg(F.count("*").alias("n"), F.max("maybe").alias("maybe")).collect()
-        assert all(r["maybe"] for r in flags if r["n"] > 1)
-        assert sum(r["maybe"] for r in flags if r["n"] == 1) < (80 if bits == 1 << 20 else 2000)
+    rows = exact_dedup.save(rows.withColumn("row", F.monotonically_increasing_id()), "test-hashes")
+    for bits in (1 << 20, 1 << 15):  # one filter, and two filters of 32,768 bits for a part of the hashes each
+        flags = exact_dedup.flagged(rows, bits).groupBy("h").agg(F.count("*").alias("n"), F.max("maybe").alias("maybe")).collect()
+        assert sum(r["n"] for r in flags) == 4000 and all(r["maybe"] for r in flags if r["n"] > 1)
+        assert sum(r["maybe"] for r in flags if r["n"] == 1) < 120
+
+
+@pytest.mark.parametrize("bits", [1 << 28, 1 << 15])
+def test_exact_duplicates_in_parts(spark, bits):
+    docs = spark.range(6000).selectExpr("id AS doc_id", "concat('t', IF(id % 3 = 0, 0, IF(id % 2 = 0, id % 900, id))) AS text", "id AS `a.b`")
+    want = {}
+    for r in docs.collect():
+        want.setdefault(r["text"], []).append(r["doc_id"])
+    got = {r["doc_id"]: (r["keep_id"], r["group_size"], r["kept"]) for r in exact_dedup.exact_duplicates(docs, bits).collect()}
+    assert got == {d: (max(g), len(g), d == max(g)) for g in want.values() for d in g}
+    kept = exact_dedup.drop_exact_duplicates(docs, bits).collect()
+    assert sorted(r["doc_id"] for r in kept) == sorted(max(g) for g in want.values()) and all(r["a.b"] == r["doc_id"] for r in kept)
+
+
+@pytest.mark.parametrize("few", [True, False])
+def test_added_columns_leave_others_alone(spark, monkeypatch, few):
+    """Columns that differ from the added ones in case only, and names with a dot."""
+    names = ["doc_id", "text", "source", "Copies", "MIX_KEY", "Rate", "URL_Host", "Score", "Exact_H", "a.b"]
+    docs = spark.createDataFrame([(i, f"some words of text {i}", "s", 7, "mine", 1, "h", 2, 3, 4) for i in range(20)], ", ".join(f"`{n}` {'string' if n in ('text', 'source', 'MIX_KEY', 'URL_Host') else 'long'}" for n in names))
+    monkeypatch.setattr(mixing, "BROADCAST_SOURCES", 10 if few else 0)
+    mixed = mixing.mix_sources(docs, epochs=3.0)
+    assert mixed.columns == [*names, "copy", "copies_", "rate_", "mix_key_"]
+    rows = mixed.toArrow().to_pylist()
+    assert len(rows) > 30 and all((r["Copies"], r["MIX_KEY"], r["Rate"]) == (7, "mine", 1) for r in rows)
+    for out in (exact_dedup.drop_exact_duplicates(docs), quality.keep_good(docs, labels(spark)), minhash.drop_near_duplicates(docs)):
+        assert out.columns == names
+        assert all((r["Copies"], r["Score"], r["Exact_H"], r["a.b"]) == (7, 2, 3, 4) for r in out.toArrow().to_pylist())
+    captures = docs.withColumns({"url": F.lit("http://x.org"), "fetched_at": F.to_timestamp_ntz(F.lit("2024-01-05"))})
+    out = url_filter.filter_urls(captures, spark.createDataFrame([("X.org.", "add"), ("x.org", None)], "domain string, action string").withColumn("listed_at", F.to_timestamp_ntz(F.lit("2024-01-01"))))
+    assert all(r["URL_Host"] == "h" and r["url_host_"] == "x.org" and r["blocked"] for r in out.toArrow().to_pylist())
+
+
+@pytest.mark.parametrize(("partitions", "bound"), [(1, 1_000_000), (3, 1_000_000), (5, 0)])
+def test_repeated_ids_with_other_texts(spark, monkeypatch, partitions, bound):
+    """A link to one text of a doc_id is a link to all of it."""
+    monkeypatch.setattr(minhash, "BROADCAST_IDS", bound)
+    a, b, c = (" ".join(f"{x}{i}" for i in range(60)) for x in "abc")
+    rows = [(5, a), (5, b), (2, a + " more"), (3, b + " more"), (7, c), (7, c + " x"), (9, c + " y"), (8, "alone"), (8, "words here"), (6, None), (6, "")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(partitions)
+    got = {(r["doc_id"], r["component_id"], r["kept"]) for r in minhash.near_duplicates(docs).collect()}
+    assert got == {(5, 2, False), (2, 2, True), (3, 2, False), (7, 7, True), (9, 7, False), (8, 8, True), (6, 6, True)}
+
+
+def test_long_words_keep_apart():
+    """Strings that a polynomial hash over 2^64 takes for one."""
+    from symbolweave.llm.common import words
+
+    t = "a"
+    while len(t) < 2048:
+        t += t.translate(str.maketrans("ab", "ba"))
+    other = t.translate(str.maketrans("ab", "ba"))
+    h, n = words([f"{t} {other} {t.upper()}".encode()])
+    assert n.tolist() == [3] and h[0] != h[1] and h[0] == h[2]
 
 
 def test_ann_odd_vectors(spark):
