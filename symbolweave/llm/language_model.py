@@ -17,7 +17,10 @@ Documents are tokenised once, into blocks of about BLOCK_BYTES with a dictionary
 block's distinct n-grams of all orders are sorted by key and sent as packed cells, one for each order and key range that
 has any (a range holds about RANGE_KEYS of them, so their number grows with the corpus); a range sums the counts and
 answers each cell. So each block gets back the part of the automaton that its own words need, and no model is ever held
-whole, whatever the vocabulary. A hot word is one entry a block. Keys are 64-bit hashes.
+whole, whatever the vocabulary. A hot word is one entry a block.
+
+Words go by 64-bit hashes, longer n-grams by the first key_bits() of theirs: KEY_MARGIN bits more than the corpus has
+entries need to be told apart, so that of 2^KEY_MARGIN (16 million) n-grams about one shares its key with another.
 
 Edge cases: null and empty texts are the end token alone; repeated rows are scored one by one and counted one by one;
 a null doc_id counts as the empty text for the split; without training documents every token is unknown
@@ -39,6 +42,8 @@ HELD_OUT, ORDER, MIN_WEIGHT = 10, 3, 0.05
 BLOCK_BYTES = 8 << 20
 #: Entries (an n-gram of a block) that a key range holds, about; the number of ranges grows with the corpus.
 RANGE_KEYS = 1 << 20
+#: Bits of an n-gram's key beyond those that number the corpus's entries, and the fewest that a key has.
+KEY_MARGIN, KEY_BITS = 24, 48
 END = 1  # the key of the end token
 BLOCK = "block long, doc_id long, held_out boolean, tokens int, ids binary, counts binary"
 CELL = "range long, block long, order int, keys binary, n binary"
@@ -58,12 +63,15 @@ def _blocks(block_bytes: int):
         keys, index = np.unique(np.concatenate(hashes), return_inverse=True)
         index = index.astype("<u4")
         held = np.array([d[1] for d in docs])
+        # frequent words get small indexes, whose high bytes vanish when compressed
+        order = np.argsort(-np.bincount(index), kind="stable")
+        keys, index = keys[order], np.argsort(order).astype("<u4")[index]
         counts = np.bincount(index[np.repeat(~held, sizes)], minlength=len(keys)).astype("<u4")
         stops = np.cumsum(sizes)
         block = (partition_id() << 24) + number
         for lo in range(0, len(docs), 2048):
             hi = min(lo + 2048, len(docs))
-            ids = [index[stops[i] - sizes[i] : stops[i]].tobytes() for i in range(lo, hi)]
+            ids = [_planes(index[stops[i] - sizes[i] : stops[i]]) for i in range(lo, hi)]
             yield batch([block] * (hi - lo), [d[0] for d in docs[lo:hi]], held[lo:hi].tolist(), sizes[lo:hi], ids, [None] * (hi - lo))
         yield batch([block], [None], [None], [0], [keys.astype("<u8").tobytes()], [counts.tobytes()])
 
@@ -90,43 +98,59 @@ def _blocks(block_bytes: int):
     return run
 
 
+def key_bits(entries: int) -> int:
+    return min(64, max(KEY_BITS, entries.bit_length() + KEY_MARGIN))
+
+
+def _planes(values: np.ndarray) -> bytes:
+    """Numbers by byte planes, all lowest bytes first: planes of zeros vanish when compressed."""
+    return values.view(np.uint8).reshape(len(values), values.itemsize).T.tobytes()
+
+
+def _unplaned(planes: bytes, dtype: str) -> np.ndarray:
+    width = np.dtype(dtype).itemsize
+    return np.ascontiguousarray(np.frombuffer(planes, np.uint8).reshape(width, -1).T).view(dtype).ravel()
+
+
 def _pack(values: np.ndarray) -> bytes:
-    """64-bit values by byte planes: all lowest bytes first. The planes of zeros vanish when a shuffle compresses them."""
-    return values.astype("<u8", copy=False).view(np.uint8).reshape(-1, 8).T.tobytes()
+    """64-bit values, compressed after their number."""
+    return len(values).to_bytes(4, "little") + pa.compress(_planes(values.astype("<u8")), "zstd", asbytes=True)
 
 
 def _unpack(packed: bytes) -> np.ndarray:
-    return np.ascontiguousarray(np.frombuffer(packed, np.uint8).reshape(8, -1).T).view("<u8").ravel()
+    return _unplaned(pa.decompress(packed[4:], 8 * int.from_bytes(packed[:4], "little"), "zstd", asbytes=True), "<u8")
 
 
 class Block:
     """A block's documents as one stream of tokens, and its n-grams by order.
 
     first: where documents begin in the stream, with the end last. keys[k], at[k], where[k] for order k + 1: the sorted
-    distinct keys, the positions in the stream that an n-gram ends at, and the index into keys of each.
+    distinct keys, the positions in the stream that an n-gram ends at, and the index into keys of each. Beyond words,
+    only the first bits of a key are not 0.
     """
 
-    def __init__(self, block: pa.Table):
+    def __init__(self, block: pa.Table, bits: int):
         is_doc = pc.is_null(block.column("counts"))
         self.docs, dictionary = block.filter(is_doc), block.filter(pc.invert(is_doc))
-        ids = [np.frombuffer(x, "<u4") for x in self.docs.column("ids").to_pylist()]
+        ids = [_unplaned(x, "<u4") for x in self.docs.column("ids").to_pylist()]
         self.number = block.column("block")[0].as_py()
         self.first = np.cumsum([0, *map(len, ids)])
-        self.stream = np.concatenate(ids).astype(np.int64)
+        stream = np.concatenate(ids)
         self.train = np.repeat(~np.array(self.docs.column("held_out")), np.diff(self.first))
         words_ = np.frombuffer(dictionary.column("ids")[0].as_py(), "<u8")
-        self.words = np.frombuffer(dictionary.column("counts")[0].as_py(), "<u4")
-        self.keys, self.at, self.where = [words_], [np.arange(len(self.stream))], [self.stream]
-        past = np.arange(len(self.stream)) - np.repeat(self.first[:-1], np.diff(self.first))
-        last = words_[self.stream]
-        gram = last
+        order = np.argsort(words_)
+        self.words = np.frombuffer(dictionary.column("counts")[0].as_py(), "<u4")[order]
+        self.keys, self.at, self.where = [words_[order]], [np.arange(self.first[-1])], [np.argsort(order)[stream]]
+        self.past = np.arange(self.first[-1]) - np.repeat(self.first[:-1], np.diff(self.first))
+        last = words_[stream]
+        gram, low = last, np.uint64(64 - bits)
         for order in range(2, ORDER + 1):
             # the n-gram ending here: the one a word shorter that ends a token earlier, and this token
             grown = np.zeros(len(gram), np.uint64)
             grown[1:] = mix64(gram[:-1] * np.uint64(0x9E3779B97F4A7C15) + last[1:])
             gram = grown
-            at = np.flatnonzero(past >= order - 1)
-            keys, where = np.unique(gram[at], return_inverse=True)
+            at = np.flatnonzero(self.past >= order - 1)
+            keys, where = np.unique(gram[at] >> low << low, return_inverse=True)
             self.keys.append(keys)
             self.at.append(at)
             self.where.append(where)
@@ -140,7 +164,7 @@ class Block:
         """By order, for each token the corpus count of the n-gram that ends there; 0 where the document has none."""
         out = []
         for at, where, c in zip(self.at, self.where, counts, strict=True):
-            full = np.zeros(len(self.stream), np.int64)
+            full = np.zeros(len(self.past), np.int64)
             full[at] = c[where]
             out.append(full)
         return out
@@ -153,17 +177,18 @@ def _cells(keys: np.ndarray, ranges: int):
     return found.astype(np.int64), np.append(starts, len(keys))
 
 
-def _send(ranges: int):
+def _send(ranges: int, bits: int):
     """A block's distinct n-grams by order and key range, with how often each is in its training documents."""
     schema = _schema(CELL)
 
     def run(table: pa.Table) -> pa.Table:
-        b, rows = Block(table), []
+        b, rows = Block(table, bits), []
         for order in range(1, ORDER + 1):
             keys, n = b.keys[order - 1], b.training_counts(order)
+            low = np.uint64(64 - bits if order > 1 else 0)
             found, starts = _cells(keys, ranges)
             for r, lo, hi in zip(found.tolist(), starts[:-1], starts[1:], strict=True):
-                gaps = np.diff(keys[lo:hi], prepend=np.uint64(0))
+                gaps = np.diff(keys[lo:hi] >> low, prepend=np.uint64(0))
                 rows.append((r, b.number, order, _pack(gaps), _pack(n[lo:hi])))
         return pa.Table.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows, strict=True), schema, strict=True)], schema=schema)
 
@@ -205,22 +230,26 @@ def bucket(count: np.ndarray) -> np.ndarray:
     return np.frexp(count.astype(float))[1] - 1
 
 
-def _novelty(table: pa.Table, answers: pa.Table) -> pa.Table:
+def _novelty(bits: int):
     """By order and bucket of the state's count: the block's training events after such states, and those that occur once in the corpus."""
     schema = _schema("order int, bucket int, events long, single long")
-    if not table.num_rows:
-        return schema.empty_table()
-    b, rows = Block(table), []
-    c = b.spread(_counts(answers))
-    for order in range(2, ORDER + 1):
-        at = b.at[order - 1][b.train[b.at[order - 1]]]
-        kind = bucket(c[order - 2][at - 1])
-        events = np.bincount(kind)
-        single = np.bincount(kind, weights=c[order - 1][at] == 1, minlength=len(events)).astype(np.int64)
-        rows += [(order, i, int(e), int(s)) for i, (e, s) in enumerate(zip(events, single, strict=True)) if e]
-    if not rows:
-        return schema.empty_table()
-    return pa.Table.from_arrays([pa.array(x, f.type) for x, f in zip(zip(*rows, strict=True), schema, strict=True)], schema=schema)
+
+    def run(table: pa.Table, answers: pa.Table) -> pa.Table:
+        if not table.num_rows:
+            return schema.empty_table()
+        b, rows = Block(table, bits), []
+        c = b.spread(_counts(answers))
+        for order in range(2, ORDER + 1):
+            at = b.at[order - 1][b.train[b.at[order - 1]]]
+            kind = bucket(c[order - 2][at - 1])
+            events = np.bincount(kind)
+            single = np.bincount(kind, weights=c[order - 1][at] == 1, minlength=len(events)).astype(np.int64)
+            rows += [(order, i, int(e), int(s)) for i, (e, s) in enumerate(zip(events, single, strict=True)) if e]
+        if not rows:
+            return schema.empty_table()
+        return pa.Table.from_arrays([pa.array(x, f.type) for x, f in zip(zip(*rows, strict=True), schema, strict=True)], schema=schema)
+
+    return run
 
 
 def state_weights(rows) -> np.ndarray:
@@ -259,15 +288,14 @@ def traverse(c: list[np.ndarray], past: np.ndarray, root: np.ndarray, weight: np
     return np.log10(p)
 
 
-def _score(total: int, types: int, discount: float, weight: np.ndarray):
+def _score(bits: int, total: int, types: int, discount: float, weight: np.ndarray):
     def run(table: pa.Table, answers: pa.Table) -> pa.Table:
         schema = _schema("doc_id long, held_out boolean, n_tokens long, n_known long, base_score double, score double")
         if not table.num_rows:
             return schema.empty_table()
-        b = Block(table)
+        b = Block(table, bits)
         c = b.spread(_counts(answers))
-        past = np.arange(len(b.stream)) - np.repeat(b.first[:-1], np.diff(b.first))
-        logs = traverse(c, past, word_probability(c[0], total, types, discount), weight)
+        logs = traverse(c, b.past, word_probability(c[0], total, types, discount), weight)
         base = np.log10((c[0] + 0.1) / (total + 0.1 * (types + 1)))
         sums = [np.add.reduceat(x, b.first[:-1]) for x in ((c[0] > 0).astype(np.int64), base, logs)]
         cols = [b.docs.column("doc_id"), b.docs.column("held_out"), pa.array(np.diff(b.first)), *map(pa.array, sums)]
@@ -283,17 +311,17 @@ def lm_scores(docs: DataFrame, block_bytes: int = BLOCK_BYTES) -> DataFrame:
     blocks = bucketed(fed.mapInArrow(_blocks(block_bytes), BLOCK), "block", "lm", buckets)
     by_block = blocks.groupBy("block")
     tokens = blocks.agg(F.sum("tokens").alias("n")).first()["n"] or 0
-    ranges = max(1, -(-ORDER * tokens // RANGE_KEYS))
-    cells = by_block.applyInArrow(_send(ranges), CELL)
+    ranges, bits = max(1, -(-ORDER * tokens // RANGE_KEYS)), key_bits(ORDER * tokens)
+    cells = by_block.applyInArrow(_send(ranges, bits), CELL)
     answers = bucketed(cells.groupBy("range").applyInArrow(_answer, ANSWER), "block", "lm_counts", buckets, deal=True)
     sums = answers.agg(*[F.coalesce(F.sum(x), F.lit(0)).alias(x) for x in ("total", "types", "once", "twice")]).first()
     total, types = sums["total"], sums["types"]
     discount = sums["once"] / (sums["once"] + 2 * sums["twice"]) if sums["once"] else 0.5
     of_block = answers.select("block", "order", "range", "n").groupBy("block")
-    events = by_block.cogroup(of_block).applyInArrow(_novelty, "order int, bucket int, events long, single long")
+    events = by_block.cogroup(of_block).applyInArrow(_novelty(bits), "order int, bucket int, events long, single long")
     # at most 64 rows an order
     weight = state_weights(events.groupBy("order", "bucket").agg(F.sum("events"), F.sum("single")).collect())
     scored = by_block.cogroup(of_block).applyInArrow(
-        _score(total, types, discount, weight), "doc_id long, held_out boolean, n_tokens long, n_known long, base_score double, score double"
+        _score(bits, total, types, discount, weight), "doc_id long, held_out boolean, n_tokens long, n_known long, base_score double, score double"
     )
     return scored.select("doc_id", "held_out", "n_tokens", "n_known", F.lit(total).cast("long").alias("train_tokens"), "base_score", "score")
