@@ -182,10 +182,11 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame
     rows = classes.select("class", "n", F.explode(keys).alias("key"))
     shared = rows.groupBy("key").agg(F.count(F.lit(1)).alias("size")).where("size > 1")
     members = save(rows.join(shared, "key"), "near-members")
-    weights = members.groupBy("class").agg(F.sum("size").alias("weight"))
+    weights = members.groupBy("class").agg(F.sum("size").alias("weight")).join(classes.select("class", "doc_id"), "class")
     weighted = members.join(weights, "class")
-    centres = weighted.groupBy("key").agg(F.max(F.struct("weight", (-F.col("class")).alias("minus"), "n")).alias("c"))
-    centres = save(centres.select("key", (-F.col("c.minus")).alias("centre"), F.col("c.n").alias("centre_n")), "near-centres")
+    # of equally full buckets, the smallest doc_id: copies come after what they are copied from
+    centres = weighted.groupBy("key").agg(F.max(F.struct("weight", (-F.col("doc_id")).alias("minus"), "class", "n")).alias("c"))
+    centres = save(centres.select("key", F.col("c.class").alias("centre"), F.col("c.n").alias("centre_n")), "near-centres")
     sizes = lambda x, y: (F.least(x, y) * 100 >= F.greatest(x, y) * percent)
     star = members.join(centres, "key").where(F.col("class") != F.col("centre"))
     pairs = star.select(F.least("class", "centre").alias("a"), F.greatest("class", "centre").alias("b"),
