@@ -80,11 +80,11 @@ def glob_regex(pattern: str) -> str:
 
 
 def layer_regex(pattern: str) -> str:
-    """A layer pattern: plain text is the whole or a path's tail; with * or ? it may also start after any slash."""
+    """A layer pattern: plain text is the whole or a path's tail; with * or ? it may also start after any slash. Case and \\ or / don't matter."""
     import re
 
-    body = re.escape(pattern.lower()).replace(r"\*", ".*").replace(r"\?", ".")
-    return f"^(?:.*/)?{body}$"
+    body = re.escape(pattern.replace("\\", "/").lower()).replace(r"\*", ".*").replace(r"\?", ".")
+    return rf"(?s)^(?:.*/)?{body}\z"
 
 
 def doc_summary(doc: Column) -> Column:
@@ -95,5 +95,5 @@ def doc_summary(doc: Column) -> Column:
 
 
 def init_labels(name: Column) -> Column:
-    """How many labels an initialiser's name has."""
-    return F.when(name.startswith("init("), F.length(name) - F.length(F.replace(name, F.lit(":"), F.lit("")))).otherwise(0)
+    """How many labels an initialiser's name, init(...), has."""
+    return F.size(F.filter(F.split(F.regexp_extract(name, r"^init\((.*)\)$", 1), ":"), lambda x: x != ""))

@@ -2,18 +2,20 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Sequence
 from dataclasses import dataclass
 from functools import reduce
 from operator import and_
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from symbolweave import schema as S
+from symbolweave.runtime import shared_dir
 
-# Other names that a kind filter takes.
-KIND_ALIASES = {"fn": "function", "func": "function", "mod": "module", "const": "constant", "ext": "extension", "var": "variable", "param": "parameter", "type": "type_alias", "prop": "property", "iface": "protocol"}
+# Other names that a kind filter takes; a package can't be asked for.
+KIND_ALIASES = {"fn": "function", "variant_member": "enum_member", "mod": "module", "var": "variable", "const": "constant", "typealias": "type_alias", "param": "parameter", "ext": "extension"}
 NODE_FIELDS = ["id", "kind", "name", "file", "module", "visibility", "role_type", "terminal_kind", "signature", "doc_comment", "snippet", "repo", "start_line", "end_line"]
 
 
@@ -34,6 +36,14 @@ class CodeGraph:
         for name in ("nodes", "edges"):
             getattr(self, name).write.mode("overwrite").partitionBy("kind").parquet(f"{path}/{name}")
 
+    def written(self, path: str | None = None) -> CodeGraph:
+        """The same graph read from where it was just written: operators that use it many times plan and compute it once."""
+        spark = self.nodes.sparkSession
+        path = path or f"{shared_dir(spark)}/graph-{uuid.uuid4().hex}"
+        self.write(path)
+        read = {n: spark.read.schema(df.schema).parquet(f"{path}/{n}").select(df.columns) for n, df in (("nodes", self.nodes), ("edges", self.edges))}
+        return CodeGraph(**read, version=self.version)
+
     def transform(self, step) -> CodeGraph:
         """step: CodeGraph -> CodeGraph, a pass."""
         return step(self)
@@ -42,8 +52,8 @@ class CodeGraph:
     def filter_kinds(self, kinds: Sequence[str] | str) -> CodeGraph:
         """Nodes of the kinds, and edges with both ends among them."""
         names = kinds.split(",") if isinstance(kinds, str) else kinds
-        names = [KIND_ALIASES.get(k.strip().lower(), k.strip().lower()) for k in names]
-        unknown = sorted(set(names) - set(S.NODE_KINDS))
+        names = [KIND_ALIASES.get(k.strip(), k.strip()) for k in names]
+        unknown = sorted(set(names) - set(S.NODE_KINDS) | set(names) & {"package"})
         if unknown:
             raise ValueError(f"unknown kinds: {unknown}")
         return self._induced(self.nodes.where(F.col("kind").isin(names)))
@@ -104,18 +114,21 @@ class CodeGraph:
         (file, line), metadata the first value of each key; the snippet is that of the first row. Edges: the largest
         confidence and all distinct provenance.
         """
-        rank = {"public": 0, "crate": 1, "private": 2}
-        order = Window.partitionBy("id").orderBy("file", "start_line", "start_col", "name", "kind").rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
-        first = ["name", "file", "start_line", "start_col", "end_line", "end_col", "snippet"]
-        cols = {c: F.first(c).over(order) for c in first}
-        cols |= {c: F.first(c, ignorenulls=True).over(order) for c in ("role_type", "terminal_kind", "signature", "doc_comment", "module", "repo")}
-        cols["kind"] = F.when(F.max((F.col("kind") == "class").cast("int")).over(order) == 1, F.when(F.first("kind").over(order).isin("struct", "class"), "class").otherwise(F.first("kind").over(order))).otherwise(F.first("kind").over(order))
-        cols["visibility"] = F.min(F.struct(F.try_element_at(F.create_map(*[F.lit(x) for p in rank.items() for x in p]), F.col("visibility")).alias("r"), F.col("visibility").alias("v"))).over(order)["v"]
-        entries = F.flatten(F.collect_list(F.map_entries("metadata")).over(order))
-        merged = F.aggregate(entries, F.create_map().cast("map<string,string>"), lambda m, e: F.when(F.map_contains_key(m, e["key"]), m).otherwise(F.map_concat(m, F.create_map(e["key"], e["value"]))))
-        cols["metadata"] = merged
-        nodes = self.nodes.select("id", *[c.alias(n) for n, c in cols.items()], F.row_number().over(Window.partitionBy("id").orderBy("file", "start_line", "start_col", "name", "kind")).alias("rn"))
-        nodes = nodes.where("rn = 1").select(self.nodes.columns)
+        rank = F.create_map(*[F.lit(x) for p in (("public", 0), ("crate", 1), ("private", 2)) for x in p])
+        # one order for all; what comes after the position only settles ties
+        at = F.struct("file", "start_line", "start_col", "name", "kind", "end_line", "end_col", "visibility", "module", "signature", "doc_comment", "snippet", F.array_sort(F.map_entries("metadata")).alias("m"))
+        present = lambda c: F.min_by(F.when(F.col(c).isNotNull(), F.col(c)), F.when(F.col(c).isNotNull(), F.col("at")))
+        whole = ["name", "file", "start_line", "start_col", "end_line", "end_col", "snippet"]
+        first = F.min_by(F.struct("kind", *whole), "at")
+        entries = F.array_sort(F.collect_list(F.when(F.size("metadata") > 0, F.struct("at", F.map_entries("metadata").alias("entries")))))
+        merged = F.aggregate(F.flatten(F.transform(entries, lambda x: x["entries"])), F.create_map().cast("map<string,string>"),
+                             lambda m, e: F.when(F.map_contains_key(m, e["key"]), m).otherwise(F.map_concat(m, F.create_map(e["key"], e["value"]))))
+        nodes = self.nodes.withColumn("at", at).groupBy("id").agg(
+            first.alias("first"), F.max((F.col("kind") == "class").cast("int")).alias("is_class"), F.min_by("visibility", F.try_element_at(rank, F.col("visibility"))).alias("visibility"),
+            merged.alias("metadata"), *[present(c).alias(c) for c in ("role_type", "terminal_kind", "signature", "doc_comment", "module", "repo")],
+        )
+        kind = F.when((F.col("is_class") == 1) & F.col("first.kind").isin("struct", "class"), "class").otherwise(F.col("first.kind"))
+        nodes = nodes.withColumns({"kind": kind} | {c: F.col("first")[c] for c in whole}).select(self.nodes.columns)
         keyed = self.edges.withColumn("edge_id", S.edge_id())
         rest = [F.first(c).alias(c) for c in S.KEY]
         edges = keyed.groupBy("edge_id").agg(*rest, F.max("confidence").alias("confidence"), F.array_sort(F.array_distinct(F.flatten(F.collect_list("provenance")))).alias("provenance"))

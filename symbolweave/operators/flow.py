@@ -96,11 +96,10 @@ def trace(graph: CodeGraph, entry: str, max_depth: int = 10) -> DataFrame:
     first = flow.groupBy("target").agg(F.min(F.struct("source", "kind", "direction", "operation", "condition")).alias("e"))
     ends = graph.nodes.where("role_type = 'terminal'").select(F.col("id").alias("at"), "terminal_kind")
     names = graph.nodes.select(F.col("id").alias("at"), "name")
-    text = lambda c: F.coalesce(c, F.element_at(F.split("at", "::"), -1))
     empty = F.array().cast("array<string>")
     root = graph.nodes.where(F.col("id") == entry).select(F.col("id").alias("at"), F.array("name").alias("names"), F.array("id").alias("ids"), empty.alias("pairs"), empty.alias("conditions"), empty.alias("asyncs"))
     steps = cut(flow.select(F.col("source").alias("from"), F.col("target").alias("to"), "condition", "async_boundary").join(names.select(F.col("at").alias("to"), "name"), "to", "left"), "flow")
-    open_, found, ids = cut(root, "trace"), [], None
+    open_, found = cut(root, "trace"), []
     for _ in range(max_depth):
         pair = F.concat("from", F.lit(" -> "), "to")
         grown = open_.join(steps, F.col("at") == F.col("from")).where(~F.array_contains("pairs", pair))
@@ -113,7 +112,6 @@ def trace(graph: CodeGraph, entry: str, max_depth: int = 10) -> DataFrame:
             break
         found.append(grown.where("terminal_kind IS NOT NULL"))
         open_ = grown.where("terminal_kind IS NULL").drop("terminal_kind")
-    del text, ids
     if not found:
         found = [open_.withColumn("terminal_kind", F.lit(None).cast("string")).limit(0)]
     out = reduce(DataFrame.unionByName, found).join(first.withColumnRenamed("target", "at"), "at")
@@ -128,16 +126,20 @@ def trace_summary(flows: DataFrame) -> DataFrame:
     return flows.agg(F.count("*").alias("flows"), n(d.isin("read", "read_write")).alias("reads"), n(d.isin("write", "read_write")).alias("writes"), F.coalesce(F.sum("asyncs"), F.lit(0)).cast("long").alias("async_crossings"))
 
 
+# Starts of names that mark a function as an action.
+ACTION = "^(on|handle|did|go)"
+
+
 def fallback_roots(graph: CodeGraph, entry: str) -> DataFrame:
-    """(id, name, rank): where a trace may start when entry itself leads nowhere: members, implementors and same-file users."""
+    """(id, name, rank): where a trace may start when entry itself leads nowhere: members, implementors and types referred to, of the same file."""
     mine = graph.nodes.where(F.col("id") == entry).select(F.col("file").alias("own_file"))
     e = graph.edges
-    down = e.where((F.col("kind") == "contains") & (F.col("source") == entry)).select(F.col("target").alias("id"))
+    out_ = e.where(F.col("kind").isin("contains", "type_ref") & (F.col("source") == entry)).select(F.col("target").alias("id"))
     up = e.where((F.col("kind") == "implements") & (F.col("target") == entry)).select(F.col("source").alias("id"))
-    refs = e.where((F.col("kind") == "type_ref") & (F.col("target") == entry)).select(F.col("source").alias("id"))
-    found = down.union(up).union(refs).distinct().join(graph.nodes.select("id", "name", "file"), "id").join(F.broadcast(mine), F.col("file") == F.col("own_file"))
-    starts = e.where(F.col("kind").isin(S.DATAFLOW)).select(F.col("source").alias("id"), F.lit(True).alias("flows")).distinct()
-    rank = F.when(F.col("name") == "body", 0).when(F.col("name").rlike("^(on|handle|did|go)"), 1).when(F.col("flows"), 2)
+    found = graph.nodes.select("id", "name", "kind", "file").join(out_.union(up).distinct(), "id", "left_semi").join(F.broadcast(mine), F.col("file") == F.col("own_file"))  # one row
+    starts = e.where(F.col("kind").isin(S.DATAFLOW)).join(found.select(F.col("id").alias("source")), "source", "left_semi").select(F.col("source").alias("id"), F.lit(True).alias("flows")).distinct()
+    name = symbol_name(F.col("name"))
+    rank = F.when(name == "body", 0).when((F.col("kind") == "function") & name.rlike(ACTION), 1).when(F.col("flows"), 2)
     return found.join(starts, "id", "left").select("id", "name", rank.alias("rank")).where("rank IS NOT NULL")
 
 

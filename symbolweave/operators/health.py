@@ -11,6 +11,7 @@ from symbolweave import schema as S
 from symbolweave.functions.text import doc_summary, init_labels, layer_regex
 from symbolweave.graph import CodeGraph
 from symbolweave.operators.traverse import reach
+from symbolweave.runtime import cut
 
 UNKNOWN = "(unknown)"
 
@@ -34,9 +35,29 @@ def module_kind_counts(graph: CodeGraph) -> DataFrame:
 
 
 def containment_depth(graph: CodeGraph, roots: DataFrame) -> DataFrame:
-    """(root, depth): nodes on the longest of the chains below each root."""
-    down = graph.edges.where("kind = 'contains'").select(F.col("source").alias("src"), F.col("target").alias("dst"))
-    return reach(down, roots.select(F.col("id").alias("root"), "id")).groupBy("root").agg(F.max("depth").alias("depth"))
+    """(root, depth): steps of the longest chain of containment below each root.
+
+    Leaves are peeled off: a node is as high as the number of rounds in which something below it is left, so a row a
+    node is all that is kept. Nodes on or above a loop, which never come off, get the farthest of their shortest ways.
+    """
+    down = cut(graph.edges.where("kind = 'contains'").select(F.col("source").alias("src"), F.col("target").alias("dst")).distinct(), "depth-edges")
+    heights, left, size = [], down, down.count()
+    while size:
+        owners = left.select("src").distinct()
+        heights.append(owners)
+        left = cut(left.join(owners.withColumnRenamed("src", "dst"), "dst", "left_semi").select("src", "dst"), "depth-edges")
+        before, size = size, left.count()
+        if size == before:
+            break
+    own = roots.select(F.col("id").alias("root")).distinct()
+    if not heights:
+        return own.withColumn("depth", F.lit(0))
+    high = reduce(DataFrame.unionByName, heights).groupBy(F.col("src").alias("root")).agg(F.count("*").cast("int").alias("depth"))
+    if size:
+        looped = left.select(F.col("src").alias("root")).distinct()
+        far = reach(down, own.join(looped, "root", "left_semi").select("root", F.col("root").alias("id"))).groupBy("root").agg(F.max("depth").alias("depth"))
+        high = high.join(looped, "root", "left_anti").unionByName(far)
+    return own.join(high, "root", "left").select("root", F.coalesce("depth", F.lit(0)).alias("depth"))
 
 
 def _type_metrics(graph: CodeGraph) -> DataFrame:
@@ -108,7 +129,7 @@ def closure(graph: CodeGraph, roots: DataFrame) -> DataFrame:
 
 def node_layers(graph: CodeGraph, layers: list[tuple[str, list[str]]]) -> DataFrame:
     """(id, layer): the first layer one of whose patterns fits the node's module or file, whatever the case."""
-    fits = lambda ps: reduce(lambda a, b: a | b, [F.lower(c).rlike(layer_regex(p)) for p in ps for c in (F.coalesce("module", F.lit("")), F.col("file"))])
+    fits = lambda ps: reduce(lambda a, b: a | b, [F.lower(F.replace(c, F.lit("\\"), F.lit("/"))).rlike(layer_regex(p)) for p in ps for c in (F.coalesce("module", F.lit("")), F.col("file"))])
     layer = F.coalesce(*[F.when(fits(ps), F.lit(name)) for name, ps in layers if ps])
     return graph.nodes.select("id", "name", "file", layer.alias("layer")).where("layer IS NOT NULL")
 
@@ -153,11 +174,12 @@ def infer_modules(graph: CodeGraph) -> DataFrame:
 
 
 def infer_ownership(graph: CodeGraph) -> DataFrame:
-    """(file, owner, confidence): the last directory that is not src, else the module; of several the most confident, then the first by name."""
+    """(file, owner, confidence): the last part of the path that is no src, dot or source file, else the module; of several the most confident, then the first by name."""
     n = graph.nodes.where(~F.col("kind").isin(S.STRUCTURAL))
-    parts = F.filter(F.slice(F.split("file", "/"), 1, F.size(F.split("file", "/")) - 1), lambda p: ~p.isin("src", "", "."))
-    dir_ = F.try_element_at(parts, F.lit(-1))
-    rows = n.select("file", F.coalesce(dir_, "module").alias("owner"), F.when(dir_.isNotNull(), 0.45).otherwise(0.35).alias("confidence")).where("owner IS NOT NULL")
+    parts = F.filter(F.split(F.replace("file", F.lit("\\"), F.lit("/")), "/"), lambda p: ~p.isin("src", "", ".") & ~p.endswith(".rs") & ~p.endswith(".swift"))
+    part = F.try_element_at(parts, F.lit(-1))
+    module = F.when(~F.col("module").isin("", UNKNOWN), F.col("module"))
+    rows = n.select("file", F.coalesce(part, module).alias("owner"), F.when(part.isNotNull(), 0.45).otherwise(0.35).alias("confidence")).where("owner IS NOT NULL")
     return rows.groupBy("file").agg(F.min(F.struct((-F.col("confidence")).alias("c"), "owner")).alias("b")).select("file", "b.owner", (-F.col("b.c")).alias("confidence"))
 
 

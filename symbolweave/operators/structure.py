@@ -35,34 +35,47 @@ def locators(graph: CodeGraph) -> DataFrame:
 
 
 # How kinds rank when equally good names compete.
-PREFERENCE = {0: "class struct enum trait protocol module extension type_alias", 1: "function method", 2: "property field variant constant variable enum_member", 3: "impl import", 4: "file view branch"}
+PREFERENCE = {
+    0: ["class", "struct", "enum", "trait", "module", "namespace", "type_alias", "protocol"],
+    1: ["function", "method", "route"],
+    2: ["property", "variable", "constant", "variant", "enum_member", "field", "parameter"],
+    3: ["impl", "extension", "import", "export", "package"],
+    4: ["file", "component", "view", "branch"],
+}
+# Endings of a file part of a query that need no slash.
+SOURCE_ENDS = (".swift", ".rs")
+
+
+def _tier(query: str):
+    """0 id, 1 locator, 2 end of a locator (query with ::), 3 name, 4 start of a name, 5 end of an id, 6 name in any case."""
+    name, base = symbol_name(F.col("name")), query.removeprefix("getter:").removeprefix("setter:").partition("(")[0]
+    out = F.when(F.col("id") == query, 0).when(F.col("locator") == query, 1)
+    if "::" in query:
+        out = out.when(F.col("locator").endswith("::" + query), 2)
+    return out.when(name == base, 3).when(name.startswith(base), 4).when(F.col("id").endswith(query), 5).when(F.lower(name) == base.lower(), 6)
 
 
 def resolve(graph: CodeGraph, query: str, with_locators: DataFrame | None = None) -> DataFrame:
     """(id, name, kind, tier): the nodes that query names: one row is a hit, more are ambiguous, none is not found.
 
-    Tiers: 0 id, 1 locator, 2 end of a locator (query with ::), 3 name, 4 start of a name, 5 end of an id, 6 name in
-    any case. The best tier counts, in it the best kind. file::symbol looks within files that end so.
+    The best tier counts, in it the best kind. file::symbol looks within files that end so, if nothing fits as a whole.
     """
-    n, name = graph.nodes, symbol_name(F.col("name"))
-    scope, q = n, query
-    if "::" in query:
-        n = n.join(with_locators if with_locators is not None else locators(graph), "id")
-        tier = F.when(F.col("id") == query, 0).when(F.col("locator") == query, 1).when(F.col("locator").endswith("::" + query), 2)
-        found = _best(n, tier)
-        if not is_empty(found):
-            return found
-        file, _, rest = query.partition("::")
-        if "/" in file or "\\" in file or file.endswith((".swift", ".rs")):
-            scope, q = graph.nodes.where(F.col("file").endswith(file)), rest
-    base = q.split("(")[0].removeprefix("getter:").removeprefix("setter:")
-    tier = (F.when(F.col("id") == q, 0).when(name == base, 3).when(name.startswith(base), 4).when(F.col("id").endswith("::" + q), 5).when(F.lower(name) == base.lower(), 6))
-    return _best(scope, tier)
+    n = graph.nodes
+    if "::" not in query:
+        return _best(n.withColumn("locator", F.lit(None).cast("string")), _tier(query))
+    n = n.join(with_locators if with_locators is not None else locators(graph), "id")
+    found = _best(n, _tier(query))
+    if not is_empty(found):
+        return found
+    file, _, rest = query.rpartition("::")
+    if rest and file and ("/" in file or "\\" in file or file.endswith(SOURCE_ENDS)):
+        n, query = n.where(F.col("file").endswith(file)), rest
+    return _best(n, _tier(query))
 
 
 def _best(nodes: DataFrame, tier) -> DataFrame:
-    order = {k: i for i, ks in PREFERENCE.items() for k in ks.split()}
-    kind = F.coalesce(F.try_element_at(F.create_map(*[F.lit(x) for p in order.items() for x in p]), F.col("kind")), F.lit(5))
+    order = {k: i for i, ks in PREFERENCE.items() for k in ks}
+    kind = F.try_element_at(F.create_map(*[F.lit(x) for p in order.items() for x in p]), F.col("kind"))
     hit = nodes.select("id", "name", "kind", tier.alias("tier"), kind.alias("preference")).where("tier IS NOT NULL")
     best = hit.agg(F.min(F.struct("tier", "preference")).alias("b"))
     return hit.crossJoin(F.broadcast(best)).where("tier = b.tier AND preference = b.preference").select("id", "name", "kind", "tier")  # one row
@@ -118,23 +131,30 @@ def invalidation_sources(graph: CodeGraph, symbol: str) -> DataFrame:
 
 
 def api_members(graph: CodeGraph, type_id: str, private: bool = False) -> DataFrame:
-    """(id, name, kind, visibility): the surface of a type: API members of it and of its extensions, and nodes named under its id."""
+    """(id, name, kind, visibility, owner): the surface of a type: API members of it and of its extensions, and nodes named under its id.
+
+    An extension or impl is the type's by an extends or type_ref edge, or by an equal name. owner is the first by id.
+    """
     n, e = graph.nodes, graph.edges
-    name = n.where(F.col("id") == type_id).select(symbol_name(F.col("name")).alias("own"))
+    own = F.broadcast(n.where(F.col("id") == type_id).select(symbol_name(F.col("name")).alias("own")))  # one row
     ext = n.where("kind IN ('extension', 'impl')").select("id", symbol_name(F.col("name")).alias("base"))
     by_edge = e.where(F.col("kind").isin("extends", "type_ref") & (F.col("target") == type_id)).select(F.col("source").alias("id"))
-    owners = ext.join(by_edge, "id", "left_semi").select("id").union(ext.join(F.broadcast(name), F.col("base") == F.col("own"), "left_semi").select("id")).union(n.where(F.col("id") == type_id).select("id")).distinct()
-    children = e.where("kind = 'contains'").join(owners.withColumnRenamed("id", "source"), "source", "left_semi").select(F.col("target").alias("id"))
-    ids = children.union(n.where(F.col("id").startswith(type_id + "::")).select("id")).distinct()
-    found = n.join(ids, "id", "left_semi").where(F.col("kind").isin(S.API) & ~is_accessor(F.col("name")))
-    return (found if private else found.where("visibility <> 'private'")).select("id", "name", "kind", "visibility")
+    owners = ext.join(by_edge, "id", "left_semi").select("id").union(ext.join(own, F.col("base") == F.col("own"), "left_semi").select("id")).union(n.where(F.col("id") == type_id).select("id")).distinct()
+    children = e.where("kind = 'contains'").join(owners.withColumnRenamed("id", "source"), "source", "left_semi").select(F.col("target").alias("id"), F.lit(0).alias("turn"), F.col("source").alias("owner"))
+    named = F.col("id").startswith(type_id + "::")
+    if type_id.startswith("s:"):
+        named = (F.col("id").startswith(type_id) | F.col("id").startswith("s:e:" + type_id)) & (F.col("id") != type_id)
+    implied = n.where(named).select("id", F.lit(1).alias("turn"), F.lit(type_id).alias("owner"))
+    ids = children.unionByName(implied).groupBy("id").agg(F.min(F.struct("turn", "owner"))["owner"].alias("owner"))
+    found = n.where(F.col("kind").isin(S.API) & ~is_accessor(F.col("name"))).join(ids, "id")
+    return (found if private else found.where("visibility <> 'private'")).select("id", "name", "kind", "visibility", "owner")
 
 
 def api_surface(graph: CodeGraph, type_id: str, private: bool = False) -> DataFrame:
     """api_members() and, as section referenced_types, what they refer to."""
-    members = api_members(graph, type_id, private)
+    members = cut(api_members(graph, type_id, private), "api-members")
     refs = graph.edges.where(F.col("kind").isin("type_ref", "returns", "type_of")).join(members.select(F.col("id").alias("source")), "source", "left_semi")
-    types = graph.nodes.join(refs.select(F.col("target").alias("id")), "id", "left_semi").select("id", "name", "kind", "visibility")
+    types = graph.nodes.join(refs.select(F.col("target").alias("id")), "id", "left_semi").select("id", "name", "kind", "visibility", F.lit(None).cast("string").alias("owner"))
     return members.withColumn("section", F.lit("members")).unionByName(types.withColumn("section", F.lit("referenced_types")))
 
 
@@ -142,25 +162,27 @@ def usages(graph: CodeGraph, symbol: str, exclude: list[str] = (), limit: int |
     """(target, source, name, file, kind, confidence, total): uses of a node, and of a type's members, from outside of them."""
     e, n = graph.edges, graph.nodes
     targets = n.where(F.col("id") == symbol).select("id", "kind")
-    members = api_members(graph, symbol, True).select("id").join(targets.where(F.col("kind").isin(S.TYPES)).select(F.lit(1)), how="left_semi")
-    ids = targets.select("id").union(members).distinct()
+    members = api_members(graph, symbol, True).select("id").join(targets.where(F.col("kind").isin(S.SEEDED)).select(F.lit(1)), how="left_semi")
+    ids = cut(targets.select("id").union(members).distinct(), "usage-targets")
     used = e.where(F.col("kind").isin(S.USAGE)).join(ids.withColumnRenamed("id", "target"), "target", "left_semi").join(ids.withColumnRenamed("id", "source"), "source", "left_anti")
     found = used.select("target", "source", "kind", "confidence").join(n.select(F.col("id").alias("source"), "name", "file"), "source")
     for x in exclude:
         found = found.where(~F.col("file").contains(x))
-    w = Window.partitionBy("target")
-    found = found.withColumn("total", F.count("*").over(w))
+    found = found.join(found.groupBy("target").agg(F.count("*").alias("total")), "target")
     if limit is not None:
-        found = found.withColumn("r", F.row_number().over(w.orderBy("file", "name", "source", "kind", "confidence"))).where(F.col("r") <= limit).drop("r")
+        order = Window.partitionBy("target").orderBy("file", "name", "source", "kind", "confidence")
+        found = found.withColumn("r", F.row_number().over(order)).where(F.col("r") <= limit).drop("r")
     return found.select("target", "source", "name", "file", "kind", "confidence", "total")
 
 
 def file_matches(file, query: str, strict: bool = False):
-    """Equal, a tail either way, a part (unless strict), or the same base name if query has no slash."""
-    out = (file == query) | file.endswith("/" + query) | F.lit(query).endswith(F.concat(F.lit("/"), file))
-    if not strict:
-        out = out | file.contains(query)
-    return out | (basename(file) == query) if strict or "/" not in query else out
+    """Equal, a tail either way, a part (unless strict), or the same base name (strict, or query without a slash); \\ counts as /."""
+    file, query = F.replace(file, F.lit("\\"), F.lit("/")), query.replace("\\", "/")
+    out = (file == query) | file.endswith(query) | F.lit(query).endswith(file)
+    if strict:
+        return out | (basename(file) == query.rpartition("/")[2])
+    out = out | file.contains(query)
+    return out if "/" in query else out | (basename(file) == query)
 
 
 def file_symbols(graph: CodeGraph, files: list[str]) -> DataFrame:
@@ -182,16 +204,37 @@ def file_map(graph: CodeGraph, module: str | None = None) -> DataFrame:
     return n.groupBy("module", "directory").agg(F.countDistinct("file").alias("file_count"), F.count("*").alias("symbol_count"))
 
 
+# Kinds of a dependency in the order that a report lists them.
+DEPENDENCY_KINDS = ["normal", "dev", "build", "workspace"]
+
+
 def dependencies(graph: CodeGraph, name: str | None = None) -> DataFrame:
-    """(package, dependency, package_name, dep_kind, dep_source): manifest dependencies between package and dependency nodes."""
+    """(package, manifest, name, package_name, version_req, source, source_detail, kind, inherited_workspace, package_id, dependency_id, repo, place).
+
+    Manifest dependencies between package and dependency nodes; name takes those so called, or whose package is. place
+    numbers the report's rows: by repo, manifest, kind, name.
+    """
+    got = lambda side, k: F.try_element_at(f"{side}_meta", F.lit(f"cargo.{k}"))
+    side = lambda df, s, c: df.select(F.col("id").alias(c), *[F.col(x).alias(f"{s}_{x}") for x in ("name", "file", "repo")], F.col("metadata").alias(f"{s}_meta"))
     role = lambda r: F.try_element_at("metadata", F.lit("cargo.node")) == r
-    get = lambda k, d: F.coalesce(F.try_element_at("to_meta", F.lit(k)), d)
-    frm = graph.nodes.where(role("package")).select(F.col("id").alias("source"), F.col("name").alias("package"))
-    to = graph.nodes.where(role("dependency")).select(F.col("id").alias("target"), F.col("name").alias("dependency"), F.col("metadata").alias("to_meta"))
-    e = graph.edges.where("kind = 'depends_on'").join(frm, "source").join(to, "target")
-    in_id = F.nullif(F.regexp_extract("target", "::cargo_dependency::([^:]+)", 1), F.lit(""))
-    out = e.select("package", "dependency", get("cargo.package_name", F.col("dependency")).alias("package_name"), get("cargo.kind", F.coalesce(in_id, F.lit("normal"))).alias("dep_kind"), get("cargo.source", F.lit("registry")).alias("dep_source"))
-    return out if name is None else out.where((F.col("dependency") == name) | (F.col("package_name") == name))
+    e = graph.edges.where("kind = 'depends_on'").select("source", "target")
+    e = e.join(side(graph.nodes.where(role("package")), "p", "source"), "source").join(side(graph.nodes.where(role("dependency")), "d", "target"), "target")
+    tail = F.try_element_at(F.split("target", "::cargo_dependency::"), F.lit(2))
+    kind = F.coalesce(got("d", "dependency.kind"), F.substring_index(tail, "::", 1), F.lit("normal"))
+    out = e.select(
+        F.coalesce(got("d", "package.name"), got("p", "package.name"), "p_name").alias("package"),
+        F.coalesce(got("d", "manifest_path"), F.replace("d_file", F.lit("\\"), F.lit("/"))).alias("manifest"),
+        F.coalesce(got("d", "dependency.name"), "d_name").alias("name"), got("d", "dependency.package").alias("package_name"),
+        got("d", "dependency.version_req").alias("version_req"), F.coalesce(got("d", "dependency.source"), F.lit("registry")).alias("source"),
+        got("d", "dependency.source_detail").alias("source_detail"), kind.alias("kind"),
+        F.coalesce(got("d", "dependency.inherited_workspace") == "true", F.lit(False)).alias("inherited_workspace"),
+        F.col("source").alias("package_id"), F.col("target").alias("dependency_id"), F.coalesce("d_repo", "p_repo").alias("repo"),
+    )
+    if name is not None:
+        out = out.where((F.col("name") == name) | F.coalesce(F.col("package_name") == name, F.lit(False)))
+    rank = F.array_position(F.array(*map(F.lit, DEPENDENCY_KINDS)), F.col("kind"))
+    order = Window.partitionBy(F.lit(0)).orderBy(F.coalesce("repo", F.lit("")), "manifest", F.when(rank > 0, rank).otherwise(5), "name", "package_id", "dependency_id")  # a report of manifests
+    return out.withColumn("place", F.row_number().over(order))
 
 
 def module_of_files(files: DataFrame, modules: DataFrame) -> DataFrame:

@@ -45,7 +45,3 @@ def connected(links: DataFrame) -> DataFrame:
             return step.select("id", "component")
         label = step.select("id", "component")
 
-
-def chain_depth(edges: DataFrame, roots: DataFrame, max_depth: int | None = None) -> DataFrame:
-    """(root, depth): the longest of the shortest ways down from each root."""
-    return reach(edges, roots, max_depth).groupBy("root").agg(F.max("depth").alias("depth"))

@@ -7,10 +7,14 @@ from pyspark.sql import functions as F
 
 VERSION = "0.1.0"
 # The domains of the data model.
-NODE_KINDS = """file function method class struct enum enum_member trait impl module namespace field variant property
-variable constant type_alias parameter import export package route component protocol extension view branch""".split()
-EDGE_KINDS = """calls uses imports exports implements contains type_ref references type_of returns inherits extends
-instantiates overrides decorates reads writes publishes subscribes depends_on""".split()
+NODE_KINDS = [
+    "file", "function", "method", "class", "struct", "enum", "enum_member", "trait", "impl", "module", "namespace", "field", "variant", "property", "variable",
+    "constant", "type_alias", "parameter", "import", "export", "package", "route", "component", "protocol", "extension", "view", "branch",
+]
+EDGE_KINDS = [
+    "calls", "uses", "imports", "exports", "implements", "contains", "type_ref", "references", "type_of", "returns", "inherits", "extends",
+    "instantiates", "overrides", "decorates", "reads", "writes", "publishes", "subscribes", "depends_on",
+]
 VISIBILITIES = ["public", "crate", "private"]
 TERMINAL_KINDS = ["network", "persistence", "cache", "event", "keychain", "search"]
 DIRECTIONS = ["read", "write", "read_write", "pure"]
@@ -18,11 +22,10 @@ DIRECTIONS = ["read", "write", "read_write", "pure"]
 # Classes of kinds that operators ask for.
 DATAFLOW = ["calls", "reads", "writes", "publishes", "subscribes"]
 IMPACT = ["calls", "reads", "implements", "type_ref", "inherits"]
-USAGE = ["calls", "reads", "writes", "publishes", "subscribes", "type_ref", "implements", "inherits", "instantiates", "references"]
-ARCH = ["calls", "reads", "writes", "type_ref", "implements"]
+USAGE = ["calls", "reads", "writes", "uses", "type_ref", "references", "implements", "instantiates", "returns", "type_of"]
+ARCH = ["calls", "uses", "type_ref", "implements", "inherits"]
 SEEDED = ["struct", "class", "enum", "protocol", "trait"]
-TYPES = ["struct", "class", "enum", "protocol", "trait", "extension"]
-API = ["function", "method", "property", "field", "variant", "constant", "variable", "enum_member", "type_alias", "struct", "enum"]
+API = ["function", "method", "property", "field", "constant", "type_alias", "struct", "class", "enum", "protocol", "trait"]
 STRUCTURAL = ["view", "branch"]
 
 NODES = """id string, kind string, name string, file string, start_line int, start_col int, end_line int, end_col int, visibility string,

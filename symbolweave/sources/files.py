@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 # Endings and sizes that mark generated or minified files.
-GENERATED = [".min.js", ".min.css", ".map", ".bundle.js", ".pb.go", ".g.dart", ".generated.swift"]
+GENERATED = [".min.js", ".min.css", ".min.mjs", ".bundle.js", "-bundle.js", ".bundle.css", "-bundle.css", ".map"]
 DENSE_BYTES, DENSE_LINES, MINIFIED_LINE, MINIFIED_BYTES, MINIFIED_MEAN, PREFIX = 30_000, 20, 2_000, 50_000, 1_000, 1 << 20
 
 
