@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from symbolweave import schema as S
 from symbolweave.functions.text import effect_component, is_accessor, symbol_name
 from symbolweave.graph import CodeGraph
-from symbolweave.operators.traverse import connected, reach
+from symbolweave.operators.traverse import connected, reach, ways
 from symbolweave.runtime import cut, is_empty
 
 
@@ -36,7 +36,10 @@ def impact(graph: CodeGraph, ids, max_depth: int = 3, path: bool = False) -> Dat
     solid = graph.nodes.where(~F.col("kind").isin(S.STRUCTURAL)).select("id")
     deps = graph.edges.where(F.col("kind").isin(S.IMPACT)).select(F.col("target").alias("src"), F.col("source").alias("dst"))
     deps = deps.join(solid.withColumnRenamed("id", "src"), "src", "left_semi").join(solid.withColumnRenamed("id", "dst"), "dst", "left_semi")
-    hit = reach(deps, impact_seeds(graph, ids), max_depth, path).where("depth > 0")
+    hit = reach(deps, impact_seeds(graph, ids), max_depth, path)
+    if path:
+        hit = hit.join(ways(hit, hit.where("depth > 0")).select("root", "id", F.array_join("way", " > ").alias("path")), ["root", "id"])
+    hit = hit.where("depth > 0")
     bucket = F.when(F.col("depth") >= 3, "depth3+").otherwise(F.concat(F.lit("depth"), F.col("depth").cast("string")))
     named = hit.join(graph.nodes.select("id", "name", "kind", "file", F.coalesce("module", F.lit("<unknown>")).alias("module"), "visibility"), "id")
     return named.select("root", "id", "name", "kind", "file", "module", "visibility", "depth", bucket.alias("bucket"), *(["path"] if path else []))
@@ -70,15 +73,19 @@ def accessor_clusters(graph: CodeGraph) -> DataFrame:
 
 
 def reverse_entries(graph: CodeGraph, target: str, max_depth: int | None = None) -> DataFrame:
-    """(id, name, module, file, distance, path): entry points whose dataflow reaches target, over accessor clusters; those in its own cluster at distance 0."""
+    """(id, name, module, file, distance, path): entry points whose dataflow reaches target, over accessor clusters; those in its own cluster at distance 0.
+
+    path: the clusters from the entry point to target, each the smallest id of those a step nearer to it.
+    """
     cluster = cut(accessor_clusters(graph), "clusters")
     flow = graph.edges.where(F.col("kind").isin(S.DATAFLOW)).select("source", "target")
     flow = flow.join(cluster.select(F.col("id").alias("source"), F.col("cluster").alias("dst")), "source").join(cluster.select(F.col("id").alias("target"), F.col("cluster").alias("src")), "target")
     seeds = cluster.where(F.col("id") == target).select(F.lit(target).alias("root"), F.col("cluster").alias("id"))
-    hit = reach(flow.where("src <> dst"), seeds, max_depth, path=True).select(F.col("id").alias("cluster"), "depth", "path")
-    way = F.array_join(F.reverse(F.split("path", " > ")), " > ")
-    entries = graph.nodes.where("role_type = 'entry_point'").join(cluster, "id")
-    return entries.join(hit, "cluster").select("id", "name", "module", "file", F.col("depth").alias("distance"), way.alias("path"))
+    hit = reach(flow.where("src <> dst"), seeds, max_depth, parents=True)
+    starts = cut(graph.nodes.where("role_type = 'entry_point'").select("id", "name", "module", "file").join(cluster, "id"), "entries")
+    found = ways(hit, hit.join(starts.select(F.col("cluster").alias("id")), "id", "left_semi"))
+    found = found.select(F.col("id").alias("cluster"), (F.size("way") - 1).alias("distance"), F.array_join(F.reverse("way"), " > ").alias("path"))
+    return starts.join(found, "cluster").select("id", "name", "module", "file", "distance", "path")
 
 
 def _direction(direction: Column, kind: Column) -> Column:

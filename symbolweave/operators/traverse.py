@@ -8,21 +8,21 @@ from pyspark.sql import functions as F
 from symbolweave.runtime import cut, is_empty
 
 
-def reach(edges: DataFrame, seeds: DataFrame, max_depth: int | None = None, path: bool = False) -> DataFrame:
-    """(root, id, depth[, path]): the fewest steps from each root along src -> dst, seeds (root, id) at depth 0.
+def reach(edges: DataFrame, seeds: DataFrame, max_depth: int | None = None, parents: bool = False) -> DataFrame:
+    """(root, id, depth[, parent]): the fewest steps from each root along src -> dst, seeds (root, id) at depth 0.
 
-    path: ids joined by ' > ', of the shortest ways the first by text.
+    parents: of the ids a step before, the smallest that leads to this one; null for seeds.
     """
-    extra = [F.col("id").alias("path")] if path else []
+    extra = [F.lit(None).cast("string").alias("parent")] if parents else []
     frontier = cut(seeds.distinct().select("root", "id", F.lit(0).alias("depth"), *extra), "reach")
     edges = cut(edges.select("src", "dst").distinct(), "reach-edges")
     visited, depth = frontier, 0
     while max_depth is None or depth < max_depth:
         depth += 1
-        step = frontier.withColumnRenamed("id", "src").join(edges, "src").withColumnRenamed("dst", "id")
+        step = frontier.select("root", F.col("id").alias("src")).join(edges, "src").withColumnRenamed("dst", "id")
         step = step.join(visited.select("root", "id"), ["root", "id"], "left_anti")
-        if path:
-            step = step.groupBy("root", "id").agg(F.min(F.concat_ws(" > ", "path", "id")).alias("path")).select("root", "id", F.lit(depth).alias("depth"), "path")
+        if parents:
+            step = step.groupBy("root", "id").agg(F.min("src").alias("parent")).select("root", "id", F.lit(depth).alias("depth"), "parent")
         else:
             step = step.select("root", "id").distinct().withColumn("depth", F.lit(depth))
         frontier = cut(step, "reach")
@@ -32,6 +32,20 @@ def reach(edges: DataFrame, seeds: DataFrame, max_depth: int | None = None, path
     return visited
 
 
+def ways(reached: DataFrame, ends: DataFrame) -> DataFrame:
+    """(root, id, way): for ends (root, id) the ids from the seed to each, from the parents of reach()."""
+    known = cut(reached.select("root", F.col("id").alias("at"), "depth", "parent"), "ways-known")
+    open_ = cut(known.join(ends.select("root", F.col("id").alias("at")).distinct(), ["root", "at"], "left_semi").select("root", F.col("at").alias("id"), "depth", F.array("at").alias("way"), F.col("parent").alias("at")), "ways")
+    done = None
+    for depth in range(int(open_.agg(F.coalesce(F.max("depth"), F.lit(0)).alias("d")).first()["d"]), -1, -1):
+        ended = open_.where("at IS NULL").select("root", "id", "way")
+        done = ended if done is None else done.unionByName(ended)
+        if depth:
+            up = known.select("root", "at", F.col("parent").alias("next"))
+            open_ = cut(open_.where("at IS NOT NULL").join(up, ["root", "at"]).select("root", "id", "depth", F.array_prepend("way", F.col("at")).alias("way"), F.col("next").alias("at")), "ways")
+    return done
+
+
 def connected(links: DataFrame) -> DataFrame:
     """(id, component) over undirected links (a, b): the smallest id reachable, for components of small diameter or large."""
     both = cut(links.select("a", "b").union(links.select("b", "a")).distinct(), "links")

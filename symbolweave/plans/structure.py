@@ -6,12 +6,12 @@ from pyspark.sql import functions as F
 
 from symbolweave.functions.text import search_terms
 from symbolweave.operators import health, records, search, structure
-from symbolweave.projection import GRAPH_SQL, commerce_graph
+from symbolweave.projection import GRAPH_SQL, stored_graph
 
-G = commerce_graph
-LAYERS = [("ui", ["crm/*"]), ("infra", ["catalog/*"]), ("core", ["orders/*"])]
-DENY = [("core", "infra", "orders must not touch the catalog"), ("ui", "core", None)]
-LAYER_SQL = """, ly AS (SELECT id, CASE WHEN starts_with(lower(file), 'crm/') THEN 'ui' WHEN starts_with(lower(file), 'catalog/') THEN 'infra' WHEN starts_with(lower(file), 'orders/') THEN 'core' END AS layer FROM nodes)"""
+G = stored_graph
+LAYERS = [("ui", ["CRM\\*"]), ("infra", ["catalog/*"]), ("core", ["orders/*"]), ("supply", ["SUPPLY/*"]), ("places", ["geo/*"])]
+DENY = [("core", "infra", "replaced below"), ("ui", "core", None), ("Core", "INFRA", "orders must not touch the catalog"), ("ui", "supply", "ask the orders"), ("supply", "places", None)]
+LAYER_SQL = """, ly AS (SELECT id, CASE WHEN starts_with(lower(file), 'crm/') THEN 'ui' WHEN starts_with(lower(file), 'catalog/') THEN 'infra' WHEN starts_with(lower(file), 'orders/') THEN 'core' WHEN starts_with(lower(file), 'supply/') THEN 'supply' WHEN starts_with(lower(file), 'geo/') THEN 'places' END AS layer FROM nodes)"""
 SMELL_SQL = """, ty AS (SELECT id FROM nodes WHERE kind IN ('struct','class','enum','protocol','trait')),
 im AS (SELECT DISTINCT target AS id, source AS by FROM edges WHERE kind = 'implements' AND target IN (FROM ty)),
 mi AS (SELECT im.id, count(*) FILTER (n.kind IN ('property','field')) AS properties, count(*) FILTER (n.kind IN ('function','method')) AS methods, count(*) FILTER (n.invalidation) AS invalidation FROM im JOIN nodes n ON n.id = im.by GROUP BY im.id),
@@ -39,10 +39,6 @@ def corpus(s, d):
 
 
 def _hunks(s, d):
-    return s.read.parquet(f"{d}/part.parquet").where("p_partkey % 97 = 0").selectExpr("concat('catalog/', p_type, '.rs') AS file", "CAST(p_partkey * 10 + 5 AS INT) AS start_line", "CAST(p_partkey * 10 + 12 AS INT) AS end_line")
-
-
-def _all_hunks(s, d):
     """A hunk of each part row, and one of the two lines after each line item's spot."""
     parts = s.read.parquet(f"{d}/part.parquet").selectExpr("concat('catalog/', p_type, '.rs') AS file", "CAST(p_partkey * 10 + 5 AS INT) AS start_line", "CAST(p_partkey * 10 + 12 AS INT) AS end_line")
     at = "l_orderkey * 10 + l_linenumber"
@@ -79,11 +75,6 @@ def _bursts(s, d):
 
 
 def _delta(s, d):
-    g = G(s, d)
-    return g.delta(_next(g)).where("item = 'node'")
-
-
-def _delta_whole(s, d):
     g = G(s, d)
     return g.normalise().delta(_next(g).normalise())
 
@@ -143,17 +134,20 @@ QUERIES = {
  UNION ALL SELECT CASE kind WHEN 'calls' THEN 'callees' WHEN 'type_ref' THEN 'type_refs' ELSE kind END, target FROM edges WHERE source = 'c:1' AND kind IN ('calls','reads','implements','type_ref','contains') UNION ALL SELECT 'contained_by', source FROM edges WHERE target = 'c:1' AND kind = 'contains')
  SELECT section, n.id, name, kind, file, count(*) OVER (PARTITION BY section) AS total FROM cx JOIN nodes n USING (id)"""),
     "invalidation_sources": (lambda s, d: structure.invalidation_sources(G(s, d), "o:3"), GRAPH_SQL + ", w(id) AS (SELECT 'o:3' UNION SELECT target FROM w JOIN edges ON source = id AND kind = 'reads') SELECT id, name FROM nodes WHERE invalidation AND id IN (FROM w)"),
-    "symbol_usages": (lambda s, d: structure.usages(G(s, d), "p:2"), GRAPH_SQL + " SELECT e.target, e.source, n.name, n.file, e.kind, e.confidence, count(*) OVER () AS total FROM edges e JOIN nodes n ON n.id = e.source WHERE e.target = 'p:2' AND e.kind IN ('calls','reads','writes','type_ref','implements')"),
-    "api_surface": (lambda s, d: structure.api_surface(G(s, d), "c:1"), GRAPH_SQL + " SELECT id, name, kind, visibility, 'members' AS section FROM nodes WHERE id IN (SELECT target FROM edges WHERE kind = 'contains' AND source = 'c:1') AND visibility <> 'private'"),
+    "symbol_usages": (lambda s, d: structure.usages(G(s, d), "p:2"), GRAPH_SQL + " SELECT e.target, e.source, n.name, n.file, e.kind, e.confidence, count(*) OVER () AS total FROM edges e JOIN nodes n ON n.id = e.source WHERE e.target = 'p:2' AND e.kind IN ('calls','reads','writes')"),
+    "symbol_usages_type": (lambda s, d: structure.usages(G(s, d), "n:1"), GRAPH_SQL + """, tg AS (SELECT 'n:1' AS id UNION SELECT e.target FROM edges e JOIN nodes n ON n.id = e.target WHERE e.source = 'n:1' AND e.kind = 'contains' AND n.kind IN ('struct', 'protocol'))
+ SELECT e.target, e.source, n.name, n.file, e.kind, e.confidence, count(*) OVER (PARTITION BY e.target) AS total FROM edges e JOIN nodes n ON n.id = e.source WHERE e.target IN (FROM tg) AND e.source NOT IN (FROM tg) AND e.kind IN ('calls','reads','writes','uses','type_ref','references','implements','instantiates','returns','type_of')"""),
+    "api_surface": (lambda s, d: structure.api_surface(G(s, d), "c:1"), GRAPH_SQL + """, mb AS (SELECT id, name, kind, visibility FROM nodes WHERE id IN (SELECT target FROM edges WHERE kind = 'contains' AND source = 'c:1') AND visibility <> 'private' AND kind = 'function')
+ SELECT *, 'c:1' AS owner, 'members' AS section FROM mb UNION ALL SELECT id, name, kind, visibility, NULL, 'referenced_types' FROM nodes WHERE id IN (SELECT target FROM edges WHERE kind IN ('type_ref', 'returns', 'type_of') AND source IN (SELECT id FROM mb))"""),
     "module_for_file": (_files, "SELECT DISTINCT 'catalog/' || split_part(p_type, ' ', 1) || '/' || p_brand || '.rs' AS file, CASE WHEN split_part(p_type, ' ', 1) = 'PROMO' THEN 'promo' ELSE 'catalog' END AS module FROM part"),
     "complexity_types": (lambda s, d: health.complexity(G(s, d)), GRAPH_SQL + SMELL_SQL + """, dq AS (SELECT im.id, count(DISTINCT e.target) AS dependencies FROM im JOIN edges e ON e.source = im.by AND e.kind IN ('reads','calls') GROUP BY im.id),
  pt AS (SELECT *, CASE WHEN properties > 15 THEN 3 WHEN properties > 8 THEN 2 WHEN properties > 5 THEN 1 ELSE 0 END + CASE WHEN invalidation > 5 THEN 3 WHEN invalidation > 3 THEN 2 WHEN invalidation > 1 THEN 1 ELSE 0 END + CASE WHEN depth > 5 THEN 2 WHEN depth > 3 THEN 1 ELSE 0 END AS points FROM mt)
  SELECT id, properties, methods, coalesce(dependencies, 0) AS dependencies, invalidation, 0 AS init_labels, 0 AS extensions, children, depth, points, CASE WHEN points <= 2 THEN 'low' WHEN points <= 5 THEN 'medium' WHEN points <= 8 THEN 'high' ELSE 'critical' END AS severity FROM pt LEFT JOIN dq USING (id)"""),
     "smells_all": (lambda s, d: health.smells(G(s, d)), GRAPH_SQL + SMELL_SQL + " SELECT * FROM sm"),
     "smells_by_severity": (lambda s, d: health.smells(G(s, d)).groupBy("severity").agg(F.count("*").alias("n")), GRAPH_SQL + SMELL_SQL + " SELECT severity, count(*) AS n FROM sm GROUP BY severity"),
-    "contains_depth": (lambda s, d: health.containment_depth(G(s, d), G(s, d).nodes.where("kind = 'module'")), GRAPH_SQL + ", dn(root, id, depth) AS (SELECT id, id, 0 FROM nodes WHERE kind = 'module' UNION SELECT root, e.target, depth + 1 FROM dn JOIN edges e ON e.source = dn.id AND e.kind = 'contains') SELECT root, max(depth) AS depth FROM dn GROUP BY root"),
+    "contains_depth": (lambda s, d: health.containment_depth(G(s, d), G(s, d).nodes.select("id")), GRAPH_SQL + ", dn(root, id, depth) AS (SELECT id, id, 0 FROM nodes UNION SELECT root, e.target, depth + 1 FROM dn JOIN edges e ON e.source = dn.id AND e.kind = 'contains') SELECT root, max(depth) AS depth FROM dn GROUP BY root"),
     "arch_layers": (lambda s, d: health.node_layers(G(s, d), LAYERS).groupBy("layer").agg(F.count("*").alias("n")), GRAPH_SQL + LAYER_SQL + " SELECT layer, count(*) AS n FROM ly WHERE layer IS NOT NULL GROUP BY layer"),
-    "arch_violations": (lambda s, d: health.violations(G(s, d), LAYERS, DENY), GRAPH_SQL + LAYER_SQL + " SELECT source, target, kind, a.layer AS from_layer, b.layer AS to_layer, CASE WHEN a.layer = 'core' THEN 'orders must not touch the catalog' END AS reason, confidence FROM edges e JOIN ly a ON a.id = source JOIN ly b ON b.id = target WHERE kind IN ('calls','reads','writes','type_ref','implements') AND (a.layer = 'core' AND b.layer = 'infra' OR a.layer = 'ui' AND b.layer = 'core')"),
+    "arch_violations": (lambda s, d: health.violations(G(s, d), LAYERS, DENY), GRAPH_SQL + LAYER_SQL + " SELECT source, target, kind, a.layer AS from_layer, b.layer AS to_layer, CASE a.layer WHEN 'core' THEN 'orders must not touch the catalog' WHEN 'ui' THEN CASE b.layer WHEN 'supply' THEN 'ask the orders' END END AS reason, confidence FROM edges e JOIN ly a ON a.id = source JOIN ly b ON b.id = target WHERE kind IN ('calls','uses','type_ref','implements','inherits') AND (a.layer = 'core' AND b.layer = 'infra' OR a.layer = 'ui' AND b.layer IN ('core', 'supply') OR a.layer = 'supply' AND b.layer = 'places')"),
     "doctor_checks": (lambda s, d: health.doctor(G(s, d)).groupBy("check", "severity").agg(F.count("*").alias("n")), GRAPH_SQL + " SELECT 'orphan_edge' AS \"check\", 'error' AS severity, count(*) AS n FROM edges WHERE kind = 'uses' UNION ALL SELECT 'orphan_entity', 'info', count(*) FROM nodes WHERE kind = 'property'"),
     "infer_modules": (lambda s, d: health.infer_modules(G(s, d)), GRAPH_SQL + " SELECT coalesce(module, '(unknown)') AS module, printf('%s: %d symbols in %d files', coalesce(module, '(unknown)'), count(*), count(DISTINCT file)) AS summary, CAST(0.55 AS DOUBLE) AS confidence FROM nodes GROUP BY module"),
     "infer_ownership": (lambda s, d: health.infer_ownership(G(s, d)), GRAPH_SQL + " SELECT DISTINCT file, regexp_extract(file, '([^/]+)/[^/]*$', 1) AS owner, CAST(0.45 AS DOUBLE) AS confidence FROM nodes"),
@@ -163,12 +157,10 @@ QUERIES = {
     "select_edges": (lambda s, d: G(s, d).select_edges(kind="uses", external_only=True).select("source", "target"), GRAPH_SQL + " SELECT source, target FROM edges WHERE kind = 'uses'"),
     "normalize_edges": (lambda s, d: G(s, d).normalise().edges.select("source", "target", "kind", F.coalesce("direction", F.lit("")).alias("direction"), "confidence", F.size("provenance").alias("spots")), GRAPH_SQL + " SELECT source, target, kind, coalesce(direction, '') AS direction, max(confidence) AS confidence, count(DISTINCT spot) AS spots FROM edges GROUP BY source, target, kind, coalesce(direction, ''), coalesce(condition, ''), coalesce(CAST(async_boundary AS VARCHAR), '')"),
     "normalize_nodes": (lambda s, d: (lambda g: type(g)(g.nodes.unionByName(g.nodes.where("kind = 'struct'").withColumns({"kind": F.lit("class"), "visibility": F.lit("crate"), "file": F.lit("zz.rs")})), g.edges).normalise().nodes.select("id", "kind", "file", "visibility"))(G(s, d)), GRAPH_SQL + " SELECT id, CASE kind WHEN 'struct' THEN 'class' ELSE kind END AS kind, file, CASE WHEN kind = 'struct' AND visibility = 'private' THEN 'crate' ELSE visibility END AS visibility FROM nodes"),
-    "graph_delta": (_delta, GRAPH_SQL + " SELECT 'node' AS item, id AS key, CASE kind WHEN 'struct' THEN 'deleted' ELSE 'updated' END AS change_type FROM nodes WHERE kind = 'struct' AND start_line % 70 = 0 OR kind = 'property' AND start_line % 130 = 0"),
-    "graph_delta_whole": (_delta_whole, DELTA_SQL),
-    "delta_stats": (lambda s, d: _delta_whole(s, d).groupBy("item", "change_type").agg(F.count("*").alias("n")), f"SELECT item, change_type, count(*) AS n FROM ({DELTA_SQL}) GROUP BY ALL"),
-    "compact_group": (lambda s, d: G(s, d).compact().select("id", "relation", F.array_join("names", ",").alias("names")), GRAPH_SQL + " SELECT source AS id, CASE e.kind WHEN 'contains' THEN 'members' ELSE e.kind END AS relation, string_agg(n.name, ',' ORDER BY n.name) AS names FROM edges e JOIN nodes n ON n.id = e.target WHERE e.kind <> 'uses' GROUP BY source, e.kind"),
-    "changed_symbols": (lambda s, d: records.changed_symbols(G(s, d), _hunks(s, d)), GRAPH_SQL + ", h AS (SELECT 'catalog/' || p_type || '.rs' AS file, p_partkey * 10 + 5 AS a, p_partkey * 10 + 12 AS b FROM part WHERE p_partkey % 97 = 0) SELECT DISTINCT id FROM nodes n JOIN h ON n.file = h.file AND n.start_line <= b AND a <= n.start_line + 9"),
-    "changed_symbols_all": (lambda s, d: records.changed_symbols(G(s, d), _all_hunks(s, d)), GRAPH_SQL + """, h AS (SELECT DISTINCT 'catalog/' || p_type || '.rs' AS file, unnest(range(p_partkey * 10 + 5, p_partkey * 10 + 13)) AS line FROM part
+    "graph_delta": (_delta, DELTA_SQL),
+    "delta_stats": (lambda s, d: _delta(s, d).groupBy("item", "change_type").agg(F.count("*").alias("n")), f"SELECT item, change_type, count(*) AS n FROM ({DELTA_SQL}) GROUP BY ALL"),
+    "compact_group": (lambda s, d: G(s, d).compact().select("id", "relation", F.array_join("names", ",").alias("names")), GRAPH_SQL + " SELECT source AS id, CASE e.kind WHEN 'contains' THEN 'members' ELSE e.kind END AS relation, string_agg(n.name, ',' ORDER BY n.name) AS names FROM edges e JOIN nodes n ON n.id = e.target WHERE e.kind NOT IN ('uses', 'returns') GROUP BY source, e.kind"),
+    "changed_symbols": (lambda s, d: records.changed_symbols(G(s, d), _hunks(s, d)), GRAPH_SQL + """, h AS (SELECT DISTINCT 'catalog/' || p_type || '.rs' AS file, unnest(range(p_partkey * 10 + 5, p_partkey * 10 + 13)) AS line FROM part
  UNION SELECT 'orders/lines.rs', unnest(range(l_orderkey * 10 + l_linenumber + 1, l_orderkey * 10 + l_linenumber + 3)) FROM lineitem),
  li AS (SELECT id, file, unnest(range(start_line, start_line + 10)) AS line FROM nodes UNION ALL SELECT source, 'orders/lines.rs', spot FROM edges WHERE spot IS NOT NULL AND source IN (SELECT id FROM nodes))
  SELECT DISTINCT id FROM li JOIN h USING (file, line)"""),

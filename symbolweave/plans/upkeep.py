@@ -5,9 +5,9 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from symbolweave.operators import upkeep
-from symbolweave.projection import GRAPH_SQL, commerce_graph
+from symbolweave.projection import GRAPH_SQL, stored_graph
 
-ENDS = ".rs .swift .xcstrings .xcassets/set.json .md".split()
+ENDS = [".rs", ".swift", ".xcstrings", ".xcassets/set.json", ".md"]
 SPACE = upkeep.SPACE
 
 
@@ -30,7 +30,7 @@ def _docs(spark, sf_dir):
 
 
 def _recall(spark, sf_dir):
-    graph, session = commerce_graph(spark, sf_dir), upkeep.Recall()
+    graph, session = stored_graph(spark, sf_dir), upkeep.Recall()
     session.ids["order_"] = "o:1"
     return session.resolve(graph, "order_")
 
@@ -40,7 +40,7 @@ def _localize(spark, sf_dir):
     usages = orders.select(F.concat(F.lit("o:"), F.col("o_orderkey").cast("string")).alias("id"), F.lit("orders.rs").alias("file"), F.lit("L").alias("table"),
                            F.col("o_orderpriority").alias("key"), F.col("o_orderstatus").alias("literal"), F.concat(F.lit("view_"), F.col("o_custkey").cast("string")).alias("wrapper"))
     catalog = spark.sql("SELECT 'L' AS `table`, explode(array('1-URGENT', '2-HIGH', 'O')) AS key")
-    return upkeep.localize(commerce_graph(spark, sf_dir), "n:1", usages, catalog)
+    return upkeep.localize(stored_graph(spark, sf_dir), "n:1", usages, catalog)
 
 
 TRIM = f"regexp_replace(regexp_replace(x, '{SPACE}+\\z', ''), '^{SPACE}+', '')"

@@ -7,4 +7,4 @@ def test_every_sql_has_its_query():
 
 def test_flagship(spark):
     n = {r["bucket"]: r["count"] for r in e.entry(spark).groupBy("bucket").count().collect()}
-    assert n == {"depth1": 208, "depth2": 1388, "depth3+": 92}
+    assert n == {"depth1": 338, "depth2": 1388, "depth3+": 92}

@@ -80,10 +80,69 @@ def test_components_and_reach_with_a_loop(spark):
     assert got(reach(loop, spark.createDataFrame([("a", "a")], "root string, id string")), "id", "depth") == [("a", 0), ("b", 1)]
 
 
-@pytest.mark.parametrize(("query", "ids"), [("x", ["m::f::x"]), ("Ge", ["g1"]), ("nothing", [])])
+@pytest.mark.parametrize(("query", "ids"), [("x", ["m::f::x"]), ("Ge", ["g1"]), ("nothing", []), ("Span", ["t"]), ("b.rs::Span", ["v"]), ("a.rs::Span", ["t"]), ("ext", ["e1", "i1"]), ("f::x", ["m::f::x"]), ("SPAN", ["t"])])
 def test_resolve(spark, query, ids):
-    g = graph(spark, [("m::f::x", "function", {"name": "x"}), ("y1", "property", {"name": "getter"}), ("g1", "struct", {"name": "Get"})], [])
-    assert [r["id"] for r in structure.resolve(g, query).collect()] == ids
+    """Declarations win over members of the same name; extensions and impls come after both."""
+    g = graph(spark, [("m::f::x", "function", {"name": "x"}), ("y1", "property", {"name": "getter"}), ("g1", "struct", {"name": "Get"}), ("t", "struct", {"name": "Span"}), ("v", "variant", {"name": "Span", "file": "b.rs"}),
+                      ("e1", "extension", {"name": "ext"}), ("i1", "impl", {"name": "ext"}), ("p1", "file", {"name": "ext"})], [])
+    assert sorted(r["id"] for r in structure.resolve(g, query).collect()) == ids
+
+
+def test_api_surface_of_extensions_and_names(spark):
+    """Members by containment, of extensions of that very type, and by names under its id; no accessors, variants or privates."""
+    g = graph(spark, [("T", "struct"), ("T::new", "function", {"name": "new"}), ("ext", "extension", {"name": "T"}), ("m1", "method"), ("other", "extension", {"name": "TStore"}), ("m2", "method"), ("v", "variant"), ("x", "variable"),
+                      ("c", "class"), ("getter:p", "function"), ("hid", "property", {"visibility": "private"}), ("R", "enum"), ("imp", "impl", {"name": "Foo"}), ("m3", "function"), ("s:1T", "class"), ("s:1T3foo", "method"), ("s:e:s:1T3bar", "property"), ("s:2U", "class")],
+              [("T", "contains", "v"), ("T", "contains", "x"), ("T", "contains", "c"), ("T", "contains", "getter:p"), ("T", "contains", "hid"), ("ext", "contains", "m1"), ("other", "contains", "m2"), ("imp", "type_ref", "T"), ("imp", "contains", "m3"), ("m3", "returns", "R"), ("hid", "type_ref", "other")])
+    assert got(structure.api_surface(g, "T"), "id", "section") == [("R", "referenced_types"), ("T::new", "members"), ("c", "members"), ("m1", "members"), ("m3", "members")]
+    assert "hid" in {r["id"] for r in structure.api_members(g, "T", private=True).collect()}
+    assert got(structure.api_members(g, "s:1T"), "id", "owner") == [("s:1T3foo", "s:1T"), ("s:e:s:1T3bar", "s:1T")]
+
+
+def test_usages_and_layers_count_their_kinds_only(spark):
+    g = graph(spark, [("T", "class"), ("u", "function", {"file": "ui\\u.rs"}), ("T::m", "method", {"name": "m", "file": "core/t.rs"})] + [(k, "function", {"file": "ui/x.rs"}) for k in S.EDGE_KINDS], [(k, k, "T::m") for k in S.EDGE_KINDS] + [("T", "contains", "T::m"), ("u", "calls", "T::m")])
+    assert {r["kind"] for r in structure.usages(g, "T").collect()} == {"calls", "reads", "writes", "uses", "type_ref", "references", "implements", "instantiates", "returns", "type_of"}
+    found = health.violations(g, [("ui", ["UI\\*"]), ("core", ["t.rs"])], [("ui", "core", "no")])
+    assert sorted(r["kind"] for r in found.collect()) == ["calls", "calls", "implements", "inherits", "type_ref", "uses"]
+
+
+def test_dependencies(spark):
+    meta = lambda **x: {"metadata": {k.replace("_", "."): v for k, v in x.items()}}
+    g = graph(spark, [("P", "package", {"repo": "r"} | meta(cargo_node="package", cargo_package_name="app")), ("Cargo.toml::cargo_dependency::dev::x", "package", meta(cargo_node="dependency", cargo_dependency_name="x", cargo_dependency_package="x-real")),
+                      ("d2", "package", {"name": "serde"} | meta(cargo_node="dependency", cargo_dependency_source="git")), ("n", "package")],
+              [("P", "depends_on", "Cargo.toml::cargo_dependency::dev::x"), ("P", "depends_on", "d2"), ("P", "depends_on", "n"), ("n", "depends_on", "d2"), ("P", "calls", "d2")])
+    assert got(structure.dependencies(g), "package", "name", "package_name", "source", "kind", "repo", "place") == [("app", "serde", None, "git", "normal", "r", 1), ("app", "x", "x-real", "registry", "dev", "r", 2)]
+    assert structure.dependencies(g, "x-real").count() == 1 and structure.dependencies(g, "app").count() == 0
+
+
+def test_fallback_roots(spark):
+    """Members, implementors and types the entry refers to, of its file; an action is a function."""
+    g = graph(spark, [("E", "struct"), ("b", "property", {"name": "getter:body"}), ("onTap", "function"), ("onVar", "property"), ("far", "function", {"name": "handle", "file": "b.rs"}), ("im", "function"), ("ty", "struct"), ("user", "function"), ("db", "function")],
+              [("E", "contains", "b"), ("E", "contains", "onTap"), ("E", "contains", "onVar"), ("E", "contains", "far"), ("im", "implements", "E"), ("im", "calls", "db"), ("E", "type_ref", "ty"), ("ty", "reads", "db"), ("user", "type_ref", "E"), ("user", "calls", "db")])
+    assert got(flow.fallback_roots(g, "E"), "id", "rank") == [("b", 0), ("im", 2), ("onTap", 1), ("ty", 2)]
+
+
+def test_containment_depth_is_the_longest_chain(spark):
+    g = graph(spark, [(x, "struct") for x in "abcdxyz"], [("a", "contains", "d"), ("a", "contains", "b"), ("b", "contains", "c"), ("c", "contains", "d"), ("x", "contains", "y"), ("y", "contains", "x"), ("y", "contains", "z")])
+    assert got(health.containment_depth(g, g.nodes.select("id")), "root", "depth") == [("a", 3), ("b", 2), ("c", 1), ("d", 0), ("x", 2), ("y", 1), ("z", 0)]
+
+
+def test_ownership_history_and_kind_filter(spark):
+    g = graph(spark, [("1", "function", {"file": "src/net/src/a.rs"}), ("2", "function", {"file": "src/b.swift", "module": "M"}), ("3", "function", {"file": "c.rs", "module": "(unknown)"}), ("4", "function", {"file": "x/y.py"})], [])
+    assert got(health.infer_ownership(g), "file", "owner", "confidence") == [("src/b.swift", "M", 0.35), ("src/net/src/a.rs", "net", 0.45), ("x/y.py", "y.py", 0.45)]
+    events = spark.createDataFrame([("a", "build", "1", [], [], []), ("a", "test", "2", [], [], []), ("b", "build", "0", ["f.rs"], [], [])], "id string, kind string, timestamp string, files array<string>, modules array<string>, symbols array<string>")
+    assert [(r["id"], r["kind"]) for r in records.history(events).collect()] == [("a", "test"), ("b", "build")]
+    assert [r["id"] for r in records.history(events, kind="build").collect()] == ["b"]
+    for bad in ("Fn", "package", "prop", "type"):
+        with pytest.raises(ValueError):
+            g.filter_kinds(bad)
+
+
+def test_init_labels(spark):
+    from symbolweave.functions.text import init_labels
+
+    names = ["init(a:b:)", "init(_:)", "init()", "init", "init(a:b:c:", "make(a:)"]
+    df = spark.createDataFrame([(i, n) for i, n in enumerate(names)], "i int, n string")
+    assert [r["k"] for r in df.select("i", init_labels(F.col("n")).alias("k")).orderBy("i").collect()] == [2, 1, 0, 0, 0, 0]
 
 
 def test_search_terms_agree(spark):
@@ -118,19 +177,19 @@ def same_as_sql(spark, sf_dir, name):
 
 
 def test_delta_of_nodes_and_edges(spark, sf_dir):
-    rows = same_as_sql(spark, sf_dir, "graph_delta_whole")
+    rows = same_as_sql(spark, sf_dir, "graph_delta")
     assert {(r[0], r[2]) for r in rows} == {("node", "deleted"), ("node", "updated"), ("edge", "deleted"), ("edge", "updated")}
 
 
 def test_reverse_and_dataflow_to_the_end(spark, sf_dir):
-    far = max(r[4] for r in same_as_sql(spark, sf_dir, "reverse_entries_unlimited"))
-    assert far > 5
-    same_as_sql(spark, sf_dir, "dataflow_edges_d10")
-    same_as_sql(spark, sf_dir, "dataflow_summary_d10")
+    rows = same_as_sql(spark, sf_dir, "reverse_entries")
+    assert max(r[4] for r in rows) > 5 and all(r[5].startswith(r[0] + " > ") and r[5].endswith(" > p:1") for r in rows)
+    same_as_sql(spark, sf_dir, "dataflow_edges")
+    same_as_sql(spark, sf_dir, "dataflow_summary")
 
 
 def test_changed_symbols_by_lines_and_provenance(spark, sf_dir):
-    assert {r[0][0] for r in same_as_sql(spark, sf_dir, "changed_symbols_all")} == {"p", "o"}
+    assert {r[0][0] for r in same_as_sql(spark, sf_dir, "changed_symbols")} == {"p", "o"}
     spot = lambda a, b: {"provenance": [{"file": "x.rs", "start_line": a, "start_col": 0, "end_line": b, "end_col": 0, "symbol_id": "s"}]}
     g = graph(spark, [("long", "function", {"start_line": 0, "end_line": 500}), ("far", "function", {"start_line": 600, "end_line": 601}), ("s", "function", {"file": "b.rs"}), ("t", "function", {"file": "b.rs"})],
               [("s", "calls", "t", spot(100, 200)), ("t", "calls", "s", spot(201, 300)), ("gone", "calls", "s", spot(100, 200))])
@@ -145,7 +204,7 @@ def test_linker_query_feeds_all_edges(spark, sf_dir):
 
     g = commerce_graph(spark, sf_dir)
     rules = {(r["kind"], r["rule"]): r["n"] for r in records.link(g.nodes, plans._raw(g)).groupBy("kind", "rule").agg(F.count("*").alias("n")).collect()}
-    assert {k for k, _ in rules} == {"contains", "calls", "reads", "writes", "implements", "type_ref", "uses"}
+    assert {k for k, _ in rules} == {"contains", "calls", "reads", "writes", "implements", "type_ref", "uses", "inherits", "returns"}
     assert rules["calls", "beside"] == g.edges.where("kind = 'calls' AND direction IS NULL").count()
     out = {r["reason"]: r["n"] for r in queries()["link_drop_reasons"](spark, sf_dir).collect()}
     assert out == {"no_candidate": rules["reads", "no_candidate"], "kept": sum(rules.values()) - rules["reads", "no_candidate"]}
@@ -156,4 +215,5 @@ def test_more_registered_queries(spark, sf_dir):
 
     assert len(same_as_sql(spark, sf_dir, "delta_stats")) == 4
     assert {r["kind"] for r in queries()["link_edges"](spark, sf_dir).select("kind").distinct().collect()} >= {"contains", "calls", "reads", "implements"}
-    same_as_sql(spark, sf_dir, "changed_symbols")
+    for name in ("trace_fallback_roots", "components_accessors", "invalidation_sources"):
+        assert same_as_sql(spark, sf_dir, name), name
