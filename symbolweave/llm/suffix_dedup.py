@@ -7,9 +7,9 @@ such bin's windows are suffixes of the text, cut at LENGTH, and sorted deep-shal
 symbols to SHALLOW bytes, then a blind trie for each group that still ties. Equal neighbours in the sorted order
 are repeats; the earliest by (doc_id, row, offset) stays.
 
-Before bins meet, a block of documents folds anchors whose whole context (all bytes of the anchor's windows) is equal
-into their first, so a passage in a third of all documents sends one record a block; by a 64-bit fingerprint of the
-context, the same is done across blocks. Only grams that then still have different contexts are sorted. A gram with more
+Before bins meet, a block of documents folds anchors whose whole context (all bytes of the anchor's windows) is equal,
+byte by byte, into their first, so a passage in a third of all documents sends one record a block; across blocks the
+same is done by 64-bit hashes of both the gram and the context, without a look at the bytes. Only grams that then still have different contexts are sorted. A gram with more
 than HOT contexts is resolved by its windows' 128-bit hashes, folded again by block: no bin outgrows a task.
 The text is written once, bucketed by block, and never shuffles.
 
@@ -121,16 +121,31 @@ def _unspot(spot):
     return spot >> 16, spot >> 8 & 255, spot & 255
 
 
+def _differ(texts: list, row: np.ndarray, start: np.ndarray, size: np.ndarray, items: np.ndarray) -> np.ndarray:
+    """Of items, which have other bytes than the item before: size bytes of a text from start."""
+    buf = np.frombuffer(b"".join(texts), np.uint8)
+    words = np.ndarray(max(len(buf) - 7, 0), "<u8", buf, strides=(1,))
+    at = (np.cumsum([len(t) for t in texts]) - [len(t) for t in texts])[row] + start
+    a, b, last = at[items], at[items - 1], size[items] - 8
+    out = np.zeros(len(items), bool)
+    for o in range(0, WIDTH, 8):
+        step = np.minimum(o, last)
+        out |= words[a + step] != words[b + step]
+    return out
+
+
 def _anchor_rows(block_bytes: int):
     """Anchors of blocks of documents, equal contexts folded into the first; copies: (row, pos, left, right) of the others."""
 
-    def flush(block, parts, ids):
+    def flush(block, parts, ids, texts):
         row, pos, left, right, h, f = (np.concatenate(x) for x in zip(*parts, strict=True))
         doc = np.array([np.iinfo(np.int64).min if i is None else i for i in ids[0]])[row - ids[1]]
         order = np.lexsort((pos, row, doc, right, left, f, h))
         row, pos, left, right, h, f, doc = (x[order] for x in (row, pos, left, right, h, f, doc))
         new = np.ones(len(h), bool)
         new[1:] = (h[1:] != h[:-1]) | (f[1:] != f[:-1]) | (left[1:] != left[:-1]) | (right[1:] != right[:-1])
+        again = np.flatnonzero(~new)
+        new[again[_differ(texts, row - ids[1], pos - left, left - right + LENGTH, again)]] = True
         first = np.flatnonzero(new)
         more = np.diff(np.append(first, len(h)))
         packed = np.stack([row, pos, left, right], axis=1).astype("<i4")
@@ -142,7 +157,7 @@ def _anchor_rows(block_bytes: int):
             yield out.slice(lo, 65536)
 
     def run(batches):
-        block, first, parts, ids, size = None, 0, [], [], 0
+        block, first, parts, ids, size, held = None, 0, [], [], 0, []
         for b in batches:
             blocks, rows, docs, texts = (b.column(c).to_pylist() for c in ("block", "row", "doc_id", "text"))
             cut = [0, *(i for i in range(1, len(blocks)) if blocks[i] != blocks[i - 1]), len(blocks)]
@@ -150,17 +165,18 @@ def _anchor_rows(block_bytes: int):
                 if lo == hi:
                     continue
                 if parts and (blocks[lo] != block or size >= block_bytes):
-                    yield from flush(block, parts, (ids, first))
+                    yield from flush(block, parts, (ids, first), held)
                     parts = []
                 if not parts:
-                    block, first, ids, size = blocks[lo], rows[lo], [], 0
+                    block, first, ids, size, held = blocks[lo], rows[lo], [], 0, []
                 for at, some in chunks(texts[lo:hi]):
                     doc, *found = anchors(some)
                     parts.append([doc + rows[lo + at], *found])
                 ids += docs[lo:hi]
+                held += texts[lo:hi]
                 size += sum(map(len, texts[lo:hi]))
         if parts:
-            yield from flush(block, parts, (ids, first))
+            yield from flush(block, parts, (ids, first), held)
 
     return run
 
