@@ -89,7 +89,8 @@ def layer_regex(pattern: str) -> str:
 
 def doc_summary(doc: Column) -> Column:
     """A doc comment without its markers on one line; over 180 bytes, its first 177 characters and dots."""
-    lines = F.transform(F.split(doc, "\n"), lambda s: F.trim(F.regexp_replace(F.trim(s), r"^(?:///?|//!|/\*\*?|\*/|\*|#)+|\*/$", "")))
+    bare = lambda s: F.regexp_replace(s, r"^\s+|\s+$", "")
+    lines = F.transform(F.split(doc, "\n"), lambda s: bare(F.regexp_replace(bare(s), r"^(?:///)*(?://!)*(?:/\*\*)*(?:/\*)*\**|(?:\*/)+$", "")))
     text = F.array_join(F.filter(lines, lambda s: s != ""), " ")
     return F.when(F.octet_length(text) > 180, F.concat(F.substring(text, 1, 177), F.lit("..."))).otherwise(text)
 

@@ -7,9 +7,10 @@ from pyspark.sql import functions as F
 
 from symbolweave.functions.text import basename
 from symbolweave.graph import CodeGraph
-from symbolweave.operators.records import resolve_usages
+from symbolweave.operators.localization import resolve_usages
 from symbolweave.operators.structure import resolve
 from symbolweave.operators.traverse import reach
+from symbolweave.runtime import cut
 
 #: Bytes that a compact snippet keeps.
 COMPACT_BYTES = 600
@@ -118,9 +119,11 @@ def _boundary(raw: Column) -> Column:
     return out
 
 
-def localize(graph: CodeGraph, symbol: str, usages: DataFrame, catalog: DataFrame) -> DataFrame:
-    """(id, name, depth, key, matched_by): usages (as of resolve_usages) in what symbol contains, itself included."""
+def localize(graph: CodeGraph, symbol: str, usages: DataFrame, catalog: DataFrame, wrappers: DataFrame) -> DataFrame:
+    """(id, name, depth, table, key, catalog_file, match_kind): uses of strings (as of resolve_usages) in what symbol contains, itself included."""
     holds = graph.edges.where("kind = 'contains'").select(F.col("source").alias("src"), F.col("target").alias("dst"))
     seeds = graph.nodes.where(F.col("id") == symbol).select(F.col("id").alias("root"), "id")
-    tree = reach(holds, seeds).select("id", "depth").join(graph.nodes.select("id", "name"), "id")
-    return tree.join(resolve_usages(usages, catalog), "id").select("id", "name", "depth", "key", "matched_by")
+    tree = cut(reach(holds, seeds).select("id", "depth").join(graph.nodes.select("id", "name"), "id"), "localize-tree")
+    mine = usages.join(tree.select("id"), "id", "left_semi")
+    refs = graph.edges.where("kind = 'type_ref'").select(F.col("source").alias("id"), F.col("target").alias("wrapper_id")).join(wrappers.select("wrapper_id"), "wrapper_id", "left_semi")
+    return tree.join(resolve_usages(mine, catalog, wrappers, refs), "id").select("id", "name", "depth", "table", "key", "catalog_file", "match_kind")

@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from symbolweave.functions.text import search_terms
 from symbolweave.operators import health, records, search, structure
 from symbolweave.projection import GRAPH_SQL, stored_graph
+from symbolweave.runtime import shared_dir
 
 G = stored_graph
 LAYERS = [("ui", ["CRM\\*"]), ("infra", ["catalog/*"]), ("core", ["orders/*"]), ("supply", ["SUPPLY/*"]), ("places", ["geo/*"])]
@@ -33,9 +36,28 @@ QUERY = "the of and license version"
 IN = ", ".join(f"'{t}'" for t in search.query_terms(QUERY))
 
 
+_INDEXES: dict[tuple[str, str, str], str] = {}
+
+
+def stored_index(s, d, name: str, build) -> search.SearchIndex:
+    """The index that build() makes, written once in an application."""
+    key = s.sparkContext.applicationId, d, name
+    if key not in _INDEXES:
+        path = f"{shared_dir(s)}/index-{name}-{uuid.uuid4().hex}"
+        build().write(path)
+        _INDEXES[key] = path
+    return search.SearchIndex.read(s, _INDEXES[key])
+
+
 def corpus(s, d):
     docs = s.read.parquet(f"{d}/documents.parquet").select(F.col("doc_id").alias("id"), "source", "text")
-    return search.SearchIndex.build(docs, "source", "text")
+    terms = search_terms(F.coalesce("source", F.lit("")), F.coalesce("text", F.lit("")))
+    # the texts stay where they are
+    return stored_index(s, d, "documents", lambda: search.SearchIndex.build(docs.select("id", "source", terms.alias("terms")), {"terms": F.col("terms")}, sets=("terms",)).slim("id", "source"))
+
+
+def nodes_index(s, d):
+    return stored_index(s, d, "nodes", lambda: search.node_index(G(s, d), structure.locators(G(s, d))))
 
 
 def _hunks(s, d):
@@ -108,7 +130,7 @@ def bm25(found):
 
 
 def bands(s, d):
-    return records.banded(bm25(corpus(s, d).bm25(QUERY)), normalise=True)
+    return records.banded(bm25(corpus(s, d).any_terms(QUERY)), normalise=True)
 
 
 #: The keys of S.edge_id, where operation and repo are null; of edges with one key, the largest confidence.
@@ -165,7 +187,7 @@ QUERIES = {
  li AS (SELECT id, file, unnest(range(start_line, start_line + 10)) AS line FROM nodes UNION ALL SELECT source, 'orders/lines.rs', spot FROM edges WHERE spot IS NOT NULL AND source IN (SELECT id FROM nodes))
  SELECT DISTINCT id FROM li JOIN h USING (file, line)"""),
     "tokenize_terms": (lambda s, d: s.read.parquet(f"{d}/documents.parquet").select("doc_id", F.array_join(search_terms(F.coalesce("source", F.lit("")), F.coalesce("text", F.lit(""))), " ").alias("terms")), TERMS_SQL + " SELECT doc_id, array_to_string(terms, ' ') AS terms FROM tk"),
-    "search_bm25": (lambda s, d: bm25(corpus(s, d).bm25(QUERY)), BM25_SQL.format(terms=IN) + " SELECT id, round(score, 6) AS score, matched FROM bm"),
+    "search_bm25": (lambda s, d: bm25(corpus(s, d).any_terms(QUERY)), BM25_SQL.format(terms=IN) + " SELECT id, round(score, 6) AS score, matched FROM bm"),
     "search_all_terms": (lambda s, d: bm25(corpus(s, d).all_terms(QUERY)), BM25_SQL.format(terms=IN) + " SELECT id, round(score, 6) AS score, matched FROM bm WHERE matched >= 5"),
     "search_relaxed": (lambda s, d: bm25(corpus(s, d).relaxed(QUERY)), BM25_SQL.format(terms=IN) + " SELECT id, round(score, 6) AS score, matched FROM bm WHERE matched >= 4"),
     "search_fuzzy": (lambda s, d: search.fuzzy(G(s, d).nodes, "od_99").select("id", "name"), GRAPH_SQL + " SELECT id, name FROM nodes WHERE regexp_matches(lower(name), 'o.*d.*9.*9')"),

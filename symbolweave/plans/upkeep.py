@@ -36,11 +36,10 @@ def _recall(spark, sf_dir):
 
 
 def _localize(spark, sf_dir):
-    orders = spark.read.parquet(f"{sf_dir}/orders.parquet")
-    usages = orders.select(F.concat(F.lit("o:"), F.col("o_orderkey").cast("string")).alias("id"), F.lit("orders.rs").alias("file"), F.lit("L").alias("table"),
-                           F.col("o_orderpriority").alias("key"), F.col("o_orderstatus").alias("literal"), F.concat(F.lit("view_"), F.col("o_custkey").cast("string")).alias("wrapper"))
-    catalog = spark.sql("SELECT 'L' AS `table`, explode(array('1-URGENT', '2-HIGH', 'O')) AS key")
-    return upkeep.localize(stored_graph(spark, sf_dir), "n:1", usages, catalog)
+    from symbolweave.plans.knowledge import string_tables
+
+    usages, catalog, wrappers, _ = string_tables(spark, sf_dir)
+    return upkeep.localize(stored_graph(spark, sf_dir), "n:1", usages, catalog, wrappers)
 
 
 TRIM = f"regexp_replace(regexp_replace(x, '{SPACE}+\\z', ''), '^{SPACE}+', '')"
@@ -59,6 +58,9 @@ QUERIES = {
     "recall_resolution": (_recall, GRAPH_SQL + " SELECT id, name, kind, 4 AS tier FROM nodes WHERE id = 'o:1'"),
     "compact_snippets": (lambda s, d: _docs(s, d).select("doc_id", upkeep.compact(F.col("text")).alias("snippet")), COMPACT_SQL),
     "snippet_lines": (lambda s, d: _docs(s, d).select("doc_id", upkeep.deindent(upkeep.full_lines(F.col("text"), F.lit(1), F.lit(3))).alias("snippet")), LINES_SQL),
-    "localize_subtree": (_localize, GRAPH_SQL + """ SELECT 'o:' || o_orderkey AS id, 'order_' || o_orderkey AS name, 2 AS depth, CASE WHEN o_orderpriority IN ('1-URGENT', '2-HIGH') THEN o_orderpriority WHEN o_orderstatus = 'O' THEN 'O' END AS key,
- CASE WHEN o_orderpriority IN ('1-URGENT', '2-HIGH') THEN 'key' WHEN o_orderstatus = 'O' THEN 'literal' ELSE 'unmatched' END AS matched_by FROM orders JOIN customer ON o_custkey = c_custkey WHERE c_nationkey = 1"""),
+    "localize_subtree": (_localize, GRAPH_SQL + """, us AS (SELECT 'o:' || o_orderkey AS id, 'order_' || o_orderkey AS name, CAST(2 AS INTEGER) AS depth, o_orderpriority AS p, o_orderstatus AS s FROM orders JOIN customer ON o_custkey = c_custkey WHERE c_nationkey = 1)
+ SELECT id, name, depth, CASE WHEN p IN ('1-URGENT', '2-HIGH', '4-NOT SPECIFIED', '5-LOW') THEN 'L' WHEN s = 'O' THEN 'M' END AS "table",
+ CASE WHEN p IN ('1-URGENT', '2-HIGH') THEN p WHEN p = '4-NOT SPECIFIED' THEN 'not_specified' WHEN p = '5-LOW' THEN 'low_text' WHEN s = 'O' THEN 'O' END AS key,
+ CASE WHEN p IN ('1-URGENT', '2-HIGH', '4-NOT SPECIFIED') THEN 'orders/L.strings' WHEN p = '5-LOW' THEN 'crm/L.strings' WHEN s = 'O' THEN 'orders/M.strings' END AS catalog_file,
+ CASE WHEN p IN ('1-URGENT', '2-HIGH') THEN 'direct_metadata' WHEN p = '4-NOT SPECIFIED' THEN 'wrapper_name_key' WHEN p = '5-LOW' THEN 'wrapper_name_approximate' WHEN s = 'O' THEN 'literal_key' ELSE 'unmatched' END AS match_kind FROM us"""),
 }

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from importlib import import_module
 
-TOPICS = ("flow", "structure", "upkeep")
+TOPICS = ("flow", "structure", "upkeep", "knowledge")
 
 
 def _all():

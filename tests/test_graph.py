@@ -167,12 +167,14 @@ def same_as_sql(spark, sf_dir, name):
     from symbolweave.queries import oracle_sql, queries
 
     db = duckdb.connect()
-    for t in ("region", "nation", "customer", "supplier", "part", "orders", "lineitem"):
+    for t in ("region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events", "documents"):
         db.execute(f"CREATE VIEW {t} AS SELECT * FROM '{sf_dir}/{t}.parquet'")
     df = queries()[name](spark, sf_dir)
-    want = sorted(map(repr, db.execute(f"SELECT {', '.join(df.columns)} FROM ({oracle_sql()[name]})").fetchall()))
+    columns = ", ".join(f'"{c}"' for c in df.columns)
+    plain = lambda r: repr(tuple(round(x, 6) if isinstance(x, float) else x for x in r))
+    want = sorted(map(plain, db.execute(f"SELECT {columns} FROM ({oracle_sql()[name]})").fetchall()))
     rows = [tuple(r) for r in df.collect()]
-    assert sorted(map(repr, rows)) == want
+    assert sorted(map(plain, rows)) == want
     return rows
 
 
@@ -217,3 +219,44 @@ def test_more_registered_queries(spark, sf_dir):
     assert {r["kind"] for r in queries()["link_edges"](spark, sf_dir).select("kind").distinct().collect()} >= {"contains", "calls", "reads", "implements"}
     for name in ("trace_fallback_roots", "components_accessors", "invalidation_sources"):
         assert same_as_sql(spark, sf_dir, name), name
+
+
+def test_origins_over_interfaces_and_requests(spark):
+    """From a view's property through an interface to the request behind it; a terminal with nothing behind it counts too."""
+    from symbolweave.operators.origin import origins
+
+    ask = 'func fetch() { request("/users", method: .get, data: ["name": 1, "id": 2]) }'
+    g = graph(spark, [("V", "struct"), ("V.users", "property", {"name": "users"}), ("P", "protocol"), ("P.load", "function", {"name": "load()"}), ("I", "class", {"file": "i.rs"}), ("I.load", "function", {"name": "load()", "file": "i.rs", "snippet": ask}),
+                      ("db", "function", {"name": "save", "role_type": "terminal", "terminal_kind": "persistence", "file": "d.rs"}), ("deep", "function", {"file": "i.rs"})],
+              [("V", "contains", "V.users"), ("P", "contains", "P.load"), ("I", "contains", "I.load"), ("I", "implements", "P"), ("V.users", "reads", "P.load"), ("V.users", "calls", "db"), ("I.load", "calls", "deep")])
+    rows = {r["api"]: r.asDict() for r in origins(g, "V.users").collect()}
+    assert set(rows) == {"I.load", "db"}
+    a = rows["I.load"]
+    assert (a["path"], a["terminal_kind"], a["endpoint"], a["method"], a["request_keys"], a["fields"], a["confidence"], a["total"]) == ("users > load()", "network", "/users", "get", "id,name", "users", 0.95, 2)
+    assert a["notes"] == "reached request endpoint /users; request method get; candidate field path users"
+    assert (rows["db"]["path"], rows["db"]["terminal_kind"], rows["db"]["confidence"]) == ("users > save", "persistence", 0.95)
+    assert [r["api"] for r in origins(g, "V.users", terminal_kind="persistence", limit=1).collect()] == ["db"]
+    assert origins(g, "V.users", max_depth=0).count() == 1 and origins(g, "nobody").count() == 0
+
+
+def test_concepts(spark):
+    from symbolweave.operators import concepts, structure
+    from symbolweave.operators.search import node_index
+
+    g = graph(spark, [("T", "struct", {"name": "GiftPanel"}), ("T.x", "property", {"name": "title"}), ("b", "branch"), ("M", "module"), ("f", "function", {"name": "openGiftPanel", "doc_comment": "/// Opens the gift panel"}), ("T.g", "function", {"name": "giftPanle"})],
+              [("T", "contains", "b"), ("b", "contains", "T.x"), ("M", "contains", "f"), ("T", "contains", "T.g")])
+    assert got(concepts.lifted(g), "id", "scope") == [("M", "M"), ("T", "T"), ("T.g", "T"), ("T.x", "T"), ("b", "T"), ("f", "f")]
+    sources = spark.createDataFrame([("T.x", "value", "Gift panel"), ("T.x", "value", "Gift panel"), ("f", "key", "send_gift_pannel_now"), ("M", "asset", "nothing")], "id string, arm string, text string")
+    assert [(r["id"], r["score"], r["evidence"]) for r in concepts.concept_search(g, "gift panel", sources).collect()] == [("T", 920, 1), ("f", 785, 2)]
+    index = node_index(g, structure.locators(g))
+    found = {r["id"]: (r["score"], r["evidence"]) for r in concepts.concept_search(g, "gift panel", sources.limit(0), index).collect()}
+    assert found["T"][0] >= 660 and found["f"][1] == 2
+    store = spark.createDataFrame([("Gift box", ["present"], ["f", "gone"]), ("Other", None, ["T"])], "concept string, aliases array<string>, bindings array<string>")
+    for name in ("gift box", "Present", "gift bax"):
+        assert [(r["id"], r["score"], r["status"]) for r in concepts.concept_search(g, name, sources, store=store).collect()] == [("f", 1000, "confirmed")]
+
+
+@pytest.mark.parametrize("name", ["search_identifier", "search_phrase", "search_locator", "search_exact_rerank", "l10n_resolve", "l10n_usages", "concept_search", "deps_report", "infer_docs", "annotation_lookup",
+                                  "assets_unused", "change_risk", "classify_rules", "smells_module_scope", "batch_file_symbols", "cluster_page", "stream_delta", "api_surface", "symbol_usages_type", "arch_violations"])
+def test_queries_equal_their_sql(spark, sf_dir, name):
+    assert same_as_sql(spark, sf_dir, name)
