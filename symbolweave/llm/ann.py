@@ -1,14 +1,17 @@
 """Approximate nearest neighbours by additive quantisation.
 
 Codebooks hold full-dimensional codewords, fitted stage by stage on residuals of a bounded sample. Every vector is
-encoded by beam search over all codebooks (a vector is approximated by the sum of one codeword from each) and the norm
-of its approximation is stored. A query scores all codes through its table of inner products with every codeword;
-the best of each block are reranked exactly on the original vectors, in double precision.
+encoded by beam search over all codebooks (a vector is approximated by the sum of one codeword from each) and its norm
+and that of its approximation are stored. A query scores all codes through its table of inner products with every
+codeword, brought to the vector's own length by the stored norms; the best of each block are reranked exactly on the
+original vectors, in double precision.
 
 Vectors and queries meet in blocks (BLOCK vectors by QUERIES queries), so no task holds more than a block of each; each
-pair of blocks returns k rows a query, merged by a window. Edge cases: vectors null, zero, holding null or non-finite
-components, or of another length than the most common one, take no part, nor do null ids; ties go to the smaller
-vec_id; of equal ids each row counts as a candidate but never for its own id; with fewer candidates than k, all return.
+pair of blocks returns k rows a query, merged by a window. Every query meets every code: the work is the stated queries
+times all rows. Edge cases: vectors null, zero, holding null or non-finite components, or of another length than the
+most common one, take no part, nor do null ids; ties go to the smaller vec_id; of equal ids each row counts as a
+candidate but never for its own id, and each is a query of its own, with ranks of its own; with fewer candidates than
+k, all return; an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -23,7 +26,7 @@ from symbolweave.llm.common import save
 #: Codebooks, codewords in each, beam width, vectors of the sample that codebooks are fitted on, Lloyd steps a codebook.
 BOOKS, WORDS, BEAM, SAMPLE, STEPS = 16, 256, 4, 8192, 6
 #: Vectors and queries in a block, and how many of a block are reranked exactly for each query.
-BLOCK, QUERIES, RERANK = 4096, 256, 192
+BLOCK, QUERIES, RERANK = 4096, 256, 128
 
 
 def usable(vectors: DataFrame, vec: str = "embedding") -> DataFrame:
@@ -88,35 +91,39 @@ def _index_blocks(codebooks: np.ndarray, block: int):
                 order = np.argsort(ids, kind="stable")
                 ids, x = ids[order], x[order]
                 found = [encode(x[i : i + 512], codebooks) for i in range(0, len(x), 512)]
-                codes, norms = np.concatenate([f[0] for f in found]), np.concatenate([f[1] for f in found])
+                codes, norms = np.concatenate([f[0] for f in found]), np.sqrt(np.stack([(x**2).sum(1), np.concatenate([f[1] for f in found])]))
                 row = [[a.tobytes()] for a in (ids.astype("<i8"), codes, norms, x)]
                 yield pa.RecordBatch.from_arrays([pa.array(r, pa.binary()) for r in row], ["ids", "codes", "norms", "vectors"])
 
     return run
 
 
-def build_index(good: DataFrame, codebooks: np.ndarray, block: int = BLOCK) -> DataFrame:
-    """A row a block of vectors: ids, codes, norms, vectors as bytes."""
+def build_index(good: DataFrame, codebooks: np.ndarray, block: int) -> DataFrame:
+    """A row a block of vectors: ids, codes, norms (the vectors', then the approximations'), vectors as bytes."""
     n = good.count()
     dealt = good.repartition(max(1, -(-n // block)))
     return save(dealt.mapInArrow(_index_blocks(codebooks, block), "ids binary, codes binary, norms binary, vectors binary"), "ann-index")
 
 
-def _query_blocks(batches):
-    for b in batches:
-        for lo in range(0, b.num_rows, QUERIES):
-            part = b.slice(lo, QUERIES)
-            cols = [[np.array(part.column("vec_id")).astype("<i8").tobytes()], [_matrix(part.column("v")).tobytes()]]
-            yield pa.RecordBatch.from_arrays([pa.array(c, pa.binary()) for c in cols], ["query_ids", "queries"])
+def _query_blocks(size: int):
+    def run(batches):
+        for b in batches:
+            for lo in range(0, b.num_rows, size):
+                part = b.slice(lo, size)
+                cols = [[np.array(part.column(c)).astype("<i8").tobytes()] for c in ("vec_id", "place")] + [[_matrix(part.column("v")).tobytes()]]
+                yield pa.RecordBatch.from_arrays([pa.array(c, pa.binary()) for c in cols], ["query_ids", "places", "queries"])
+
+    return run
 
 
-def search_block(ids, codes, x, query_ids, queries, codebooks, k, rerank):
+def search_block(ids, codes, norms, x, query_ids, queries, codebooks, k, rerank):
     """(query index, vector index, exact inner product) of each query's k best of the block."""
     m = codebooks.shape[0]
     tables = np.einsum("qd,mkd->qmk", queries, codebooks)
     approx = np.zeros((len(queries), len(ids)))
     for j in range(m):
         approx += tables[:, j][:, codes[:, j]]
+    approx *= norms[0] / np.maximum(norms[1], np.finfo(float).tiny)
     approx[query_ids[:, None] == ids[None, :]] = -np.inf
     r = min(rerank, len(ids))
     if r < len(ids):
@@ -142,30 +149,31 @@ def _search(codebooks: np.ndarray, k: int, rerank: int):
     def run(batches):
         for b in batches:
             for row in b.to_pylist():
-                ids, qids = np.frombuffer(row["ids"], "<i8"), np.frombuffer(row["query_ids"], "<i8")
+                ids, qids, places = (np.frombuffer(row[c], "<i8") for c in ("ids", "query_ids", "places"))
+                norms = np.frombuffer(row["norms"]).reshape(2, -1)
                 codes = np.frombuffer(row["codes"], np.uint8).reshape(-1, m)
                 x, q = np.frombuffer(row["vectors"]).reshape(-1, d), np.frombuffer(row["queries"]).reshape(-1, d)
-                qi, vi, s = search_block(ids, codes, x, qids, q, codebooks, k, rerank)
-                yield pa.RecordBatch.from_arrays([pa.array(qids[qi]), pa.array(ids[vi]), pa.array(s)], ["query_id", "vec_id", "score"])
+                qi, vi, s = search_block(ids, codes, norms, x, qids, q, codebooks, k, rerank)
+                yield pa.RecordBatch.from_arrays([pa.array(qids[qi]), pa.array(places[qi]), pa.array(ids[vi]), pa.array(s)], ["query_id", "place", "vec_id", "score"])
 
     return run
 
 
-def nearest(vectors: DataFrame, is_query, k: int = 20, vec: str = "embedding", sample: int = SAMPLE, rerank: int = RERANK) -> DataFrame:
+def nearest(vectors: DataFrame, is_query, k: int = 20, vec: str = "embedding", sample: int = SAMPLE, rerank: int | None = None) -> DataFrame:
     """query_id, rank, vec_id, score: the k vectors of largest inner product with each row that is_query selects."""
     good = save(usable(vectors, vec), "ann-vectors")
-    schema = "query_id long, vec_id long, score double"
+    schema = "query_id long, place long, vec_id long, score double"
     drawn = good.orderBy(F.xxhash64("vec_id"), "vec_id").limit(sample).toArrow()
     if drawn.num_rows == 0:
         return good.sparkSession.createDataFrame([], "query_id long, rank int, vec_id long, score double")
     codebooks = fit_codebooks(_matrix(drawn.column("v").combine_chunks()))
-    index = build_index(good, codebooks)
-    queries = good.where(is_query)
+    index = build_index(good, codebooks, BLOCK)
+    queries = good.where(is_query).withColumn("place", F.monotonically_increasing_id())
     queries = queries.repartition(max(1, -(-queries.count() // QUERIES)))
-    queries = save(queries.mapInArrow(_query_blocks, "query_ids binary, queries binary"), "ann-queries")
+    queries = save(queries.mapInArrow(_query_blocks(QUERIES), "query_ids binary, places binary, queries binary"), "ann-queries")
     # rows of both sides are blocks: each block of the stated queries meets each block of vectors once
-    pairs = index.select("ids", "codes", "vectors").crossJoin(queries)
-    found = pairs.mapInArrow(_search(codebooks, k, rerank), schema)
-    w = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
+    pairs = index.crossJoin(queries)
+    found = pairs.mapInArrow(_search(codebooks, k, rerank or RERANK), schema)
+    w = Window.partitionBy("query_id", "place").orderBy(F.desc("score"), "vec_id")
     ranked = found.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
     return ranked.select("query_id", "rank", "vec_id", "score")
