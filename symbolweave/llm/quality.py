@@ -1,7 +1,7 @@
 """Quality classifier: naive Bayes support vectors.
 
-Features are indicators of hashed byte n-grams of the whole text, and one of a word that comes at least four times in a
-row (REPEAT_GRAM repeats; a rule made by hand, for stuttering text). Each is scaled by the log ratio of its smoothed class counts, and a linear hinge-loss model is fitted on
+Features are indicators of hashed byte n-grams of the whole text, and of the n-grams, up to REPEAT_GRAM long, of the
+stream "this word repeats the one before". Each is scaled by the log ratio of its smoothed class counts, and a linear hinge-loss model is fitted on
 the scaled indicators by dual coordinate descent, interpolated with the mean weight, and mapped to 0..1 by a logistic
 fit on its training margins.
 
@@ -21,22 +21,23 @@ from pyspark.sql import types as T
 
 from symbolweave.llm.common import EXACT, chunks, fresh, held_out, mix64, quoted, words
 
-BITS, GRAM, REPEAT_GRAM = 18, 3, 3
+BITS, GRAM, REPEAT_GRAM = 18, 3, 6
 #: The bound of the labelled sample that the model is fitted on.
 MAX_ROWS, THRESHOLD, HELD_OUT = 6000, 0.3, 5
 
 
 def features(texts: list) -> tuple[np.ndarray, np.ndarray]:
     """Distinct feature ids of each text, one text after another, and where each text's begin (with the end last)."""
-    buf = np.frombuffer(b" ".join(texts) + b" " * GRAM, np.uint8)
+    gap = b" " * (GRAM - 1)  # so that no gram reaches the next text
+    buf = np.frombuffer(gap.join(texts) + gap, np.uint8)
     sizes = np.array([len(t) for t in texts], np.int64)
-    first = np.concatenate(([0], np.cumsum(sizes + 1)[:-1]))
+    first = np.concatenate(([0], np.cumsum(sizes + len(gap))[:-1]))
     code = EXACT[buf]
-    h = np.zeros(len(buf) - GRAM + 1, np.uint64)
+    h = np.zeros(max(len(buf) - GRAM + 1, 0), np.uint64)
     for i in range(GRAM):
         h = h * np.uint64(0x9E3779B97F4A7C15) + code[i : i + len(h)]
     h = mix64(h) >> np.uint64(64 - BITS)
-    # grams that start in a text, the space after it included, are its own
+    # grams that start in a text, with the spaces after it, are its own
     doc = np.repeat(np.arange(len(texts)), sizes)
     at = np.arange(int(sizes.sum())) + np.repeat(first - (np.cumsum(sizes) - sizes), sizes)
     keys = (doc.astype(np.uint64) << np.uint64(BITS)) | h[at]
@@ -44,10 +45,15 @@ def features(texts: list) -> tuple[np.ndarray, np.ndarray]:
     owner = np.repeat(np.arange(len(texts)), n)
     again = np.zeros(len(w), bool)
     again[1:] = (w[1:] == w[:-1]) & (owner[1:] == owner[:-1])
-    run = again.copy()
-    for i in range(1, REPEAT_GRAM):
-        run[i:] &= again[:-i]
-    keys = np.unique(np.concatenate((keys, (np.unique(owner[run]).astype(np.uint64) << np.uint64(BITS)) | np.uint64((1 << BITS) - 1))))
+    own = [keys]
+    for n in range(1, REPEAT_GRAM + 1):
+        m = max(len(again) - n + 1, 0)
+        bits = sum((again[k : k + m].astype(np.uint64) << np.uint64(k) for k in range(n)), np.zeros(m, np.uint64))
+        whole = owner[:m] == owner[n - 1 : n - 1 + m]
+        # patterns of n bits have the ids before those of fewer, from the last id down
+        ids = np.uint64((1 << BITS) - 1 - (2**n - 2)) - bits
+        own.append(np.unique((owner[:m].astype(np.uint64) << np.uint64(BITS) | ids)[whole]))
+    keys = np.unique(np.concatenate(own))
     starts = np.searchsorted(keys, np.arange(len(texts) + 1, dtype=np.uint64) << np.uint64(BITS))
     return (keys & np.uint64((1 << BITS) - 1)).astype(np.int32), starts
 
