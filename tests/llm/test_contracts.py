@@ -98,6 +98,70 @@ def test_quality_on_held_out_rows(spark, sf_dir):
     assert right >= 0.95 * len(held)
 
 
+def dense(texts, labels):
+    """Naive Bayes support vectors over a dense matrix: names of features, scaled rows' weights, slope and intercept."""
+    from symbolweave.llm import quality as m
+
+    def grams(t):
+        out, code = set(), [int(c) for c in m.EXACT]
+        for i in range(len(t)):
+            h = 0
+            for b in (t + b" " * 3)[i : i + 3]:
+                h = (h * 0x9E3779B97F4A7C15 + code[b]) & 0xFFFFFFFFFFFFFFFF
+            out.add(int(m.mix64(np.array([h], np.uint64))[0]) >> (64 - m.BITS))
+        w = tokens(t.decode())
+        again = [i > 0 and w[i] == w[i - 1] for i in range(len(w))]
+        for n in range(1, m.REPEAT_GRAM + 1):
+            for i in range(len(w) - n + 1):
+                out.add((1 << m.BITS) - 1 - (2**n - 2) - sum(again[i + k] << k for k in range(n)))
+        return out
+
+    sets = [grams(t) for t in texts]
+    names = sorted(set().union(*sets))
+    x = np.array([[n in s for n in names] for s in sets], float)
+    y = np.where(np.array(labels) > 0, 1.0, -1.0)
+    counts = [x[y == k].sum(0) + 1 for k in (1, -1)]
+    rest = (1 << m.BITS) - len(names)
+    return names, sets, x * (np.log(counts[0] / (counts[0].sum() + rest)) - np.log(counts[1] / (counts[1].sum() + rest))), y
+
+
+def test_quality_equals_a_dense_model(spark, sf_dir, docs):
+    from symbolweave.llm import quality as m
+
+    labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
+    some = {r["doc_id"]: r["quality"] for r in labels.collect() if crc(r["doc_id"]) % 5 and r["doc_id"] in docs and len(docs[r["doc_id"]] or "") < 3000}
+    ids = sorted(some)
+    texts = [(docs[i] or "").encode() for i in ids]
+    names, sets, z, y = dense(texts, [some[i] for i in ids])
+    flat, starts = m.features(texts)
+    rows = [flat[a:b] for a, b in zip(starts[:-1], starts[1:], strict=True)]
+    assert [set(r.tolist()) for r in rows] == sets
+    ratio = m.log_count_ratios(rows, y)
+    assert np.allclose(z, [[ratio[n] * (n in s) for n in names] for s in sets])
+    # the dual solution is the primal's minimum, found here by Newton steps on the squared hinge
+    w, bias = m.dual_coordinate_descent(rows, y, ratio, epochs=400)
+    a = np.hstack([z, np.ones((len(z), 1))])
+    loss = lambda v: 0.5 * v @ v + 0.1 * (np.maximum(1 - y * (a @ v), 0) ** 2).sum()
+    v = np.zeros(a.shape[1])
+    for _ in range(60):
+        live = y * (a @ v) < 1
+        g = v - 0.2 * a[live].T @ (y[live] * (1 - y[live] * (a[live] @ v)))
+        # (I + 0.2 A'A)^-1 g, by the rows that are live
+        k = np.linalg.solve(np.eye(live.sum()) / 0.2 + a[live] @ a[live].T, a[live] @ g)
+        step, d = 1.0, g - a[live].T @ k
+        while loss(v - step * d) > loss(v) and step > 1e-9:
+            step /= 2
+        v = v - step * d
+    mine = np.append([w[n] for n in names], bias)
+    assert loss(mine) == pytest.approx(loss(v), rel=1e-3) and np.allclose(a @ mine, a @ v, atol=0.02)
+    # the query's scores are those of its weights, feature by feature
+    table = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    weight, slope, shift = m.fit(table, labels)
+    got = {r["doc_id"]: r["score"] for r in m.classify(table, labels).collect()}
+    for i, s in zip(ids, sets, strict=True):
+        assert got[i] == pytest.approx(1 / (1 + np.exp(-np.clip(slope * sum(weight[n] for n in s) + shift, -500, 500))), abs=1e-9)
+
+
 def brute_spans(docs, length=100):
     seen, out = set(), {}
     for doc in sorted(docs):

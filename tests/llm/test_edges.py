@@ -160,6 +160,32 @@ def test_ann_odd_vectors(spark):
     got = [(r["query_id"], r["rank"], r["vec_id"], r["score"]) for r in ann.nearest(df, F.col("vec_id") % 20 == 0, k=3).orderBy("query_id", "rank").collect()]
     assert got == [(0, 1, 20, 2.0), (0, 2, 1, 1.0), (0, 3, 2, 1.0), (20, 1, 0, 2.0), (20, 2, 1, 2.0), (20, 3, 2, 2.0), (40, 1, 0, 0.0), (40, 2, 1, 0.0), (40, 3, 2, 0.0)]
     assert ann.nearest(df.limit(0), F.lit(True)).collect() == []
+    twice = spark.createDataFrame([(20, [1.0, 0.0]), (20, [0.0, 1.0]), (1, [2.0, 1.0]), (2, [1.0, 3.0])], "vec_id long, embedding array<float>").repartition(2)
+    got = sorted((r["query_id"], r["rank"], r["vec_id"], r["score"]) for r in ann.nearest(twice, F.col("vec_id") == 20).collect())
+    assert got == [(20, 1, 1, 2.0), (20, 1, 2, 3.0), (20, 2, 1, 1.0), (20, 2, 2, 1.0)]
+
+
+def test_ann_over_many_blocks(spark, monkeypatch):
+    """Blocks of vectors by blocks of queries, each reranking a part only, merged: recall, and the best when all of a block is reranked."""
+    import numpy as np
+
+    vectors = {r["vec_id"]: np.array(r["embedding"], float) for r in spark.read.parquet("/root/testdata/sf0.1/embeddings.parquet").collect()}
+    table = spark.read.parquet("/root/testdata/sf0.1/embeddings.parquet")
+    monkeypatch.setattr(ann, "BLOCK", 100)
+    monkeypatch.setattr(ann, "QUERIES", 7)
+    ids = np.array(sorted(vectors))
+    x = np.stack([vectors[i] for i in ids])
+    for rerank, recall in ((30, 0.9), (100, 1.0)):
+        got = {}
+        for r in ann.nearest(table, F.col("vec_id") % 20 == 0, rerank=rerank, sample=1200).collect():
+            got.setdefault(r["query_id"], {})[r["rank"]] = r["vec_id"]
+        hits = 0
+        for q, found in got.items():
+            scores = x @ vectors[q]
+            best = [i for i in ids[np.lexsort((ids, -scores))] if i != q][:20]
+            assert sorted(found) == list(range(1, 21))
+            hits += len(set(best) & set(found.values()))
+        assert len(got) == sum(ids % 20 == 0) and hits >= recall * 20 * len(got)
 
 
 def test_url_filter(spark, monkeypatch):
