@@ -13,7 +13,7 @@ from symbolweave.runtime import cut as save
 from symbolweave.runtime import shared_dir
 
 #: Text bytes that one numpy pass works on; bounds a Python worker's memory whatever the Arrow batch holds.
-CHUNK_BYTES = 2 << 20
+CHUNK_BYTES = 1 << 20
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
