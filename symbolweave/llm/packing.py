@@ -28,7 +28,7 @@ from symbolweave.llm.common import save
 
 SEQ_LEN, END_ID = 2048, 1
 #: Entries of a worker's cache of encoded words; past it the cache starts anew.
-CACHE_WORDS = 250_000
+CACHE_WORDS = 120_000
 SPACE_RUN = re.compile(r" (?:\s|$)")
 
 
