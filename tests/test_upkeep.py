@@ -44,6 +44,7 @@ def test_snippets(spark):
 
 def test_localize(spark):
     g = graph(spark, [(x, "view") for x in ("top", "mid", "leaf", "other")], [("top", "contains", "mid"), ("mid", "contains", "leaf")])
-    usages = spark.createDataFrame([("leaf", "a.rs", "L", "hello", None, None), ("mid", "a.rs", "L", "none", "hello", None), ("other", "a.rs", "L", "hello", None, None)], "id string, file string, table string, key string, literal string, wrapper string")
-    catalog = spark.createDataFrame([("L", "hello")], "table string, key string")
-    assert got(upkeep.localize(g, "top", usages, catalog), "id", "depth", "key", "matched_by") == [("leaf", 2, "hello", "key"), ("mid", 1, "hello", "literal")]
+    usages = spark.createDataFrame([("leaf", "a.rs", "L", "hello", None, None), ("mid", "a.rs", "L", "none", "hello", None), ("other", "a.rs", "L", "hello", None, None)], "id string, file string, table string, key string, literal string, wrapper_name string")
+    catalog = spark.createDataFrame([("L", "hello", "Hello", "L.strings", "")], "table string, key string, value string, catalog_file string, catalog_dir string")
+    wrappers = spark.createDataFrame([], "wrapper_id string, wrapper_name string, table string, key string")
+    assert got(upkeep.localize(g, "top", usages, catalog, wrappers), "id", "depth", "key", "match_kind") == [("leaf", 2, "hello", "direct_metadata"), ("mid", 1, "hello", "literal_key")]
