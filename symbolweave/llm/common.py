@@ -6,6 +6,8 @@ import hashlib
 import uuid
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -110,6 +112,17 @@ def chunks(texts: list, limit: int = CHUNK_BYTES):
         yield first, run
 
 
+def runs(column: pa.Array, limit: int = CHUNK_BYTES):
+    """chunks() of an Arrow column: (first index, values), nulls as empty; only one run at a time is Python objects."""
+    empty = "" if pa.types.is_string(column.type) or pa.types.is_large_string(column.type) else b""
+    ends = np.cumsum(np.asarray(pc.fill_null(pc.binary_length(column), 0), np.int64) + 1)
+    lo = 0
+    while lo < len(column):
+        hi = max(int(np.searchsorted(ends, (ends[lo - 1] if lo else 0) + limit, "right")), lo + 1)
+        yield lo, [t or empty for t in column.slice(lo, hi - lo).to_pylist()]
+        lo = hi
+
+
 #: Words of more bytes are hashed one by one: over 2^64, a polynomial gives certain strings of 1024 bytes and more (Thue-Morse) one hash.
 LONG_WORD = 256
 

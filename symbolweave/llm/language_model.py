@@ -35,7 +35,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from symbolweave.llm.common import bucket_count, bucketed, chunks, held_out, mix64, partition_id, words
+from symbolweave.llm.common import bucket_count, bucketed, held_out, mix64, partition_id, runs, words
 
 HELD_OUT, ORDER, MIN_WEIGHT = 10, 3, 0.05
 #: Text bytes of a block: half of what other operators hold, as a block's tokens take several arrays of eight bytes each.
@@ -82,7 +82,7 @@ def _blocks(block_bytes: int):
         number, docs, hashes, sizes, size = 0, [], [], [], 0
         for b in batches:
             ids, held = b.column("doc_id").to_pylist(), b.column("held_out").to_pylist()
-            for lo, texts in chunks(b.column("text").to_pylist()):
+            for lo, texts in runs(b.column("text")):
                 h, n = words(texts)
                 h[h == END] += np.uint64(1)
                 hashes.append(np.insert(h, np.cumsum(n), np.uint64(END)))

@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from symbolweave.llm.common import chunks, mix64, save, words
+from symbolweave.llm.common import mix64, runs, save, words
 
 ROWS, SIDE = 2, 7
 #: Longs of a set's parity sketch: bit i says whether an odd number of its hashes fall on i. Two sets differ in at least as many elements as their sketches in bits.
@@ -88,7 +88,7 @@ def _sign(k: int):
     def run(batches):
         for b in batches:
             ids = b.column("doc_id").to_pylist()
-            for lo, texts in chunks(b.column("text").to_pylist(), 1 << 20):
+            for lo, texts in runs(b.column("text")):
                 sets = shingle_sets(texts, k)
                 full = [s for s in sets if len(s)]
                 keys = iter(half_keys(full).view(np.int64).tolist() if full else [])
@@ -106,7 +106,7 @@ def _sign(k: int):
 def _fetch(k: int):
     def run(batches):
         for b in batches:
-            for _, texts in chunks(b.column("text").to_pylist(), 1 << 20):
+            for _, texts in runs(b.column("text")):
                 sets = [s for s in shingle_sets(texts, k) if len(s)]
                 prints = [fingerprints(s) for s in sets]
                 cols = [pa.array([p[0] for p in prints], pa.int64()), pa.array([p[1] for p in prints], pa.int64()), pa.array([len(s) for s in sets], pa.int64()), pa.array([s.tobytes() for s in sets], pa.binary())]

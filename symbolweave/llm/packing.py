@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from symbolweave.llm.common import save
+from symbolweave.llm.common import runs, save
 
 SEQ_LEN, END_ID = 2048, 1
 #: Entries of a worker's cache of encoded words; past it the cache starts anew.
@@ -117,9 +117,9 @@ def _tokenise(path: str, added: dict[str, int], end_id: int):
         end = np.array([end_id], encoder.dtype).tobytes()
         width = encoder.dtype.itemsize
         for b in batches:
-            for lo in range(0, b.num_rows, 512):
-                part = b.slice(lo, 512)
-                ids = [encoder.encode(t or "") + end for t in part.column("text").to_pylist()]
+            for lo, texts in runs(b.column("text")):
+                part = b.slice(lo, len(texts))
+                ids = [encoder.encode(t) + end for t in texts]
                 counts = np.array([len(x) // width for x in ids], np.int64)
                 before = at + np.cumsum(counts) - counts
                 at += int(counts.sum())
@@ -140,10 +140,10 @@ def token_table(docs: DataFrame, path: str | None = None, end_id: int = END_ID)
 def _cut(seq_len: int, dtype: str, with_ids: bool):
     def run(batches):
         for b in batches:
-            for lo in range(0, b.num_rows, 1024):
-                part = b.slice(lo, 1024)
+            for lo, found in runs(b.column("ids")):
+                part = b.slice(lo, len(found))
                 out = []
-                for doc, first, ids in zip(part.column("doc_id").to_pylist(), part.column("first").to_pylist(), part.column("ids").to_pylist(), strict=True):
+                for doc, first, ids in zip(part.column("doc_id").to_pylist(), part.column("first").to_pylist(), found, strict=True):
                     ids = np.frombuffer(ids, dtype).astype("<u4")
                     n, start = len(ids), 0
                     while start < n:

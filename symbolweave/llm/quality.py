@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from symbolweave.llm.common import EXACT, chunks, fresh, held_out, mix64, quoted, words
+from symbolweave.llm.common import EXACT, fresh, held_out, mix64, quoted, runs, words
 
 BITS, GRAM, REPEAT_GRAM = 18, 3, 6
 #: The bound of the labelled sample that the model is fitted on.
@@ -61,7 +61,7 @@ def features(texts: list) -> tuple[np.ndarray, np.ndarray]:
 def _extract(batches):
     for b in batches:
         ids, labels = b.column("doc_id"), b.column("label")
-        for lo, texts in chunks(b.column("text").to_pylist()):
+        for lo, texts in runs(b.column("text")):
             f, s = features(texts)
             rows = [f[s[i] : s[i + 1]].astype("<i4").tobytes() for i in range(len(texts))]
             yield pa.RecordBatch.from_arrays([ids.slice(lo, len(texts)), labels.slice(lo, len(texts)), pa.array(rows, pa.binary())], ["doc_id", "label", "features"])
@@ -138,7 +138,7 @@ def _score(columns: list[str], weight: np.ndarray, a: float, b: float):
     def run(batches):
         for batch in batches:
             scores = np.empty(batch.num_rows)
-            for lo, texts in chunks(batch.column(0).to_pylist()):
+            for lo, texts in runs(batch.column(0)):
                 f, s = features(texts)
                 sums = np.concatenate(([0.0], np.cumsum(weight[f])))
                 scores[lo : lo + len(texts)] = 1 / (1 + np.exp(-np.clip(a * (sums[s[1:]] - sums[s[:-1]]) + b, -500, 500)))
