@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 import hashlib
 import uuid
 
@@ -164,6 +165,19 @@ def bucketed(df: DataFrame, key: str, tag: str, buckets: int, deal: bool = False
     return out
 
 
+def tidy(run):
+    """run, a function for mapInArrow; at a partition's end a worker, which stays for later stages, gives freed memory back."""
+
+    def whole(batches):
+        yield from run(batches)
+        pa.default_memory_pool().release_unused()
+        libc = ctypes.CDLL(None)
+        if hasattr(libc, "malloc_trim"):
+            libc.malloc_trim(0)
+
+    return whole
+
+
 def partition_id() -> int:
     from pyspark import TaskContext
 

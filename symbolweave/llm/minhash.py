@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from symbolweave.llm.common import mix64, runs, save, words
+from symbolweave.llm.common import mix64, runs, save, tidy, words
 
 ROWS, SIDE = 2, 7
 #: Longs of a set's parity sketch: bit i says whether an odd number of its hashes fall on i. Two sets differ in at least as many elements as their sketches in bits.
@@ -135,11 +135,11 @@ def confirm(docs: DataFrame, classes: DataFrame, pairs: DataFrame, k: int) -> Da
     wanted = save(classes.join(ids, "class", "left_semi").select("class", "f1", "f2", "n", F.col("doc_id").alias("id")), "near-ids")
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text"), F.lit("")).cast("binary").alias("text"))
     # a doc_id may have other texts too: the set itself says whose class it is
-    found = _only(texts, wanted.select("id").distinct(), "left_semi").mapInArrow(_fetch(k), "f1 long, f2 long, n long, set binary")
+    found = _only(texts, wanted.select("id").distinct(), "left_semi").mapInArrow(tidy(_fetch(k)), "f1 long, f2 long, n long, set binary")
     sets = save(found.join(wanted.select("class", "f1", "f2", "n"), ["f1", "f2", "n"]).select("class", "set").dropDuplicates(["class"]), "near-sets")
     both = pairs.join(sets.select(F.col("class").alias("b"), F.col("set").alias("set_b")), "b")
     both = both.join(sets.select(F.col("class").alias("a"), F.col("set").alias("set_a")), "a").select("a", "b", "na", "nb", "set_a", "set_b")
-    return save(both.mapInArrow(_common, "a long, b long, na long, nb long, common long"), "near-confirmed")
+    return save(both.mapInArrow(tidy(_common), "a long, b long, na long, nb long, common long"), "near-confirmed")
 
 
 def linked(percent: int):
@@ -173,7 +173,7 @@ def _same_document(sets: DataFrame, classes: DataFrame) -> DataFrame:
 def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
     """doc_id, n_shingles, component_id, kept: links are 100 * common shingles >= percent * shingles of either."""
     text = F.coalesce(F.col("text"), F.lit("")).cast("binary").alias("text")
-    signed = save(docs.select(F.col("doc_id").cast("long").alias("doc_id"), text).mapInArrow(_sign(k), "doc_id long, n long, f1 long, f2 long, halves array<long>, sketch array<long>"), "near-signatures")
+    signed = save(docs.select(F.col("doc_id").cast("long").alias("doc_id"), text).mapInArrow(tidy(_sign(k)), "doc_id long, n long, f1 long, f2 long, halves array<long>, sketch array<long>"), "near-signatures")
     sets = signed.where("n > 0 AND doc_id IS NOT NULL")
     kinds = sets.groupBy("f1", "f2", "n").agg(F.min("doc_id").alias("doc_id"), F.first("halves").alias("halves"), F.first("sketch").alias("sketch"))
     classes = save(kinds.withColumn("class", F.monotonically_increasing_id()), "near-classes")

@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from symbolweave.llm.common import runs, save
+from symbolweave.llm.common import runs, save, tidy
 
 SEQ_LEN, END_ID = 2048, 1
 #: Entries of a worker's cache of encoded words; past it the cache starts anew.
@@ -134,7 +134,7 @@ def _tokenise(path: str, added: dict[str, int], end_id: int):
 def token_table(docs: DataFrame, path: str | None = None, end_id: int = END_ID) -> DataFrame:
     """doc_id, part, tokens_before (in the partition), doc_tokens, ids (uint16 if the vocabulary allows): written once."""
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.spark_partition_id().alias("part"), "text")
-    return save(rows.mapInArrow(_tokenise(path or vocabulary_path(), added_tokens() if path is None else {}, end_id), "doc_id long, part int, tokens_before long, doc_tokens long, ids binary"), "pack-tokens")
+    return save(rows.mapInArrow(tidy(_tokenise(path or vocabulary_path(), added_tokens() if path is None else {}, end_id)), "doc_id long, part int, tokens_before long, doc_tokens long, ids binary"), "pack-tokens")
 
 
 def _cut(seq_len: int, dtype: str, with_ids: bool):
@@ -172,4 +172,4 @@ def pack(docs: DataFrame, seq_len: int = SEQ_LEN, path: str | None = None, end_i
     side = docs.sparkSession.createDataFrame(offsets, "part int, part_first long")
     placed = tokens.join(F.broadcast(side), "part").select("doc_id", (F.col("part_first") + F.col("tokens_before")).alias("first"), "ids")
     schema = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long" + ", ids binary" * with_ids
-    return placed.mapInArrow(_cut(seq_len, dtype, with_ids), schema)
+    return placed.mapInArrow(tidy(_cut(seq_len, dtype, with_ids)), schema)

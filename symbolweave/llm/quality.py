@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from symbolweave.llm.common import EXACT, fresh, held_out, mix64, quoted, runs, words
+from symbolweave.llm.common import EXACT, fresh, held_out, mix64, quoted, runs, tidy, words
 
 BITS, GRAM, REPEAT_GRAM = 18, 3, 6
 #: The bound of the labelled sample that the model is fitted on.
@@ -153,7 +153,7 @@ def score(docs: DataFrame, model: tuple[np.ndarray, float, float], name: str = "
     # by place: a Python stage can't look up names with a dot
     fed = docs.select(F.coalesce(F.col("text"), F.lit("")).cast("binary"), *quoted(docs.columns)).toDF(*[f"c{i}" for i in range(len(docs.columns) + 1)])
     schema = T.StructType([*docs.schema.fields, T.StructField(name, T.DoubleType())])
-    return fed.mapInArrow(_score([*docs.columns, name], weight.astype(np.float64), a, b), schema)
+    return fed.mapInArrow(tidy(_score([*docs.columns, name], weight.astype(np.float64), a, b)), schema)
 
 
 def classify(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
