@@ -4,13 +4,13 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from symbolweave import schema as S
 from symbolweave.functions.text import effect_component, is_accessor, symbol_name
 from symbolweave.graph import CodeGraph
-from symbolweave.operators.traverse import connected, reach, ways
+from symbolweave.operators.traverse import connected, reach, reach_in_order, ways
 from symbolweave.runtime import cut, is_empty
 
 
@@ -27,22 +27,52 @@ def impact_seeds(graph: CodeGraph, ids) -> DataFrame:
     return roots.select(F.col("id").alias("root"), "id").unionByName(members.join(types, "root", "left_semi"))
 
 
+def _dependents(graph: CodeGraph) -> DataFrame:
+    """(src, dst): src is depended on by dst; nodes that don't exist, views and branches have no part."""
+    solid = graph.nodes.where(~F.col("kind").isin(S.STRUCTURAL)).select("id")
+    deps = graph.edges.where(F.col("kind").isin(S.IMPACT)).select(F.col("target").alias("src"), F.col("source").alias("dst"))
+    return deps.join(solid.withColumnRenamed("id", "src"), "src", "left_semi").join(solid.withColumnRenamed("id", "dst"), "dst", "left_semi")
+
+
+def _bucket() -> Column:
+    return F.when(F.col("depth") >= 3, "depth3+").otherwise(F.concat(F.lit("depth"), F.col("depth").cast("string"))).alias("bucket")
+
+
 def impact(graph: CodeGraph, ids, max_depth: int = 3, path: bool = False) -> DataFrame:
     """(root, id, name, kind, file, module, visibility, depth, bucket): what depends on each root, by fewest steps.
 
     Reverse edges of the impact kinds between nodes that exist and are no views or branches; a type's members are
     seeds too and are not reported. bucket: depth1, depth2, depth3+. path: a way from the seed to the dependent.
     """
-    solid = graph.nodes.where(~F.col("kind").isin(S.STRUCTURAL)).select("id")
-    deps = graph.edges.where(F.col("kind").isin(S.IMPACT)).select(F.col("target").alias("src"), F.col("source").alias("dst"))
-    deps = deps.join(solid.withColumnRenamed("id", "src"), "src", "left_semi").join(solid.withColumnRenamed("id", "dst"), "dst", "left_semi")
-    hit = reach(deps, impact_seeds(graph, ids), max_depth, path)
+    hit = reach(_dependents(graph), impact_seeds(graph, ids), max_depth, path)
     if path:
         hit = hit.join(ways(hit, hit.where("depth > 0")).select("root", "id", F.array_join("way", " > ").alias("path")), ["root", "id"])
     hit = hit.where("depth > 0")
-    bucket = F.when(F.col("depth") >= 3, "depth3+").otherwise(F.concat(F.lit("depth"), F.col("depth").cast("string")))
     named = hit.join(graph.nodes.select("id", "name", "kind", "file", F.coalesce("module", F.lit("<unknown>")).alias("module"), "visibility"), "id")
-    return named.select("root", "id", "name", "kind", "file", "module", "visibility", "depth", bucket.alias("bucket"), *(["path"] if path else []))
+    return named.select("root", "id", "name", "kind", "file", "module", "visibility", "depth", _bucket(), *(["path"] if path else []))
+
+
+def impact_tree(graph: CodeGraph, ids, max_depth: int = 3, limit: int | None = None) -> DataFrame:
+    """(root, id, bucket, depth, path, place, total, in_tree): impact() in the order of its queue, the first limit of each bucket.
+
+    Dependents of one node come by name, file and id; of several nodes that lead to a dependent, the first met is its
+    parent. path: ids from the seed on; place: its number in the bucket; total: the bucket's size before the limit.
+    in_tree: the limit left all between the root and the dependent; what only leads to a member of a type is in no tree.
+    """
+    key = F.struct("name", F.coalesce("file", F.lit("")).alias("file"), "id")
+    deps = _dependents(graph).join(graph.nodes.select(F.col("id").alias("dst"), key.alias("key")), "dst")
+    # a root comes before its members
+    first = F.struct(F.when(F.col("root") == F.col("id"), "0").otherwise("1").alias("name"), F.lit("").alias("file"), "id")
+    hit = reach_in_order(deps, impact_seeds(graph, ids).withColumn("way", F.array(first)), max_depth).where("depth > 0")
+    hit = hit.select("root", "id", _bucket(), "depth", "way")
+    order = Window.partitionBy("root", "bucket").orderBy("depth", "way")
+    kept = hit.withColumn("place", F.row_number().over(order))
+    kept = cut(kept.where(F.col("place") <= limit) if limit is not None else kept, "impact-kept").withColumn("ids", F.col("way.id"))
+    between = kept.select("root", F.col("id").alias("end"), F.explode(F.slice("ids", 2, F.size("ids") - 2)).alias("id"))
+    lost = between.join(kept.select("root", "id"), ["root", "id"], "left_anti").select("root", F.col("end").alias("id"), F.lit(True).alias("lost")).distinct()
+    out = kept.join(lost, ["root", "id"], "left").join(hit.groupBy("root", "bucket").agg(F.count("*").alias("total")), ["root", "bucket"])
+    return out.select("root", "id", "bucket", "depth", F.array_join("ids", " > ").alias("path"), "place", "total",
+                      (F.col("lost").isNull() & (F.element_at("ids", 1) == F.col("root"))).alias("in_tree"))
 
 
 def impact_summary(found: DataFrame) -> DataFrame:
@@ -197,6 +227,24 @@ def dataflow(graph: CodeGraph, entry: str, max_depth: int = 10) -> DataFrame:
     return rows.groupBy("source", "target", "kind", "operation").agg(F.array_join(F.array_sort(F.collect_set("condition")), ",").alias("conditions"), F.coalesce(F.max("async_boundary"), F.lit(False)).alias("async_boundary"))
 
 
+def dataflow_limited(edges: DataFrame, entry: str, limit: int) -> DataFrame:
+    """(item, source, target, kind, operation, total): the first limit edges of dataflow() and the nodes at their ends.
+
+    Edges by source, target, kind (call, read, write, publish, subscribe) and operation. A node has its id as source
+    and the kind symbol or effect; entry always stays. total: how many there were of the item before the limit.
+    """
+    edges = cut(edges, "dataflow")
+    rank = F.array_position(F.array(*[F.lit(k) for k in ("call", "read", "write", "publish", "subscribe")]), F.col("kind"))
+    first = edges.orderBy("source", "target", rank, F.col("operation").asc_nulls_first()).limit(limit)
+    start = edges.sparkSession.createDataFrame([(entry,)], "source string")
+    ends = lambda df: df.select(F.explode(F.array("source", "target")).alias("source")).union(start).distinct()
+    none = F.lit(None).cast("string")
+    nodes = ends(first).select(F.lit("node").alias("item"), "source", none.alias("target"), F.when(F.col("source").startswith("effect::"), "effect").otherwise("symbol").alias("kind"), none.alias("operation"))
+    out = first.select(F.lit("edge").alias("item"), "source", "target", "kind", "operation").unionByName(nodes)
+    totals = edges.agg(F.count("*").alias("total")).select(F.lit("edge").alias("item"), "total").union(ends(edges).agg(F.count("*")).select(F.lit("node"), "count(1)"))
+    return out.join(F.broadcast(totals), "item")  # two rows
+
+
 def dataflow_summary(edges: DataFrame) -> DataFrame:
     kind = lambda k: F.coalesce(F.sum((F.col("kind") == k).cast("int")), F.lit(0)).cast("long")
     ends = edges.select(F.explode(F.array("source", "target")).alias("id")).distinct()

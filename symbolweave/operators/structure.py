@@ -106,7 +106,39 @@ def context(graph: CodeGraph, symbol: str, limit: int | None = None) -> DataFram
     out = out.withColumn("total", F.count("*").over(w))
     if limit is None:
         return out
-    return out.withColumn("r", F.row_number().over(w.orderBy("name", "file", "id"))).where(F.col("r") <= limit).drop("r")
+    # what contains and is contained goes by its place in the file, all else by name
+    spot = out.join(graph.nodes.select("id", *SPOT), "id").withColumns({c: F.when(F.col("section").isin("contains", "contained_by"), F.col(c)) for c in SPOT})
+    return spot.withColumn("r", F.row_number().over(w.orderBy(*SPOT, "name", "file", "id"))).where(F.col("r") <= limit).select(*out.columns)
+
+
+SPOT = ["start_line", "start_col", "end_line", "end_col"]
+
+
+def contains_tree(graph: CodeGraph, symbol: str, limit: int | None = None) -> DataFrame:
+    """(path, id, name, kind, depth, inline, start_line, start_col, end_line, end_col): all that symbol contains, a row for each way to it.
+
+    Siblings go by start, end, name and id; limit leaves the first of the top level, with all below them. A view that
+    refers to a property or function also shows what that contains (inline). No id comes twice in a way.
+    """
+    n = graph.nodes.select("id", "name", "kind", *SPOT)
+    holds = graph.edges.where("kind = 'contains'").select(F.col("source").alias("src"), F.col("target").alias("dst"))
+    views = graph.edges.where("kind = 'type_ref'").select(F.col("source").alias("view"), F.col("target").alias("id"))
+    views = views.join(n.where("kind = 'view'").select(F.col("id").alias("view")), "view", "left_semi")
+    shown = views.join(n.where("kind IN ('property', 'function')").select("id"), "id", "left_semi").join(holds, F.col("id") == F.col("src"))
+    steps = holds.withColumn("inline", F.lit(False)).union(shown.select("view", "dst", F.lit(True)))
+    steps = cut(steps.join(n.withColumnRenamed("id", "dst"), "dst"), "contains")
+    top = steps.where((F.col("src") == symbol) & ~F.col("inline"))
+    if limit is not None:
+        top = top.orderBy(*SPOT, "name", "dst").limit(limit)
+    columns = ["way", F.col("dst").alias("id"), "name", "kind", "inline", *SPOT]
+    level = cut(top.withColumn("way", F.array("dst")).select(*columns), "tree")
+    out, depth = level.withColumn("depth", F.lit(1)), 1
+    while not is_empty(level):
+        depth += 1
+        grown = level.select("way", F.col("id").alias("src")).join(steps, "src").where(~F.array_contains("way", F.col("dst")))
+        level = cut(grown.withColumn("way", F.array_append("way", F.col("dst"))).select(*columns), "tree")
+        out = out.unionByName(level.withColumn("depth", F.lit(depth)))
+    return out.select(F.array_join("way", " > ").alias("path"), "id", "name", "kind", "depth", "inline", *SPOT)
 
 
 def batch_context(graph: CodeGraph, symbols: list[str], limit: int | None = None) -> DataFrame:

@@ -32,6 +32,24 @@ def reach(edges: DataFrame, seeds: DataFrame, max_depth: int | None = None, pare
     return visited
 
 
+def reach_in_order(edges: DataFrame, seeds: DataFrame, max_depth: int) -> DataFrame:
+    """(root, id, depth, way): reach() as a queue would meet the ids, edges (src, dst, key), seeds (root, id, way).
+
+    way: the keys from the seed to the id by the parent met first; among ids of one depth its order is that of the queue.
+    """
+    frontier = cut(seeds.groupBy("root", "id").agg(F.min("way").alias("way")).select("root", "id", F.lit(0).alias("depth"), "way"), "queue")
+    edges = cut(edges.select("src", "dst", "key").distinct(), "queue-edges")
+    visited = frontier
+    for depth in range(1, max_depth + 1):
+        step = frontier.select("root", F.col("id").alias("src"), "way").join(edges, "src").select("root", F.col("dst").alias("id"), F.array_append("way", F.col("key")).alias("way"))
+        step = step.join(visited.select("root", "id"), ["root", "id"], "left_anti")
+        frontier = cut(step.groupBy("root", "id").agg(F.min("way").alias("way")).select("root", "id", F.lit(depth).alias("depth"), "way"), "queue")
+        if is_empty(frontier):
+            break
+        visited = visited.unionByName(frontier)
+    return visited
+
+
 def ways(reached: DataFrame, ends: DataFrame) -> DataFrame:
     """(root, id, way): for ends (root, id) the ids from the seed to each, from the parents of reach()."""
     known = cut(reached.select("root", F.col("id").alias("at"), "depth", "parent"), "ways-known")

@@ -26,6 +26,14 @@ tr AS (SELECT array_to_string(names, ' > ') AS path, array_to_string(ids, ' > ')
   coalesce(fr.direction, CASE fr.kind WHEN 'reads' THEN 'read' WHEN 'writes' THEN 'write' ELSE 'unknown' END) AS direction, CAST(NULL AS VARCHAR) AS operation,
   array_to_string(conditions, ',') AS conditions, asyncs FROM way JOIN fr ON fr.target = way.id WHERE tk IS NOT NULL AND hops > 0)"""
 
+IMPACT_TREE = """, w1 AS MATERIALIZED (SELECT n.id, 1 AS depth, [n.name, n.file, n.id] AS way FROM (SELECT DISTINCT dst FROM dep WHERE src = 's:1' AND dst <> 's:1') JOIN nodes n ON n.id = dst),
+w2 AS MATERIALIZED (SELECT n.id, 2 AS depth, min(list_concat(w1.way, [n.name, n.file, n.id])) AS way FROM w1 JOIN dep ON src = w1.id JOIN nodes n ON n.id = dst WHERE dst <> 's:1' AND dst NOT IN (SELECT id FROM w1) GROUP BY n.id),
+w3 AS MATERIALIZED (SELECT n.id, 3 AS depth, min(list_concat(w2.way, [n.name, n.file, n.id])) AS way FROM w2 JOIN dep ON src = w2.id JOIN nodes n ON n.id = dst WHERE dst <> 's:1' AND dst NOT IN (SELECT id FROM w1 UNION ALL SELECT id FROM w2) GROUP BY n.id),
+pl AS (SELECT *, CAST(row_number() OVER (PARTITION BY depth ORDER BY way) AS INTEGER) AS place, count(*) OVER (PARTITION BY depth) AS total FROM (FROM w1 UNION ALL FROM w2 UNION ALL FROM w3)),
+kp AS MATERIALIZED (SELECT * FROM pl WHERE place <= 40)
+SELECT 's:1' AS root, id, CASE depth WHEN 3 THEN 'depth3+' ELSE 'depth' || depth END AS bucket, depth, 's:1 > ' || way[3] || coalesce(' > ' || way[6], '') || coalesce(' > ' || way[9], '') AS path, place, total,
+ (depth < 2 OR way[3] IN (SELECT id FROM kp)) AND (depth < 3 OR way[6] IN (SELECT id FROM kp)) AS in_tree FROM kp"""
+
 FLOW = """, tg AS (SELECT id, name, CASE WHEN role_type = 'terminal' THEN terminal_kind END AS fin FROM nodes),
 fl AS MATERIALIZED (SELECT e.*, t.name AS to_name, t.fin AS to_end, e.kind = 'calls' AND t.id IS NOT NULL AND t.fin IS NULL AS goes FROM edges e LEFT JOIN tg t ON t.id = e.target WHERE e.kind IN ('calls','reads','writes','publishes','subscribes')),
 walk(id, depth) AS (SELECT 'o:10', 0 UNION SELECT target, depth + 1 FROM walk JOIN fl ON source = id AND goes WHERE depth < 10),
@@ -74,6 +82,7 @@ def _impact(s, d):
 
 QUERIES = {
     "impact_supplier_d3": (_impact, GRAPH_SQL + DEP + " SELECT * FROM imp"),
+    "impact_tree": (lambda s, d: flow.impact_tree(stored_graph(s, d), ["s:1"], 3, 40), GRAPH_SQL + DEP + IMPACT_TREE),
     "impact_summary": (lambda s, d: flow.impact_summary(_impact(s, d)), GRAPH_SQL + DEP + """ SELECT root, CAST(count(*) FILTER (depth = 1) AS BIGINT) AS direct, count(*) AS total, count(DISTINCT file) AS files, count(DISTINCT module) AS modules,
  CAST(count(*) FILTER (visibility = 'public') AS BIGINT) AS public, CAST(count(*) FILTER (visibility <> 'public') AS BIGINT) AS internal FROM imp GROUP BY root"""),
     "impact_top_modules": (lambda s, d: flow.impact_top_modules(_impact(s, d)), GRAPH_SQL + DEP + " SELECT module, count(*) AS affected FROM imp GROUP BY module ORDER BY affected DESC, module LIMIT 5"),
@@ -85,6 +94,11 @@ QUERIES = {
  WHERE id IN (FROM cb) AND file = 'one.rs' AND (name = 'getter:body' OR starts_with(name, 'handle_') OR id IN (SELECT source FROM edges WHERE kind IN ('calls','reads','writes')))"""),
     "entries_ranked": (lambda s, d: flow.entries(stored_graph(s, d)), GRAPH_SQL + """ SELECT id, name, module, file, CASE WHEN visibility = 'public' THEN 2 ELSE 3 END AS rank, count(*) OVER () AS total FROM nodes WHERE role_type = 'entry_point'"""),
     "dataflow_edges": (lambda s, d: flow.dataflow(stored_graph(s, d), "o:10"), GRAPH_SQL + FLOW + " SELECT * FROM df"),
+    "dataflow_limited": (lambda s, d: flow.dataflow_limited(flow.dataflow(stored_graph(s, d), "o:10"), "o:10", 10), GRAPH_SQL + FLOW + """,
+ fst AS MATERIALIZED (SELECT * FROM df ORDER BY source, target, list_position(['call', 'read', 'write', 'publish', 'subscribe'], kind), operation NULLS FIRST LIMIT 10)
+ SELECT 'edge' AS item, source, target, kind, operation, (SELECT count(*) FROM df) AS total FROM fst
+ UNION ALL SELECT 'node', id, NULL, CASE WHEN starts_with(id, 'effect::') THEN 'effect' ELSE 'symbol' END, NULL, (SELECT count(*) FROM (SELECT source FROM df UNION SELECT target FROM df UNION SELECT 'o:10'))
+ FROM (SELECT source AS id FROM fst UNION SELECT target FROM fst UNION SELECT 'o:10')"""),
     "dataflow_summary": (lambda s, d: flow.dataflow_summary(flow.dataflow(stored_graph(s, d), "o:10")), GRAPH_SQL + FLOW + """, both_ends AS (SELECT source AS id FROM df UNION SELECT target FROM df)
  SELECT (SELECT count(*) FROM both_ends WHERE NOT starts_with(id, 'effect::')) AS symbols, (SELECT count(*) FROM both_ends WHERE starts_with(id, 'effect::')) AS effects, count(*) AS edges,
  count(*) FILTER (kind = 'call') AS calls, count(*) FILTER (kind = 'read') AS reads, count(*) FILTER (kind = 'write') AS writes, CAST(0 AS BIGINT) AS publishes, CAST(0 AS BIGINT) AS subscribes FROM df"""),

@@ -151,6 +151,9 @@ QUERIES = {
     "locators": (lambda s, d: structure.locators(G(s, d)), GRAPH_SQL + """, pa AS (SELECT target AS id, min(source) AS parent FROM edges WHERE kind = 'contains' GROUP BY target), ch(id, spot, owners) AS (SELECT id, id, CAST([] AS VARCHAR[]) FROM nodes UNION ALL SELECT ch.id, pa.parent, list_prepend(n.name, owners) FROM ch JOIN pa ON pa.id = ch.spot JOIN nodes n ON n.id = pa.parent),
  lg AS (SELECT id, arg_max(owners, len(owners)) AS owners FROM ch GROUP BY id) SELECT n.id, concat_ws('::', n.module, regexp_extract(file, '[^/]*$', 0), nullif(array_to_string(owners, '::'), ''), name) AS locator FROM nodes n JOIN lg USING (id)"""),
     "resolve_tiers": (lambda s, d: structure.resolve(G(s, d), "order_1"), GRAPH_SQL + " SELECT id, name, kind, 3 AS tier FROM nodes WHERE name = 'order_1'"),
+    "contains_tree": (lambda s, d: structure.contains_tree(G(s, d), "r:1").select("path", "id", "name", "kind", "depth", "inline", "start_line"), GRAPH_SQL + """, tree(path, id, depth) AS (
+ SELECT target, target, 1 FROM edges WHERE kind = 'contains' AND source = 'r:1' UNION ALL SELECT path || ' > ' || target, target, depth + 1 FROM tree JOIN edges ON source = tree.id AND kind = 'contains')
+ SELECT path, id, name, kind, depth, false AS inline, start_line FROM tree JOIN nodes USING (id)"""),
     "context_sections": (lambda s, d: structure.context(G(s, d), "c:1"), GRAPH_SQL + """, mb AS (SELECT target AS m FROM edges WHERE kind = 'contains' AND source = 'c:1'), cx AS (
  SELECT DISTINCT CASE kind WHEN 'calls' THEN 'callers' WHEN 'reads' THEN 'read_by' ELSE 'implementors' END AS section, source AS id FROM edges WHERE kind IN ('calls','reads','implements') AND (target = 'c:1' OR target IN (FROM mb) AND source NOT IN (FROM mb) AND source <> 'c:1')
  UNION ALL SELECT CASE kind WHEN 'calls' THEN 'callees' WHEN 'type_ref' THEN 'type_refs' ELSE kind END, target FROM edges WHERE source = 'c:1' AND kind IN ('calls','reads','implements','type_ref','contains') UNION ALL SELECT 'contained_by', source FROM edges WHERE target = 'c:1' AND kind = 'contains')

@@ -33,6 +33,41 @@ def test_impact_chain_and_members(spark):
     assert got(flow.impact(g, ["M"]), "id", "depth") == [("app", 2), ("use", 1)]
 
 
+def test_impact_tree_keeps_the_first_of_each_bucket(spark):
+    calls = [("b1", "T"), ("b2", "T"), ("c1", "b2"), ("c2", "b1"), ("c2", "b2"), ("c3", "b2"), ("d1", "c3"), ("d2", "c1"), ("e1", "d2")]
+    g = graph(spark, [(x, "function") for x in ["T", "b1", "b2", "c1", "c2", "c3", "d1", "d2", "e1"]], [(a, "calls", b) for a, b in calls])
+    whole = flow.impact_tree(g, ["T"], 4)
+    # c2 comes before c1: its first parent b1 is met before b2; d2 and d1 go by the order of c1 and c3
+    assert got(whole, "bucket", "place", "id", "path") == [
+        ("depth1", 1, "b1", "T > b1"), ("depth1", 2, "b2", "T > b2"), ("depth2", 1, "c2", "T > b1 > c2"), ("depth2", 2, "c1", "T > b2 > c1"), ("depth2", 3, "c3", "T > b2 > c3"),
+        ("depth3+", 1, "d2", "T > b2 > c1 > d2"), ("depth3+", 2, "d1", "T > b2 > c3 > d1"), ("depth3+", 3, "e1", "T > b2 > c1 > d2 > e1")]
+    assert got(whole.where("NOT in_tree"), "id") == [] and got(whole, "root", "id", "depth") == got(flow.impact(g, ["T"], 4), "root", "id", "depth")
+    # c1 is within the limit, its parent is not
+    assert got(flow.impact_tree(g, ["T"], 2, 1), "id", "total", "in_tree") == [("b1", 2, True), ("c2", 3, True)]
+    assert got(flow.impact_tree(g, ["T"], 3, 2).where("depth > 1"), "id", "in_tree") == [("c1", True), ("c2", True), ("d1", False), ("d2", True)]
+    assert got(flow.impact_tree(g, ["T"], 3, 0), "id") == [] and got(flow.impact_tree(g, ["e1", "none"]), "id") == []
+    g = graph(spark, [("M", "struct"), ("m", "function"), ("use", "function"), ("own", "function")], [("M", "contains", "m"), ("use", "calls", "m"), ("own", "type_ref", "M")])
+    assert got(flow.impact_tree(g, ["M"]), "id", "place", "path", "in_tree") == [("own", 1, "M > own", True), ("use", 2, "m > use", False)]
+
+
+def test_dataflow_limit_leaves_a_whole_graph(spark):
+    g = graph(spark, [(x, "function") for x in "eab"], [("e", "calls", "a"), ("e", "writes", "b"), ("e", "reads", "b"), ("a", "calls", "b")])
+    whole = flow.dataflow(g, "e")
+    assert got(flow.dataflow_limited(whole, "e", 2), "item", "source", "kind", "total") == [("edge", "a", "call", 4), ("edge", "e", "call", 4), ("node", "a", "symbol", 5), ("node", "b", "symbol", 5), ("node", "e", "symbol", 5)]
+    assert got(flow.dataflow_limited(whole, "e", 0), "item", "source", "total") == [("node", "e", 5)]
+    assert flow.dataflow_limited(whole, "e", 99).count() == 9
+
+
+def test_contains_tree_shows_views_inline(spark):
+    at = lambda line: {"start_line": line}
+    g = graph(spark, [("S", "struct"), ("z", "view", at(1)), ("a", "function", at(2)), ("p", "property", at(3)), ("q", "struct", at(4)), ("t", "view", at(5))],
+              [("S", "contains", "z"), ("S", "contains", "a"), ("p", "contains", "t"), ("z", "type_ref", "p"), ("z", "type_ref", "q"), ("q", "contains", "a"), ("t", "contains", "z"), ("S", "contains", "gone")])
+    assert got(structure.contains_tree(g, "S"), "path", "depth", "inline") == [("a", 1, False), ("z", 1, False), ("z > t", 2, True)]
+    assert got(structure.contains_tree(g, "S", 1), "path") == [("z",), ("z > t",)]
+    assert got(structure.context(g, "S", 1).where("section = 'contains'"), "id", "total") == [("z", 2)]
+    assert structure.contains_tree(g, "none").count() == 0
+
+
 def test_trace_and_reverse(spark):
     end = {"role_type": "terminal", "terminal_kind": "persistence"}
     g = graph(spark, [("e", "function", {"role_type": "entry_point"}), ("s", "function"), ("db", "function", end)], [("e", "calls", "s"), ("s", "writes", "db", {"operation": "save", "condition": "isAdmin"})])
